@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_files
+from . import exact_dedup, language, quality, simhash, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op9_language_id": language.op9_language_id,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {"op2_exact_dedup": exact_dedup.SQL}
