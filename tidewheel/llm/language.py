@@ -125,11 +125,11 @@ def learn(docs: DataFrame, bound: int = LEARN_DOCS, doc_id: str = "doc_id", text
     return {r["lang"]: _unit(np.array([r["x"]]))[0].astype(np.float32) for r in sorted(whole, key=lambda r: r["lang"])}
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added last."""
+def predict(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", out: str = "lang_pred", rate: str = "score") -> DataFrame:
+    """``docs`` with the language and its cosine added last, under the names ``out`` and ``rate``."""
     names = np.array([*model, "und"], object)
     weights = np.array(list(model.values()), np.float32).reshape(len(model), SIZE).T
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType()), T.StructField(rate, T.DoubleType())])
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +140,9 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") -
                 like = _unit(vectors) @ weights
                 best = np.where(some, like.argmax(1), len(model))
                 score = np.where(some, np.clip(like.max(1), 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, out, rate])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(run, schema)
 
 
 def part_of(doc_id: Column, parts: int) -> Column:

@@ -156,8 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LEARN_DOCS) -> np.nda
     return out.astype(np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with score added last."""
+def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with the score added last, under the name ``out``."""
     place, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +167,9 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
             for k, t in enumerate(batch.column(place).to_pylist()):
                 at, x = featuriser().features(t)
                 z[k] = w[at] @ x + w[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> np.ndarray:

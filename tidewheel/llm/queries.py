@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, quality, simhash, token_files
+from . import exact_dedup, language, packing, quality, simhash, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES = {"op2_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op2_exact_dedup": exact_dedup.SQL, "op8_warc": warc.SQL}
