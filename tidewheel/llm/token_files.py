@@ -18,10 +18,12 @@ written each, ordered by (doc_id, text); null ids come first. An empty table giv
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ MANIFEST = "part int, seq int, file string, first_id long, docs long, ids long,
 class ShardWriter:
     """Writes one shard to an open binary file."""
 
-    def __init__(self, sink, width: int, level: int = 3):
+    def __init__(self, sink, width: int, level: int = 1):
         self.sink, self.dtype = sink, np.dtype("<u2" if width == 2 else "<u4")
         self.zip = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.table: list[bytes] = []
@@ -131,11 +133,14 @@ class ChunkEncoder:
 
     No match of such a model's split pattern holds white space, and neither its normaliser nor its
     merges look across it, so the ids of a text are those of its space-separated chunks, in order.
-    Chunks recur, so each is encoded once and kept, up to ``CHUNKS`` chunks of at most ``LONGEST``
-    characters; others are encoded anew. Strings of special tokens are ordinary text.
+    In a text of Latin-1 characters without apostrophe every run of letters is a match of its own as
+    well, and lower-casing first changes nothing, so its chunks are runs of letters or of others.
+    Chunks recur: each is encoded once and kept, up to ``CHUNKS`` chunks of at most ``LONGEST``
+    characters. Strings of special tokens are ordinary text.
     """
 
-    CHUNKS, LONGEST = 400_000, 48
+    CHUNKS, LONGEST, AT_ONCE = 800_000, 48, 2048
+    BETWEEN = "\x01"
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -146,24 +151,47 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[str, bytes] = {}
+        self.other = re.compile("[^\x00-\xff]|['\x01]").search
+        letters = "a-zªµºß-öø-ÿ"
+        self.runs = re.compile(f"[{letters}]+|[^ \\t\\n\\r{letters}]+").findall
+        cut = self._ids(self.BETWEEN)
+        self.cut = cut[0] if len(cut) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def chunks(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ") if self.other(text) else self.runs(text.lower())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, split = self.known, [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks if c not in known}
-        extra: dict[str, bytes] = {}
-        if new:
-            if len(known) + len(new) > self.CHUNKS:
-                known.clear()
-                new = {c for chunks in split for c in chunks}
-            words = list(new)
-            for at in range(0, len(words), 4096):
-                part = words[at : at + 4096]
-                for word, got in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    (known if len(word) <= self.LONGEST else extra)[word] = np.array(got.ids, self.dtype).tobytes()
+        split = [self.chunks(t) if t else [] for t in texts]
+        every = set(chain.from_iterable(split))
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > self.CHUNKS:
+            self.known.clear()
+            new = every
+        known, extra = self.known, {}
+        for word, raw in self._encoded(list(new)):
+            (known if len(word) <= self.LONGEST else extra)[word] = raw
         if extra:
             return [b"".join([known[c] if c in known else extra[c] for c in chunks]) + self.end for chunks in split]
         return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
 
+    def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Many words as one text, cut again at the id of a character that none of them holds."""
+        plain = [w for w in words if w and self.cut is not None and len(w) <= self.LONGEST and self.BETWEEN not in w]
+        for at in range(0, len(plain), self.AT_ONCE):
+            part = plain[at : at + self.AT_ONCE]
+            ids = np.array(self._ids(f" {self.BETWEEN} ".join(part)), self.dtype)
+            cuts = np.flatnonzero(ids == self.cut)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep words apart at spaces")
+            raw, w = ids.tobytes(), self.width
+            for word, a, b in zip(part, [0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(raw)], strict=True):
+                yield word, raw[a:b]
+        for word in set(words).difference(plain):
+            yield word, np.array(self._ids(word), self.dtype).tobytes()
+
 
 def write_token_files(docs: DataFrame, out: str, encoder: Callable[[], ChunkEncoder], doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode ``docs`` and write shards below ``out`` in ascending id order; returns the manifest."""
