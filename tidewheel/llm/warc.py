@@ -31,6 +31,7 @@ from .common import fresh_path, open_store, stage, table
 
 FILE_BYTES = 64 << 20
 LEAST = 0
+MOST_TASKS = 20_000
 LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:x-page")
@@ -175,7 +176,7 @@ def write_archives(pages: DataFrame, out: str, least: int = LEAST, file_bytes: i
 
     rows.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html").mapInArrow(run, MANIFEST).write.parquet(f"{out}/_written")
     written = spark.read.schema(MANIFEST).parquet(f"{out}/_written")
-    written.repartition("file").mapInArrow(settle, MANIFEST).write.parquet(f"{out}/manifest")
+    written.repartition(max(1, min(written.count(), MOST_TASKS)), "file").mapInArrow(settle, MANIFEST).write.parquet(f"{out}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
@@ -209,7 +210,8 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_RECORDS)
 
-    return spark.read.schema(MANIFEST).parquet(f"{out}/manifest").repartition(F.col("file")).mapInArrow(run, RECORDS)
+    files = spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
+    return files.repartition(max(1, min(files.count(), MOST_TASKS)), "file").mapInArrow(run, RECORDS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
