@@ -286,7 +286,7 @@ def report_fields(spark, d):
     return R.FilteredReport(lines(d), (R.SelectFields(tuple(fields)),)).run(spark).result()
 
 
-@query("""SELECT l_shipdate AS ts, l_orderkey AS key, l_linenumber::BIGINT AS line, abs(-l_tax) AS abs, -l_tax AS negate, round(sqrt(l_quantity), 6) AS sqrt, ceil(l_extendedprice) AS ceil, floor(l_extendedprice) AS floor,
+@query("""SELECT l_shipdate AS ts, l_orderkey AS key, l_linenumber::BIGINT AS line, abs(-l_tax) AS abs, 0 - l_tax AS negate, round(sqrt(l_quantity), 6) AS sqrt, ceil(l_extendedprice) AS ceil, floor(l_extendedprice) AS floor,
 floor(l_extendedprice + 0.5) AS round, round(ln(l_quantity), 6) AS log, round(log10(l_quantity), 6) AS log10, round(exp(l_tax), 6) AS exp, round(sin(l_quantity), 6) AS sin, round(cos(l_quantity), 6) AS cos, round(tan(l_tax), 6) AS tan,
 CAST(trunc(l_extendedprice) AS BIGINT) AS whole, CAST(l_linenumber AS DOUBLE) AS decimal, CAST(l_linenumber AS VARCHAR) AS text,
 regexp_replace(regexp_replace(l_extendedprice::DECIMAL(18, 2)::VARCHAR, '0+$', ''), '\\.$', '') AS price_text FROM lineitem""")
