@@ -25,32 +25,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLES, KNOWN, ROWS = 64, 200_000, 128
+SAMPLES, SEED, KNOWN, ROWS = 64, 7, 250_000, 128
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 LOWEST = -(1 << 63)
 
 
-def _uniform(keys: np.ndarray, n: int) -> np.ndarray:
-    """(len(keys), n) numbers in (0, 1) from 64-bit keys, by splitmix64."""
+def _gamma(steps: int = 1 << 16) -> np.ndarray:
+    """Quantiles of Gamma(2, 1) at the middles of equal steps of probability, by bisection."""
+    u, low, high = (np.arange(steps) + 0.5) / steps, np.zeros(steps), np.full(steps, 64.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        below = 1 - (1 + mid) * np.exp(-mid) < u
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
+
+
+def _random(keys: np.ndarray, n: int) -> np.ndarray:
+    """(len(keys), n) 64-bit numbers from 64-bit keys, by splitmix64."""
     x = keys[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    return x
 
 
 def draw(keys: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
-    """For each key and weight, and each sample: its value, and the 16-bit sign of (term, t)."""
-    u = np.log(_uniform(keys, 5 * samples)).reshape(len(keys), 5, samples)
-    r, log_c, b = -(u[:, 0] + u[:, 1]), np.log(-(u[:, 2] + u[:, 3])), np.exp(u[:, 4])
-    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
-    mixed = (keys[:, None] ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
-    return log_c - r * (t - b) - r, (mixed >> np.uint64(48)).astype(np.uint16)
+    """For each key and weight, and each sample: its value, and the 16-bit sign of (term, t).
+
+    A sample's r, c and b come from 16 bits each of one random number, r and c by the quantiles of
+    their distribution.
+    """
+    if not _TABLES:
+        r = _gamma()
+        _TABLES.extend((r.astype(np.float32), np.log(r).astype(np.float32)))
+    parts = _random(keys, samples).view(np.uint16).reshape(len(keys), samples, 4)
+    r, log_c = _TABLES[0][parts[:, :, 0]], _TABLES[1][parts[:, :, 1]]
+    b = (parts[:, :, 2] + np.float32(0.5)) * np.float32(2.0**-16)
+    t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + b)
+    signs = parts[:, :, 3] + t.astype(np.int32).astype(np.uint16) * np.uint16(40503)
+    return log_c - r * (t - b + np.float32(1)), signs
+
+
+_TABLES: list[np.ndarray] = []
 
 
 class Sampler:
@@ -58,31 +82,35 @@ class Sampler:
         self.known: dict = {}
         self.values, self.signs = np.empty((1024, SAMPLES), np.float32), np.empty((1024, SAMPLES), np.uint16)
 
-    def _learn(self, new: list[tuple[str, int]]) -> None:
-        """Terms are (word, times)."""
+    def _learn(self, new: list[str | tuple[str, int]]) -> None:
+        """Terms are words, or (word, times) where they occur more than once."""
         need = len(self.known) + len(new)
         while need > len(self.values):
             self.values, self.signs = (np.concatenate((x, np.empty_like(x))) for x in (self.values, self.signs))
         for at in range(0, len(new), 8192):
             part = new[at : at + 8192]
-            keys = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w, _ in part], np.uint64)
-            weights = np.array([(1 + np.log(n)) * max(1, len(w)) for w, n in part])
+            pairs = [(x, 1) if isinstance(x, str) else x for x in part]
+            keys = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w, _ in pairs], np.uint64)
+            weights = (1 + np.log([n for _, n in pairs])) * np.maximum(1, [len(w) for w, _ in pairs])
             first = len(self.known)
             self.values[first : first + len(part)], self.signs[first : first + len(part)] = draw(keys, weights)
             self.known.update(zip(part, range(first, first + len(part)), strict=True))
 
     def fingerprints(self, texts: list[str]) -> np.ndarray:
         """(texts, samples) signs."""
-        terms = [list(Counter(t.lower().split()).items()) or [("", 1)] for t in texts]
-        every = {x for some in terms for x in some}
+        terms, every = [], set()
+        for t in texts:
+            some = [w if n == 1 else (w, n) for w, n in Counter(t.lower().split()).items()] or [""]
+            terms.append(some)
+            every.update(some)
         new = every.difference(self.known)
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = every
-        self._learn(sorted(new))
+        self._learn(list(new))
         out, across = np.empty((len(texts), SAMPLES), np.uint16), np.arange(SAMPLES)
         for k, some in enumerate(terms):
-            at = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+            at = np.array(list(map(self.known.__getitem__, some)))
             best = at[self.values[at].argmin(0)] if len(at) < 1 << 16 else self._large(at)
             out[k] = self.signs[best, across]
         return out
