@@ -164,10 +164,12 @@ class BytePairs:
             sizes = np.array([len(x) for x in ids[at:end]])
             pos = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             rows = pa.table({"doc": np.repeat(np.arange(at, end, dtype=np.int32), sizes), "pos": pos, "id": np.concatenate([np.asarray(x, np.int32) for x in ids[at:end]])})
+            known = 0
             for doc, text, found in self._query(DECODE, rows, "ids"):
-                if found != len(ids[doc]):
-                    raise ValueError("an id is not in the vocabulary")
                 out[doc] = text.encode("latin-1")
+                known += found
+            if known != len(pos):
+                raise ValueError("an id is not in the vocabulary")
             at = end
         return out
 
