@@ -77,5 +77,13 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import fresh, stage, table
 
 #: Characters that count for nothing: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -65,17 +65,22 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that do not stay; columns unchanged."""
     found = stage(exact_duplicates(docs, doc_id, text), "exact_kept")
-    kept = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    with_sha = docs.withColumn("__row_sha", F.sha2(normalised(F.col(text)), 256))
-    out = with_sha.join(kept, F.col(doc_id).eqNullSafe(kept["__id"]) & (with_sha["__row_sha"] == kept["__sha"]), "left_semi")
+    own, other, sha = fresh(docs, "__own"), fresh(docs, "__other"), fresh(docs, "__sha")
+    rows = docs.withColumn(own, F.sha2(normalised(F.col(text)), 256))
+
+    def on(side: DataFrame):
+        return F.col(doc_id).eqNullSafe(side[other]) & (F.col(own) == side[sha])
+
+    names = [F.col("doc_id").alias(other), F.col("text_sha256").alias(sha)]
+    kept = found.filter("kept").select(names)
+    out = rows.join(kept, on(kept), "left_semi")
     repeated = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1")
     if not repeated.isEmpty():  # rows repeated with their id: only these are dealt out by it
-        twice = repeated.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-        on = lambda df: F.col(doc_id).eqNullSafe(twice["__id"]) & (df["__row_sha"] == twice["__sha"])
-        single, several = out.join(twice, on(out), "left_anti"), out.join(twice, on(out), "left_semi")
+        twice = repeated.select(names)
+        single, several = out.join(twice, on(twice), "left_anti"), out.join(twice, on(twice), "left_semi")
         most = F.max_by(F.struct(*[F.col(f"`{c}`") for c in out.columns]), F.char_length(text)).alias("r")
-        out = single.unionByName(several.groupBy(F.col(doc_id), "__row_sha").agg(most).select("r.*"))
-    return out.drop("__row_sha")
+        out = single.unionByName(several.groupBy(doc_id, own).agg(most).select("r.*"))
+    return out.drop(own)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

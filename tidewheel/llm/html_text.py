@@ -9,7 +9,7 @@ votes wins the host, and every page is extracted again from the containers on it
 page that has none, or whose containers there are empty, takes its own best container, else all
 blocks outside what is left out.
 
-Left out with all they hold: menus, page headers, footers, sidebars, forms, scripts, styles and
+Left out with all they hold: menus, headers (but one that begins an article), footers, sidebars, forms, scripts, styles and
 other elements that are not text, and elements whose class, id or role tells of a menu, advert,
 notice, share bar, sidebar or reader comments. Character references are decoded, white space inside a
 block becomes one space, blocks without text are no blocks, and blocks are joined by one line feed.
@@ -68,7 +68,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = []  # tag, container, left out
         text: list[str] = []
-        tag, box, out, links, linked, article = "", 0, False, 0, 0, 0
+        box, out, links, linked, article, opened = 0, False, 0, 0, 0, 0
         at, n = 0, len(source)
         find, low = TOKENS.search, None
 
@@ -135,7 +135,7 @@ class Page:
                 text.append(" ")
             if tag in VOID:
                 continue
-            names, skip = "", out or tag in OUT_TAGS or (tag == "header" and not article)
+            names, skip = "", out or tag in OUT_TAGS or (tag == "header" and not (article and opened == len(self.blocks)))
             if m[3]:
                 given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTES.findall(m[3])}
                 names = given.get("class", "").lower()
@@ -153,7 +153,8 @@ class Page:
             stack.append((tag, inner, skip))
             box, out = inner, skip
             links += tag == "a"
-            article += tag in ("article", "main")
+            if tag in ("article", "main"):
+                article, opened = article + 1, len(self.blocks)
         flush()
 
     def best(self) -> tuple[str, float]:

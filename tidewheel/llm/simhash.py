@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import fresh, stage, table
 from .components import components
 
 SHINGLE, SEED, LIMIT, SEGMENTS, BLOCK = 4, 42, 4, 5, 2048
@@ -179,9 +179,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id; rows that share an id stand or fall together."""
-    found = near_duplicates(docs, doc_id, text)
-    kept = stage(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")), "near_kept")
-    return docs.join(kept, F.col(doc_id).eqNullSafe(kept["__id"]), "left_semi")
+    found, other = near_duplicates(docs, doc_id, text), fresh(docs, "__other")
+    kept = stage(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(other)), "near_kept")
+    return docs.join(kept, F.col(doc_id).eqNullSafe(kept[other]), "left_semi")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
