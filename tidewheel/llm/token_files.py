@@ -23,7 +23,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,7 @@ CHECKSUM_FLAG = 0x80
 FRAME_IDS = 1 << 20
 SHARD_BYTES = 64 << 20
 SHARD_DOCS = 1 << 18
+MOST_TASKS = 20_000
 MANIFEST = "part int, seq int, file string, first_id long, docs long, ids long, bytes long"
 
 
@@ -151,7 +151,6 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[str, bytes] = {}
-        self.other = re.compile("[^\x00-\xff]|['\x01]").search
         letters = "a-zªµºß-öø-ÿ"
         self.runs = re.compile(f"[{letters}]+|[^ \\t\\n\\r{letters}]+").findall
         cut = self._ids(self.BETWEEN)
@@ -161,21 +160,26 @@ class ChunkEncoder:
         return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def chunks(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self.other(text) else self.runs(text.lower())
+        plain = "'" not in text and self.BETWEEN not in text
+        if plain and not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                plain = False
+        return self.runs(text.lower()) if plain else text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.chunks(t) if t else [] for t in texts]
-        every = set(chain.from_iterable(split))
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > self.CHUNKS:
+        found = [list(map(self.known.get, chunks)) for chunks in split]
+        short = [k for k, raws in enumerate(found) if None in raws]
+        new = {c for k in short for c, raw in zip(split[k], found[k], strict=True) if raw is None}
+        made = dict(self._encoded(list(new)))
+        for k in short:
+            found[k] = [made[c] if raw is None else raw for c, raw in zip(split[k], found[k], strict=True)]
+        if len(self.known) + len(made) > self.CHUNKS:
             self.known.clear()
-            new = every
-        known, extra = self.known, {}
-        for word, raw in self._encoded(list(new)):
-            (known if len(word) <= self.LONGEST else extra)[word] = raw
-        if extra:
-            return [b"".join([known[c] if c in known else extra[c] for c in chunks]) + self.end for chunks in split]
-        return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
+        self.known.update((c, raw) for c, raw in made.items() if len(c) <= self.LONGEST)
+        return [b"".join(raws) + self.end for raws in found]
 
     def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Many words as one text, cut again at the id of a character that none of them holds."""
@@ -299,7 +303,7 @@ def _read(spark: SparkSession, out: str, schema: str, with_ids: bool) -> DataFra
         names = [x.split()[0] for x in schema.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds, strict=True)], names=names)
 
-    return starts.repartition(F.col("file")).mapInArrow(run, schema)
+    return starts.repartition(max(1, min(starts.count(), MOST_TASKS)), "file").mapInArrow(run, schema)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
