@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,13 @@ def workspace(spark: SparkSession) -> str:
     return path
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches of at most so many rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -77,6 +85,15 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Rows of a side that is broadcast; a larger one is joined by shuffles.
+FEW = 100_000
+
+
+def small(side: DataFrame) -> DataFrame:
+    """A staged table of narrow rows, marked for broadcast where a count finds it small enough."""
+    return F.broadcast(side) if side.limit(FEW + 1).count() <= FEW else side
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores before it as make it no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, table
+from .common import fresh, small, stage, table
 
 #: Characters that count for nothing: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -45,14 +45,13 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         ),
         "exact",
     )
-    again = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    by_length = sketch.join(again(sketch, "length"), "length", "left_semi")
-    by_prefix = by_length.join(again(by_length, "length", "prefix"), ["length", "prefix"], "left_semi")
+    by_length = _recurring(sketch, "length")
+    by_prefix = _recurring(by_length, "length", "prefix")
     # the best row is the largest of (chars, -id, -row); ~x is -x - 1, without overflow
     best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("i"), F.bitwise_not("row").alias("r")))
     groups = by_prefix.groupBy("length", "text_sha256").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1")
     groups = groups.select("length", "text_sha256", "n", F.bitwise_not("best.i").alias("best_id"), F.bitwise_not("best.r").alias("best_row"))
-    both = sketch.join(groups, ["length", "text_sha256"], "left")
+    both = sketch.join(small(stage(groups, "exact_groups")), ["length", "text_sha256"], "left")
     return both.select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"),
@@ -62,21 +61,26 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
 
 
+def _recurring(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys occur more than once."""
+    groups = df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return df.join(small(stage(groups, "recurring")), list(keys), "left_semi")
+
+
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that do not stay; columns unchanged."""
-    found = stage(exact_duplicates(docs, doc_id, text), "exact_kept")
+    rows = exact_duplicates(docs, doc_id, text).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     own, other, sha = fresh(docs, "__own"), fresh(docs, "__other"), fresh(docs, "__sha")
-    rows = docs.withColumn(own, F.sha2(normalised(F.col(text)), 256))
+    names = ["kept", "n", F.col("doc_id").alias(other), F.col("text_sha256").alias(sha)]
+    found = stage(rows.filter("NOT kept OR n > 1").select(names), "exact_gone")
 
     def on(side: DataFrame):
         return F.col(doc_id).eqNullSafe(side[other]) & (F.col(own) == side[sha])
 
-    names = [F.col("doc_id").alias(other), F.col("text_sha256").alias(sha)]
-    kept = found.filter("kept").select(names)
-    out = rows.join(kept, on(kept), "left_semi")
-    repeated = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1")
-    if not repeated.isEmpty():  # rows repeated with their id: only these are dealt out by it
-        twice = repeated.select(names)
+    gone, twice = small(found.filter("NOT kept").drop("kept", "n")), found.filter("kept").drop("kept", "n")
+    out = docs.withColumn(own, F.sha2(normalised(F.col(text)), 256))
+    out = out.join(gone, on(gone), "left_anti")
+    if not twice.isEmpty():  # rows repeated with their id: only these are dealt out by it
         single, several = out.join(twice, on(twice), "left_anti"), out.join(twice, on(twice), "left_semi")
         most = F.max_by(F.struct(*[F.col(f"`{c}`") for c in out.columns]), F.char_length(text)).alias("r")
         out = single.unionByName(several.groupBy(doc_id, own).agg(most).select("r.*"))
