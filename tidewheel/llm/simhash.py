@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, table
+from .common import fresh, slices, small, stage, table
 from .components import components
 
 SHINGLE, SEED, LIMIT, SEGMENTS, BLOCK = 4, 42, 4, 5, 2048
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, fp) of every row, staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
@@ -180,8 +180,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id; rows that share an id stand or fall together."""
     found, other = near_duplicates(docs, doc_id, text), fresh(docs, "__other")
-    kept = stage(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(other)), "near_kept")
-    return docs.join(kept, F.col(doc_id).eqNullSafe(kept[other]), "left_semi")
+    kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.groupBy("doc_id").agg(kept.alias("kept")).filter("NOT kept").select(F.col("doc_id").alias(other))
+    gone = small(stage(gone, "near_gone"))
+    return docs.join(gone, F.col(doc_id).eqNullSafe(gone[other]), "left_anti")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
