@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
 SIZE, LETTERS, SEED, LEARN_DOCS, ROWS, BLOCK, CHARS = 1024, 128, 20240229, 12_000, 256, 4096, 2_000_000
 
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, bound: int = LEARN_DOCS, doc_id: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             vectors, some = profiler().vectors(batch.column(0).to_pylist())
             names = np.array(batch.column(1).to_pylist(), object)
             for name in set(names[some]):
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", o
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             vectors, some = profiler().vectors(batch.column(place).to_pylist())
             best, score = np.full(batch.num_rows, len(model)), np.zeros(batch.num_rows)
             if len(model):

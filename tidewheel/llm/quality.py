@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, table
+from .common import slices, stage, table
 from .language import part_of
 
 BITS, LEARN_DOCS, SHARDS, PASSES, THRESHOLD = 18, 12_000, 4, 4, 0.3
 ALPHA, BETA, L1, L2 = 0.6, 0.5, 1e-4, 1e-5
 MASK = np.uint64((1 << BITS) - 1)
-KNOWN = 500_000
+KNOWN = 300_000
 
 
 def _shape(word: str) -> str:
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LEARN_DOCS) -> np.nda
     some = some.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)).alias("shard"), F.xxhash64("doc_id", F.lit(2)).alias("turn"), "__y", "text")
 
     def ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, x = [], []
             for text in batch.column(3).to_pylist():
                 places, values = featuriser().features(text)
@@ -162,7 +162,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             z = np.empty(batch.num_rows)
             for k, t in enumerate(batch.column(place).to_pylist()):
                 at, x = featuriser().features(t)
