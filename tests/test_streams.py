@@ -98,6 +98,32 @@ def test_collectors(spark):
     assert [r["value"] for r in L.folded(df, "seq", "v", F.lit(0).cast("long"), lambda s, x: s * 10 + x).collect()] == [565]
 
 
+def test_maps_and_json_chunks(spark):
+    df = ints(spark, [5, 6, 7])
+    assert L.as_map(df, "v", "seq").first()["map"] == {5: 0, 6: 1, 7: 2}
+    with pytest.raises(Exception, match="duplicate key"):
+        L.as_map(ints(spark, [5, 5]), "v", "seq").collect()
+    for rows in (1, 2, 3, 9):
+        assert [r["v"] for r in json.loads("".join(L.json_chunks(df, "seq", rows=rows)))] == [5, 6, 7]
+    assert "".join(L.json_chunks(df.limit(0))) == "[]"
+
+
+def test_python_sources(spark):
+    def part_rows(part):
+        return [(part * 10 + k, f"r{k}") for k in range(3)]
+
+    def messages(offset):
+        return iter([(k, json.dumps({"x": k * k})) for k in range(offset, 7)])
+
+    got = readers.from_function(spark, part_rows, "n long, t string", 2).orderBy("n").collect()
+    assert [r["n"] for r in got] == [0, 1, 2, 10, 11, 12]
+    stream = X.json_messages(X.message_stream(spark, messages, 3), "x long")
+    q = stream.writeStream.format("memory").queryName("squares").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["x"] for r in spark.table("squares").collect()) == [k * k for k in range(7)]
+
+
 def test_clusters(spark):
     found = L.clustered(ints(spark, range(10)), F.floor(F.col("v") / 4), ["seq"], [F.sum("v").alias("s")]).orderBy("cluster").collect()
     assert [(r["cluster"], r["s"], r["prev"] and r["prev"]["v"]) for r in found] == [(0, 6, None), (1, 22, 3), (2, 17, 7)]

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DAY_US = 86_400_000_000
+HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 
 
-def chunk_of(ts: Column, us: int = DAY_US) -> Column:
+def chunk_of(ts: Column, us: int = HOUR_US) -> Column:
+    """Chunks of time; an hour of one series is to fit a task, which spills, and hours a table of one."""
     return F.floor(F.unix_micros(ts) / us)
 
 

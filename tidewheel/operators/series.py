@@ -321,8 +321,8 @@ class Counter:
         if not self.non_negative:
             rows = neighbour(df, order, at, "base", chunk)
         else:
-            first = df.agg(F.min(F.struct("ts", "seq")).alias("first"))
-            marked = df.crossJoin(first).withColumn("sets", (F.col("value") >= 0) | (F.struct("ts", "seq") == F.col("first"))).drop("first")
+            first = df.agg(F.min(F.struct("ts", "seq")).alias("f")).select("f.ts", "f.seq", F.lit(True).alias("first"))  # one row
+            marked = df.join(F.broadcast(first), ["ts", "seq"], "left").withColumn("sets", (F.col("value") >= 0) | F.col("first").isNotNull()).drop("first")
             rows = neighbour(marked, order, F.struct("ts", "seq", "value"), "base", chunk, F.col("sets"))
             if gap:
                 low = rows.filter(~F.col("sets")).groupBy("base").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "value"))).alias("low"))

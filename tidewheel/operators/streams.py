@@ -102,6 +102,7 @@ def count_windows(df: DataFrame, size: int, step: int, order: str, value: str, o
     if omit_partial or step == 1:
         return windows.filter(full)
     partial = F.when(F.col("n") < size, 0).otherwise((F.floor((F.col("n") - size) / step) + 1) * step)
+    # the count is one row
     return windows.crossJoin(n).filter(full | (F.col("start") == partial)).select("start", "items")
 
 
@@ -214,6 +215,16 @@ def unique_by_key(df: DataFrame, key: str) -> DataFrame:
     return found.select(same.alias(key), *[F.col("r")[c].alias(c) for c in df.columns if c != key])
 
 
+def as_map(df: DataFrame, key: str, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each of ``keys``) with a map of all rows, failing when a key recurs."""
+    entries = F.collect_list(F.struct(key, value))
+    out = df.groupBy(*keys).agg(entries.alias("e"))
+    repeated = F.size("e") != F.size(F.array_distinct(F.transform("e", lambda x: x[key])))
+    kind = out.select(F.map_from_entries("e")).schema[0].dataType
+    made = F.when(repeated, F.raise_error(F.lit("duplicate key")).cast("string")).isNotNull()
+    return out.select(*keys, F.when(made, F.lit(None).cast(kind)).otherwise(F.map_from_entries("e")).alias("map"))
+
+
 def first_and_last(df: DataFrame, order: list[str]) -> DataFrame:
     """One row (first, last) of structs, null if there are no rows."""
     row, rank = F.struct(*df.columns), F.struct(*order)
@@ -249,6 +260,18 @@ def write_json_array(df: DataFrame, write: Callable[[str], Any], *order: str) ->
     return n
 
 
+def json_chunks(df: DataFrame, *order: str, rows: int = 1000) -> Iterator[str]:
+    """The rows as one JSON array in pieces, for a reader that takes them as they come."""
+    ordered = df.orderBy(*order) if order else df
+    held, first = [], True
+    for row in ordered.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+        held.append(row["j"])
+        if len(held) == rows:
+            yield ("[" if first else ",") + ",".join(held)
+            held, first = [], False
+    yield ("[" if first else "," if held else "") + ",".join(held) + "]"
+
+
 # ---------------------------------------------------------------- optional scalars
 
 

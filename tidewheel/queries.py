@@ -5,6 +5,10 @@ Results carry times without a zone (UTC) and doubles rounded to six places, as t
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -675,11 +679,12 @@ def stream_delta(spark, d):
 
 
 def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    import uuid
-
     from .streaming import series as X
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = tempfile.mkdtemp(prefix="tidewheel-stream-")
+        atexit.register(shutil.rmtree, root, True)
     place = f"{root.rstrip('/')}/tidewheel-{name}-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     stream = spark.readStream.format("parquet").schema(schema).load(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))

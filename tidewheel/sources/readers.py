@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +59,7 @@ def lines(spark: SparkSession, path: str, reverse: bool = False) -> DataFrame:
 
     df = with_position(df, "id", out="seq").drop("id")
     if reverse:
-        last = df.agg(F.max("seq").alias("last"))
+        last = df.agg(F.max("seq").alias("last"))  # one row
         df = df.crossJoin(last).select("line", (F.col("last") - F.col("seq")).alias("seq"))
     return df
 
@@ -88,8 +90,17 @@ def _element(schema: str) -> str:
     return T._parse_datatype_string(schema).simpleString()
 
 
+def packed(fn: Callable) -> str:
+    """A function as the text of an option."""
+    return base64.b64encode(cloudpickle.dumps(fn)).decode()
+
+
+def unpacked(text: str) -> Callable:
+    return cloudpickle.loads(base64.b64decode(text))
+
+
 class IteratorSource(DataSource):
-    """Rows of a Python function, a partition for each of its ``parts``: option ``name`` is where it was registered."""
+    """Rows of a Python function, a partition for each of its ``parts``: option ``function`` holds it, pickled."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,12 +110,12 @@ class IteratorSource(DataSource):
         return self.options["schema"]
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _IteratorReader(int(self.options.get("parts", "1")), self.options["module"], self.options["function"])
+        return _IteratorReader(int(self.options.get("parts", "1")), self.options["function"])
 
 
 class _IteratorReader(DataSourceReader):
-    def __init__(self, parts: int, module: str, function: str):
-        self.parts, self.module, self.function = parts, module, function
+    def __init__(self, parts: int, function: str):
+        self.parts, self.function = parts, function
 
     def partitions(self):
         from pyspark.sql.datasource import InputPartition
@@ -112,16 +123,14 @@ class _IteratorReader(DataSourceReader):
         return [InputPartition(k) for k in range(self.parts)]
 
     def read(self, partition) -> Iterator[tuple]:
-        import importlib
-
-        yield from getattr(importlib.import_module(self.module), self.function)(partition.value)
+        yield from unpacked(self.function)(partition.value)
 
 
 def from_function(spark: SparkSession, fn: Callable[[int], Iterable[tuple]], schema: str, parts: int = 1) -> DataFrame:
-    """Rows of an importable function of a part's number."""
+    """Rows of a function of a part's number."""
     spark.dataSource.register(IteratorSource)
     reader = spark.read.format("tidewheel_rows").option("schema", schema).option("parts", str(parts))
-    return reader.option("module", fn.__module__).option("function", fn.__name__).load()
+    return reader.option("function", packed(fn)).load()
 
 
 def from_optional(spark: SparkSession, value: Any, schema: str) -> DataFrame:

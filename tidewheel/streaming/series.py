@@ -6,16 +6,19 @@ has passed its end, so the last one stays open until a later row arrives.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.reductions import over_rows
 from ..meta import QueryError
+from ..sources.readers import packed, unpacked
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -28,6 +31,44 @@ def json_messages(messages: DataFrame, schema: str, column: str = "value") -> Da
     return messages.select(F.from_json(F.col(column).cast("string"), schema).alias("m")).select("m.*")
 
 
+class MessageSource(DataSource):
+    """Messages of an endless generator, a text a row: option ``function`` holds what yields (offset, text) from an offset on, pickled."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidewheel_messages"
+
+    def schema(self) -> str:
+        return "offset long, value string"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802  Spark's name
+        return _MessageReader(self.options["function"], int(self.options.get("batch", "1000")))
+
+
+class _MessageReader(SimpleDataSourceStreamReader):
+    def __init__(self, function: str, batch: int):
+        self.function, self.batch = function, batch
+
+    def _from(self, offset: int) -> Iterator[tuple[int, str]]:
+        return unpacked(self.function)(offset)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"offset": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows = list(itertools.islice(self._from(start["offset"]), self.batch))
+        return iter(rows), {"offset": rows[-1][0] + 1 if rows else start["offset"]}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        return itertools.takewhile(lambda row: row[0] < end["offset"], self._from(start["offset"]))
+
+
+def message_stream(spark: SparkSession, fn, batch: int = 1000) -> DataFrame:
+    """(offset, value) of a function that yields (offset, text) from an offset on: a websocket, a queue, a log."""
+    spark.dataSource.register(MessageSource)
+    return spark.readStream.format("tidewheel_messages").option("function", packed(fn)).option("batch", str(batch)).load()
+
+
 def tumbling(stream: DataFrame, reductions: dict[str, str], every: str, late: str, ts: str = "ts", value: str = "value", keys: tuple[str, ...] = (), data_type: str = "decimal") -> DataFrame:
     """Buckets of ``every``, each with its reductions (output name to reduction)."""
     order = F.struct(ts)
