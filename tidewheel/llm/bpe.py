@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KNOWN, LONGEST, WORD_ROWS, DOC_IDS, DOCS = 500_000, 1024, 3_000_000, 500_000, 512
+KNOWN, LONGEST, WORD_ROWS, DOC_IDS, DOCS = 1_000_000, 1024, 3_000_000, 500_000, 512
 
 ENCODE = """
 WITH RECURSIVE steps(word, pos, tok, step) AS (
