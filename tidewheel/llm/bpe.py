@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_model
 
 KNOWN, LONGEST, WORD_ROWS, DOC_IDS, DOCS = 1_000_000, 1024, 3_000_000, 500_000, 512
 
@@ -174,14 +174,9 @@ class BytePairs:
         return out
 
 
-_MODELS: dict[tuple[str, str], BytePairs] = {}
-
-
 def byte_pairs(path: str, pattern: str) -> BytePairs:
-    """The worker's own, made once."""
-    if (path, pattern) not in _MODELS:
-        _MODELS[path, pattern] = BytePairs(path, pattern)
-    return _MODELS[path, pattern]
+    """The worker's own."""
+    return worker_model(("bpe", path, pattern), lambda: BytePairs(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,6 +33,17 @@ def workspace(spark: SparkSession) -> str:
     return path
 
 
+_MODEL: dict = {}
+
+
+def worker_model(key, make):
+    """What ``make`` makes, kept by this worker process until it is asked for something else: one at a time bounds memory."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = make()
+    return _MODEL[key]
+
+
 def slices(batches, rows: int = 1024):
     """Arrow batches of at most so many rows, so that few texts are Python objects at once."""
     for batch in batches:

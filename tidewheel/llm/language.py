@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import slices, table, worker_model
 
 SIZE, LETTERS, SEED, LEARN_DOCS, ROWS, BLOCK, CHARS = 1024, 128, 20240229, 12_000, 256, 4096, 2_000_000
 
@@ -87,14 +87,9 @@ class Profiler:
         return out
 
 
-_PROFILER: list[Profiler] = []
-
-
 def profiler() -> Profiler:
-    """The worker's own, made once."""
-    if not _PROFILER:
-        _PROFILER.append(Profiler())
-    return _PROFILER[0]
+    """The worker's own."""
+    return worker_model("language", Profiler)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

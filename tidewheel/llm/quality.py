@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stage, table
+from .common import slices, stage, table, worker_model
 from .language import part_of
 
 BITS, LEARN_DOCS, SHARDS, PASSES, THRESHOLD = 18, 12_000, 4, 4, 0.3
@@ -88,13 +88,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-_FEATURISER: list[Featuriser] = []
-
-
 def featuriser() -> Featuriser:
-    if not _FEATURISER:
-        _FEATURISER.append(Featuriser())
-    return _FEATURISER[0]
+    """The worker's own."""
+    return worker_model("quality", Featuriser)
 
 
 class Ftrl:

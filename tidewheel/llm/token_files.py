@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_store
+from .common import fresh_path, open_store, worker_model
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -235,17 +235,10 @@ def write_token_files(docs: DataFrame, out: str, encoder: Callable[[], ChunkEnco
 
 
 _ARROW_MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), *((n, pa.int64()) for n in ("first_id", "docs", "ids", "bytes"))])
-_MODELS: dict = {}
-
-
-def _encoder(make: Callable[[], ChunkEncoder]):
-    """One model a worker process, whatever the number of its tasks."""
+def _encoder(make: Callable[[], ChunkEncoder]) -> ChunkEncoder:
+    """The worker's own, whatever the number of its tasks."""
     key = getattr(make, "key", None)
-    if key is None:
-        return make()
-    if key not in _MODELS:
-        _MODELS[key] = make()
-    return _MODELS[key]
+    return make() if key is None else worker_model(("tokens", key), make)
 
 
 class encoder_of:

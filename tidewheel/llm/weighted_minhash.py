@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_model
 
 SAMPLES, SEED, KNOWN, ROWS = 64, 7, 250_000, 128
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -123,14 +123,9 @@ class Sampler:
         return best[self.values[best, across].argmin(0), across]
 
 
-_SAMPLER: list[Sampler] = []
-
-
 def sampler() -> Sampler:
     """The worker's own."""
-    if not _SAMPLER:
-        _SAMPLER.append(Sampler())
-    return _SAMPLER[0]
+    return worker_model("weighted", Sampler)
 
 
 def edited(text: str, following: str) -> str:
