@@ -13,7 +13,7 @@ Shards are written by attempt-unique names and count only once the manifest, a P
 Spark commits atomically, lists them; a lost or repeated task leaves at most an unlisted file.
 
 Null text counts as empty (its ids are the end id alone). Rows repeated or with equal ids are
-written each, ordered by (doc_id, text); null ids come first. An empty table gives an empty manifest.
+written each, ordered by id and a hash of the text; null ids come first. An empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -230,7 +230,10 @@ def write_token_files(docs: DataFrame, out: str, encoder: Callable[[], ChunkEnco
 
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{out}/manifest")
+    # ties are told apart, so that rows that share an id can be cut into ranges too
+    order = ["doc_id", "tie", "row"]
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{out}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
