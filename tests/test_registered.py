@@ -50,3 +50,19 @@ def test_range_reaches_the_scan(spark):
 
     plan = engine.events(SF).run(spark, datetime(2024, 1, 2), datetime(2024, 1, 3)).df._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan or "GreaterThanOrEqual(ts" in plan.split("PushedFilters", 1)[-1]
+
+
+COUNTERS = ["delta_plain", "delta_counter_reset", "delta_counter_emit", "delta_counter_wrap", "rate_per_hour"]
+
+
+@pytest.mark.parametrize("name", COUNTERS)
+def test_counters_take_every_event(spark, db, name):
+    """A row for each event but the first, whoever its user is."""
+    n = db.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert engine.QUERIES[f"{name}_all"](spark, SF).count() == n - 1
+    assert f"{name}_all" in engine.ORACLES
+
+
+def test_gaps_of_every_event(spark, db):
+    n = db.execute("SELECT count(*) FROM (SELECT ts - lag(ts) OVER (ORDER BY ts) AS gap FROM events) WHERE gap <= INTERVAL '20 minutes'").fetchone()[0]
+    assert engine.QUERIES["delta_gap_all"](spark, SF).count() == n > 0

@@ -37,6 +37,21 @@ def neighbour(df: DataFrame, order: list[str], taken: Column, out: str, chunk: C
     return held.join(edges, "__chunk").withColumn(out, F.coalesce("__near", "__carried")["v"]).drop("__chunk", "__taken", "__near", "__carried")
 
 
+def running_total(df: DataFrame, value: str, order: list[str], out: str, chunk: Column, group: Column) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of its group up to and with each row.
+
+    ``chunk`` must not decrease along ``order`` inside a group.
+    """
+    held = df.withColumn("__group", group).withColumn("__chunk", chunk)
+    sums = held.groupBy("__group", "__chunk").agg(F.sum(value).alias("__sum"))
+    across = W.partitionBy("__group").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("__group").alias("__g"), F.col("__chunk").alias("__c"), F.coalesce(F.sum("__sum").over(across), F.lit(0)).alias("__before"))
+    inside = W.partitionBy("__group", "__chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = held.withColumn(out, F.sum(value).over(inside))
+    held = held.join(sums, F.col("__group").eqNullSafe(F.col("__g")) & F.col("__chunk").eqNullSafe(F.col("__c")))
+    return held.withColumn(out, F.col(out) + F.col("__before")).drop("__group", "__chunk", "__g", "__c", "__before")
+
+
 def bounds_of(df: DataFrame, key: str, parts: int | None = None) -> list:
     """Quantiles of a numeric or time column that cut ``df`` into about equal parts; one narrow scan."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

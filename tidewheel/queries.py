@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expressions as E
+from .functions.ordered import chunk_of, running_total
 from .functions.periods import CalendarPeriod, FixedPeriod
 from .meta import FieldMeta, NewField
 from .operators import aggregation as A
@@ -74,7 +75,7 @@ def of_type(sf_dir: str, event: str, **meta) -> S.TableSeries:
 
 
 def counter_rows(sf_dir: str, modulo: int | None = None) -> Callable[[SparkSession], DataFrame]:
-    """A running total of the values of user 1, by time; optionally modulo a number."""
+    """A running total by day of the values of users up to 20, as ``COUNTER`` has it, by time; optionally modulo a number."""
 
     def make(spark: SparkSession) -> DataFrame:
         from pyspark.sql import Window as W
@@ -93,8 +94,24 @@ c AS (SELECT ts, event_id, (sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTIT
 l AS (SELECT ts, total, lag(total) OVER o AS was, lag(ts) OVER o AS before FROM c WINDOW o AS (ORDER BY ts, event_id))"""
 
 
-def counter(sf_dir: str, modulo: int | None = None, kind: str = "cumulative", **meta) -> S.TableSeries:
-    return S.TableSeries(FieldMeta("integer", kind=kind, urn="total", **meta), counter_rows(sf_dir, modulo), value="total", seq="event_id")
+def counter(sf_dir: str, modulo: int | None = None, kind: str = "cumulative", make: Callable = counter_rows, **meta) -> S.TableSeries:
+    return S.TableSeries(FieldMeta("integer", kind=kind, urn="total", **meta), make(sf_dir, modulo), value="total", seq="event_id")
+
+
+def all_counter_rows(sf_dir: str, modulo: int | None = None) -> Callable[[SparkSession], DataFrame]:
+    """A running total by day of the values of all events, by time; optionally modulo a number."""
+
+    def make(spark: SparkSession) -> DataFrame:
+        rows = table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+        total = running_total(rows, "cents", ["ts", "event_id"], "total", chunk_of(F.col("ts").cast("timestamp")), F.to_date("ts"))
+        return total.withColumn("total", F.col("total") % modulo) if modulo else total
+
+    return make
+
+
+ALL_COUNTER = """
+c AS (SELECT ts, event_id, (sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id))::BIGINT {mod} AS total FROM events),
+l AS (SELECT ts, total, lag(total) OVER o AS was, lag(ts) OVER o AS before FROM c WINDOW o AS (ORDER BY ts, event_id))"""
 
 
 # ---------------------------------------------------------------- alignment
@@ -251,6 +268,39 @@ def time_shift(spark, d):
     return S.FilteredSeries(of_type(d, "error"), (S.TimeShift(86_400),)).run(spark).result()
 
 
+# The queries above take the users that their SQL names; these take the whole table.
+
+
+@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, total - was AS value FROM l WHERE was IS NOT NULL")
+def delta_plain_all(spark, d):
+    return S.FilteredSeries(counter(d, make=all_counter_rows), (S.DeltaFilter(),)).run(spark).result()
+
+
+@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, total - was AS value FROM l WHERE was IS NOT NULL AND epoch_us(ts) - epoch_us(before) <= 1200000000")
+def delta_gap_all(spark, d):
+    return S.FilteredSeries(counter(d, make=all_counter_rows, sample_period=600_000_000), (S.DeltaFilter(),)).run(spark).result()
+
+
+@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, CASE WHEN total < was THEN 0 ELSE total - was END AS value FROM l WHERE was IS NOT NULL")
+def delta_counter_reset_all(spark, d):
+    return S.FilteredSeries(counter(d, make=all_counter_rows), (S.DeltaFilter(S.Counter(non_negative=True)),)).run(spark).result()
+
+
+@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, CASE WHEN total < was THEN total ELSE total - was END AS value FROM l WHERE was IS NOT NULL")
+def delta_counter_emit_all(spark, d):
+    return S.FilteredSeries(counter(d, make=all_counter_rows), (S.DeltaFilter(S.Counter(non_negative=True, emit_on_reset=True)),)).run(spark).result()
+
+
+@query(f"WITH {ALL_COUNTER.format(mod='% 100000')} SELECT ts, CASE WHEN total < was THEN 100000 - was + total ELSE total - was END AS value FROM l WHERE was IS NOT NULL")
+def delta_counter_wrap_all(spark, d):
+    return S.FilteredSeries(counter(d, 100_000, make=all_counter_rows), (S.DeltaFilter(S.Counter(non_negative=True, max_counter=100_000)),)).run(spark).result()
+
+
+@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, round((CASE WHEN total < was THEN 0 ELSE total - was END)::DOUBLE / ((epoch_us(ts) - epoch_us(before)) / 1e6) * 3600, 6) AS value FROM l WHERE was IS NOT NULL")
+def rate_per_hour_all(spark, d):
+    return S.FilteredSeries(counter(d, make=all_counter_rows), (S.RateFilter("per hour", 3600, S.Counter(non_negative=True)),)).run(spark).result()
+
+
 # ---------------------------------------------------------------- expressions
 
 
