@@ -1,5 +1,8 @@
 """Registered queries against their SQL, and what holds of all of them."""
 
+import math
+from datetime import datetime, timedelta
+
 import duckdb
 import pandas as pd
 import pytest
@@ -66,3 +69,30 @@ def test_counters_take_every_event(spark, db, name):
 def test_gaps_of_every_event(spark, db):
     n = db.execute("SELECT count(*) FROM (SELECT ts - lag(ts) OVER (ORDER BY ts) AS gap FROM events) WHERE gap <= INTERVAL '20 minutes'").fetchone()[0]
     assert engine.QUERIES["delta_gap_all"](spark, SF).count() == n > 0
+
+
+def negative_gap(rows: list) -> list:
+    """(ts, value) of the readings in order of time, one by one; ``rows``: (ts, event_id, value)."""
+    out, base = [], None
+    for ts, _, value in sorted(rows):
+        v = math.floor(value * 10 + 0.5) - 60
+        late = base is not None and ts - base[0] > timedelta(days=1)
+        if base is not None and not late and v >= 0:
+            out.append((ts, max(v - base[1], 0)))
+        if base is None or late or v >= 0:
+            base = ts, v
+    return out
+
+
+def test_negative_gap_takes_every_event(spark, db, tmp_path):
+    run = engine.QUERIES["delta_counter_negative_gap_all"]
+    rows = db.execute("SELECT ts, event_id, value FROM events").fetchall()
+    got = [(r["ts"], r["value"]) for r in run(spark, SF).orderBy("ts").collect()]
+    assert got == negative_gap(rows)
+    assert sum(v < 6 for _, _, v in rows) > 20
+    # gaps of hours to two days, users of any id, below zero first and for long
+    hours, values = (0, 1, 20, 26, 27, 52, 70, 71, 96, 121, 122, 170, 171, 180, 204, 205, 206), (1, 0, 9, 0, 2, 1, 30, 0, 0, 1, 20, 2, 40, 7, 0, 8, 50)
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=h), k, float(v)) for k, (h, v) in enumerate(zip(hours, values, strict=True))]
+    frame = spark.createDataFrame([(*r, 1000 + r[1]) for r in rows], "ts timestamp_ntz, event_id long, value double, user_id long")
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r["ts"], r["value"]) for r in run(spark, str(tmp_path)).orderBy("ts").collect()] == negative_gap(rows)

@@ -296,6 +296,14 @@ def delta_counter_wrap_all(spark, d):
     return S.FilteredSeries(counter(d, 100_000, make=all_counter_rows), (S.DeltaFilter(S.Counter(non_negative=True, max_counter=100_000)),)).run(spark).result()
 
 
+@query()
+def delta_counter_negative_gap_all(spark, d):
+    """``delta_counter_negative_gap`` over every event; row-by-row SQL is too slow for that, so tests hold it against brute force."""
+    make = lambda s: table(s, d, "events").selectExpr("ts", "event_id", "cast(round(value * 10) as bigint) - 60 AS v")
+    source = S.TableSeries(FieldMeta("integer", kind="cumulative", urn="v"), make, value="v", seq="event_id")
+    return S.FilteredSeries(source, (S.DeltaFilter(S.Counter(non_negative=True, max_gap=86_400_000_000)),)).run(spark).result()
+
+
 @query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, round((CASE WHEN total < was THEN 0 ELSE total - was END)::DOUBLE / ((epoch_us(ts) - epoch_us(before)) / 1e6) * 3600, 6) AS value FROM l WHERE was IS NOT NULL")
 def rate_per_hour_all(spark, d):
     return S.FilteredSeries(counter(d, make=all_counter_rows), (S.RateFilter("per hour", 3600, S.Counter(non_negative=True)),)).run(spark).result()
