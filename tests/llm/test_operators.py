@@ -254,6 +254,23 @@ def test_packing_bins():
     assert packing.pack([5]) == [(512, [0])]
 
 
+def test_packing_mixes_lengths(spark):
+    random_, cheaper = random.Random(9), 0
+    cost = lambda bins: sum(n + packing.OVERHEAD for n, _ in bins)
+    for _ in range(30):
+        sizes = sorted((random_.randint(1, 8192) if random_.random() < 0.3 else random_.randint(1, 900) for _ in range(40)), reverse=True)
+        bins, plain = packing.pack_mixed(sizes), cost(packing.pack(sizes))
+        assert sorted(k for _, b in bins for k in b) == list(range(len(sizes)))
+        assert all(n == min(c for c in packing.LENGTHS if c >= sum(sizes[k] for k in b)) for n, b in bins)
+        assert cost(bins) <= plain
+        if cost(bins) < plain:
+            cheaper, mixed, uniform = cheaper + 1, sizes, plain
+    assert cheaper > 0
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, n long"))
+    assert sum(n + packing.OVERHEAD for n in {r["bin_id"]: r["bin_length"] for r in rows.collect()}.values()) < uniform
+    assert packing.pack_mixed([]) == []
+
+
 def test_packing_documents(spark, messy, none):
     got = collected(packing.pack_texts(messy))
     lengths = Counter((i, len(ids)) for i, ids in expected_ids(messy))

@@ -5,10 +5,12 @@ full pieces of that length and a rest. Pieces are dealt by a hash into groups of
 ``GROUP_TOKENS`` tokens, which are packed apart: a group's size is bounded however long or frequent
 documents are. In a group, pieces are taken from the longest down; each goes to the open bin whose
 room is left the smallest, or opens a bin. Once a bin is full its size is chosen again: the least
-permitted length that holds its contents. What sizes to open is decided jointly: each permitted
-length is tried as the one to open (pieces that are longer open the least that holds them), each
-outcome is downsized and costed, a bin's cost being its length and ``OVERHEAD``, and the cheapest
-outcome stays.
+permitted length that holds its contents. What sizes to open is decided jointly: pieces are classed by
+the least permitted length that holds them, and each class opens a length of its own. The search
+starts from the cheapest outcome in which all classes open one length (longer pieces: the least that
+holds them) and changes the length of one class at a time while that is cheaper; each outcome is
+downsized and costed as a whole, a bin's cost being its length and ``OVERHEAD``. It ends where no
+change of one class is cheaper, which need not be the cheapest of all mixes.
 
 Null and empty texts are one piece, of the end token. Rows repeated or with equal or null ids are
 packed each. An empty table gives no bins. Other columns are ignored.
@@ -31,8 +33,13 @@ OVERHEAD, GROUP_TOKENS = 16, 1 << 21
 PIECES = "doc_id long, piece long, piece_start long, piece_tokens long, bin_id long, bin_length long, bin_start long"
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...], opened: int) -> list[list[int]]:
-    """Bins as lists of positions in ``sizes``, which descend; ``opened``: the length of a new bin."""
+def uniform(lengths: tuple[int, ...], opened: int) -> tuple[int, ...]:
+    """``opened`` for every class of pieces; for longer pieces the least length that holds them."""
+    return tuple(max(n, opened) for n in lengths)
+
+
+def best_fit(sizes: list[int], lengths: tuple[int, ...], opened: tuple[int, ...]) -> list[list[int]]:
+    """Bins as lists of positions in ``sizes``, which descend; ``opened``: the length that a piece opens, by the least one that holds it."""
     bins: list[list[int]] = []
     rooms: list[tuple[int, int]] = []  # (room left, bin), sorted
     for k, size in enumerate(sizes):
@@ -41,22 +48,42 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...], opened: int) -> list[li
             room, b = rooms.pop(at)
             bins[b].append(k)
         else:
-            room, b = opened if size <= opened else next(n for n in lengths if n >= size), len(bins)
+            room, b = opened[bisect_left(lengths, size)], len(bins)
             bins.append([k])
         if room > size:
             insort(rooms, (room - size, b))
     return bins
 
 
+def _outcome(sizes: list[int], lengths: tuple[int, ...], opened: tuple[int, ...], overhead: int) -> tuple[int, list[tuple[int, list[int]]]]:
+    """(cost, bins) with each bin downsized."""
+    bins = [(lengths[bisect_left(lengths, sum(sizes[k] for k in b))], b) for b in best_fit(sizes, lengths, opened)]
+    return sum(n + overhead for n, _ in bins), bins
+
+
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> list[tuple[int, list[int]]]:
-    """(bin length, positions) of the cheapest of the outcomes; ``sizes`` descend, none above the last length."""
-    best, cost = [], None
-    for opened in lengths:
-        bins = [(next(n for n in lengths if n >= sum(sizes[k] for k in b)), b) for b in best_fit(sizes, lengths, opened)]
-        total = sum(n + overhead for n, _ in bins)
-        if cost is None or total < cost:
-            best, cost = bins, total
-    return best
+    """(bin length, positions) of the cheapest outcome that opens one length; ``sizes`` descend, none above the last length."""
+    return min((_outcome(sizes, lengths, uniform(lengths, n), overhead) for n in lengths), key=lambda x: x[0])[1]
+
+
+def pack_mixed(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> list[tuple[int, list[int]]]:
+    """As ``pack``, but each class of pieces opens a length of its own: no other length for one class is cheaper."""
+    tried: dict[tuple[int, ...], int] = {}
+
+    def cost(opened: tuple[int, ...]) -> int:
+        if opened not in tried:
+            tried[opened] = _outcome(sizes, lengths, opened, overhead)[0]
+        return tried[opened]
+
+    best = min((uniform(lengths, n) for n in lengths), key=cost)
+    used, better = sorted({bisect_left(lengths, n) for n in sizes}), True
+    while better:
+        better = False
+        for k in used:
+            found = min(((*best[:k], n, *best[k + 1 :]) for n in lengths[k:]), key=cost)
+            if cost(found) < cost(best):
+                best, better = found, True
+    return _outcome(sizes, lengths, best, overhead)[1]
 
 
 def token_counts(docs: DataFrame, encoder: Callable[[], ChunkEncoder], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,7 +114,7 @@ def pack_documents(counts: DataFrame, lengths: tuple[int, ...] = LENGTHS, group_
         part = part.sort_by([("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         sizes, base = part["size"].to_pylist(), key[0].as_py() << 32
         number, length, start = [0] * len(sizes), [0] * len(sizes), [0] * len(sizes)
-        for b, (n, inside) in enumerate(pack(sizes, lengths)):
+        for b, (n, inside) in enumerate(pack_mixed(sizes, lengths)):
             at = 0
             for k in inside:
                 number[k], length[k], start[k] = base + b, n, at
