@@ -521,6 +521,18 @@ def test_language_odd_rows(spark, messy, none):
     assert language.predict(none, model, out="p", rate="r").count() == 0
 
 
+def test_every_language_is_learned(spark):
+    kinds = {"aa": ("the and with ", 4000), "bb": ("und der mit ", 3000), "cc": ("que los para ", 3), "dd": ("een het voor ", 150), "ee": ("12 ,. ", 500)}
+    rows = [(f"{k}{j}", words * 3, k) for k, (words, n) in kinds.items() for j in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(3)
+    model = language.learn(docs, bound=200)
+    assert list(model) == ["aa", "bb", "cc", "dd"]
+    got = language.predict(docs.filter("lang != 'ee'"), model, out="p", rate="r")
+    assert got.filter("p != lang").count() == 0
+    assert language._share([4000, 3000, 3, 150], 1000) == 423
+    assert language._share([4000, 3000], 10) == language.LEAST_DOCS
+
+
 def test_quality_held_out(spark):
     docs, labels, sf = held_out(spark)
     found = quality.op10_quality(spark, sf).join(labels, "doc_id").filter("held_out").collect()

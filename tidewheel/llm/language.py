@@ -10,8 +10,10 @@ and so are both ends. The letters a-z have a vector each, all other letters shar
 vectors by a hash of the code point, which bounds the number of trigrams.
 
 Text that is null or has no letter is ``und`` with score 0; so is every text where nothing could be
-learned. Learning takes at most about ``LEARN_DOCS`` rows, dealt by a hash of the id; rows of null
-lang, null id or no letter teach nothing. Equal cosines go to the smaller language name. Repeated
+learned. Learning takes at most about ``LEARN_DOCS`` rows, dealt by a hash of the id up to one bound
+for each language, so that rare ones are learned too; a language gives ``LEAST_DOCS`` rows at least,
+if it has them, however many languages there are. Rows of null lang, null id or no letter teach
+nothing. Equal cosines go to the smaller language name. Repeated
 rows and other columns make no difference to a row's result.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import slices, table, worker_model
 
-SIZE, LETTERS, SEED, LEARN_DOCS, ROWS, BLOCK, CHARS = 1024, 128, 20240229, 12_000, 256, 4096, 2_000_000
+SIZE, LETTERS, SEED, LEARN_DOCS, LEAST_DOCS, ROWS, BLOCK, CHARS = 1024, 128, 20240229, 12_000, 100, 256, 4096, 2_000_000
 
 
 class Profiler:
@@ -96,13 +98,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _share(counts: list[int], bound: int) -> int:
+    """The most rows a language may give so that all give ``bound`` at most, but ``LEAST_DOCS`` at least."""
+    left = bound
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) > left:
+            return max(LEAST_DOCS, left // (len(counts) - k))
+        left -= n
+    return max(LEAST_DOCS, *counts)
+
+
 def learn(docs: DataFrame, bound: int = LEARN_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Language prototypes from about ``bound`` of the rows at most; what reaches the driver is a vector a language."""
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("lang").isNotNull())
-    n = rows.select("id").count()
-    if n > bound:
-        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * bound / n))
+    taught = rows.filter(F.col("text").rlike(r"\p{L}"))
+    counts = taught.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = [r["n"] for r in counts.collect()]  # one number a language, as are the prototypes
+    if sum(sizes) > bound:
+        rows = taught.join(F.broadcast(counts), "lang")
+        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double") * F.col("n") < float(_share(sizes, bound) << 40))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
