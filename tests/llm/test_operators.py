@@ -556,6 +556,18 @@ def test_quality_odd_rows(spark, messy, none):
     assert {r["s"] for r in quality.score(messy, untrained, out="s").collect()} == {0.5}
 
 
+def test_texts_without_blanks_count_whole():
+    f = quality.Featuriser()
+    weigh = lambda t: Counter(dict(zip(*(x.tolist() for x in f.features(t)), strict=True)))
+    chinese = "".join(chr(0x4E00 + k * 37 % 900) for k in range(400))
+    other = chinese[:200] + "".join(chr(0x5E00 + k * 41 % 900) for k in range(200))
+    a, b = weigh(chinese), weigh(other)
+    assert len(a) > 100 and len(set(a) & set(b)) > 50 and len(set(a) - set(b)) > 50
+    assert weigh("x" * 30 + "1-" * 30) != weigh("x" * 30 + "1+" * 30)
+    assert quality._shape("1.2.3.4.5.6") == "0.0.0.0.0.0" != quality._shape("1.2.3.4-5-6")
+    assert "".join(quality._words(chinese)) == chinese and quality._words("a b" * 2) == ["a", "ba", "b"]
+
+
 def test_ftrl_by_hand():
     model = quality.Ftrl(3)
     at, x = np.array([1, 3]), np.array([2.0, 1.0])

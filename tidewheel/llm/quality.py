@@ -1,6 +1,8 @@
 """Operator 10: quality classifier, logistic regression on hashed word n-grams.
 
-Words are runs of characters other than the six ASCII blanks. Features are n-grams of two readings
+Words are runs of characters other than the six ASCII blanks; one of more than ``LONG`` characters,
+such as a text written without blanks, is cut into pieces of ``PIECE`` characters, each a word.
+Features are n-grams of two readings
 of the words: the word itself in lower case without punctuation around it (1 and 2 words), and its
 shape (1 to 3 words), in which runs of capitals, small letters and digits are one sign each and other
 characters stand for themselves; and whether a word repeats the one or two before. All are hashed
@@ -31,16 +33,16 @@ from .language import part_of
 BITS, LEARN_DOCS, SHARDS, PASSES, THRESHOLD = 18, 12_000, 4, 4, 0.3
 ALPHA, BETA, L1, L2 = 0.6, 0.5, 1e-4, 1e-5
 MASK = np.uint64((1 << BITS) - 1)
-KNOWN = 300_000
+KNOWN, LONG, PIECE = 300_000, 24, 4
 
 
 def _shape(word: str) -> str:
     out = []
-    for c in word[:24]:
+    for c in word:
         s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)
-    return "".join(out[:6])
+    return "".join(out)
 
 
 class Featuriser:
@@ -50,10 +52,9 @@ class Featuriser:
     def _new(self, word: str) -> int:
         core = word.strip("".join(c for c in set(word) if not c.isalnum())).lower() or word
         both = zlib.crc32(core.encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(_shape(word).encode("utf-8", "surrogatepass"), 7)
-        if len(word) <= 40:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            self.known[word] = both
+        if len(self.known) >= KNOWN:
+            self.known.clear()
+        self.known[word] = both
         return both
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +77,10 @@ def _words(text: str) -> list[str]:
     for c in "\t\n\x0b\x0c\r":
         if c in text:
             text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+    words = [w for w in text.split(" ") if w]
+    if any(len(w) > LONG for w in words):
+        words = [p for w in words for p in ([w] if len(w) <= LONG else [w[k : k + PIECE] for k in range(0, len(w), PIECE)])]
+    return words
 
 
 def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
