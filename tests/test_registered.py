@@ -96,3 +96,18 @@ def test_negative_gap_takes_every_event(spark, db, tmp_path):
     frame = spark.createDataFrame([(*r, 1000 + r[1]) for r in rows], "ts timestamp_ntz, event_id long, value double, user_id long")
     frame.write.parquet(f"{tmp_path}/events.parquet")
     assert [(r["ts"], r["value"]) for r in run(spark, str(tmp_path)).orderBy("ts").collect()] == negative_gap(rows)
+
+
+@pytest.mark.parametrize(("name", "size", "step"), [("count_window_3_1_all", 3, 1), ("count_window_5_3_all", 5, 3)])
+def test_windows_take_every_event(spark, db, name, size, step):
+    ids = [i for (i,) in db.execute("SELECT event_id FROM events ORDER BY event_id").fetchall()]
+    want = [(k, size, sum(ids[k : k + size])) for k in range(0, len(ids) - size + 1, step)]
+    after = len(want) * step
+    if step > 1 and after < len(ids):
+        want.append((after, len(ids) - after, sum(ids[after:])))
+    assert [tuple(r) for r in engine.QUERIES[name](spark, SF).select("start", "n", "total").orderBy("start").collect()] == want
+
+
+def test_time_shift_takes_every_event(spark, db):
+    want = [(ts + timedelta(days=1), v) for ts, v in db.execute("SELECT ts, value FROM events ORDER BY ts").fetchall()]
+    assert [(r["ts"], r["value"]) for r in engine.QUERIES["time_shift_all"](spark, SF).orderBy("ts").collect()] == want

@@ -268,6 +268,11 @@ def time_shift(spark, d):
     return S.FilteredSeries(of_type(d, "error"), (S.TimeShift(86_400),)).run(spark).result()
 
 
+@query("SELECT ts + INTERVAL '1 day' AS ts, value FROM events")
+def time_shift_all(spark, d):
+    return S.FilteredSeries(events(d), (S.TimeShift(86_400),)).run(spark).result()
+
+
 # The queries above take the users that their SQL names; these take the whole table.
 
 
@@ -552,6 +557,23 @@ _windows(3, 1)
 _windows(5, 3)
 
 
+def _all_windows(size: int, step: int):
+    """The windows of ``_windows`` over every event."""
+    partial = "" if step == 1 else f" OR s = CASE WHEN n < {size} THEN 0 ELSE ((n - {size}) // {step} + 1) * {step} END"
+    sql = f"""WITH w AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS s, count(*) OVER () AS n,
+list(event_id) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS l FROM events)
+SELECT s::BIGINT AS "start", len(l)::BIGINT AS n, list_sum(l)::BIGINT AS total FROM w WHERE s % {step} = 0 AND (len(l) = {size}{partial})"""
+
+    @query(sql, name=f"count_window_{size}_{step}_all")
+    def run(spark, d):
+        found = L.count_windows(table(spark, d, "events").select("event_id"), size, step, "event_id", "event_id")
+        return found.select("start", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+_all_windows(3, 1)
+_all_windows(5, 3)
+
+
 @query("SELECT src, event_id FROM (SELECT 0 AS src, event_id FROM events WHERE event_type = 'view' UNION ALL SELECT 1, event_id FROM events WHERE event_type = 'error')")
 def concat(spark, d):
     rows = table(spark, d, "events")
