@@ -581,6 +581,28 @@ def test_ftrl_by_hand():
     assert model.weights()[[0, 2]].tolist() == [0, 0]
 
 
+def test_repeated_rows_of_null_text_keep_their_id(spark):
+    rows = [(5, None, "x"), (5, None, "x"), (6, "a b c d e", "y"), (6, "a b c d e", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = exact_dedup.drop_exact_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in kept) == [(5, None, "x"), (6, "a b c d e", "y")]
+
+
+def test_near_copies_of_one_id_leave_one_row(spark):
+    one, two, three = ("the quick brown fox jumps over", "lorem ipsum dolor sit amet consectetur", "to be or not to be that is")
+    rows = [(1, one), (1, one), (2, one), (1, two), (3, two), (4, three), (None, three), (None, "x y z u v w"), (None, "x y z u v w"), (9, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    roots = linked({plain_fingerprint(t) for _, t in rows})
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[roots[plain_fingerprint(t)]].append((i is None, i or 0, i, t))
+    want = Counter(min(g)[2:] for g in groups.values())
+    assert len(groups) == 5
+    got = simhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("make", [exact_dedup.exact_duplicates, simhash.near_duplicates, exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, lambda d: bpe.round_trip(d, BYTES, PATTERN)])
 def test_empty_tables(none, make):
     assert make(none).count() == 0

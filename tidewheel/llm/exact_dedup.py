@@ -82,7 +82,7 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     out = out.join(gone, on(gone), "left_anti")
     if not twice.isEmpty():  # rows repeated with their id: only these are dealt out by it
         single, several = out.join(twice, on(twice), "left_anti"), out.join(twice, on(twice), "left_semi")
-        most = F.max_by(F.struct(*[F.col(f"`{c}`") for c in out.columns]), F.char_length(text)).alias("r")
+        most = F.max_by(F.struct(*[F.col(f"`{c}`") for c in out.columns]), F.coalesce(F.char_length(text), F.lit(0))).alias("r")
         out = single.unionByName(several.groupBy(doc_id, own).agg(most).select("r.*"))
     return out.drop(own)
 

@@ -14,8 +14,8 @@ tested before a link is made.
 Equal fingerprints are one class, handled once. A key that more than ``BLOCK`` classes share is dealt
 out in pairs of blocks, so no task holds more than two blocks; within a unit a spanning forest of the
 links is made rather than all of them, which leaves the components whole. Rows with equal ids keep a
-row each; null ids are allowed (a component of null ids alone has a null id). Other columns are
-ignored.
+row each; null ids are allowed (a component of null ids alone has a null id). Where copies are
+dropped, one row of each component stays. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -165,25 +165,44 @@ def near_links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint, component_id, component_size."""
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row and (fp, root, component_id, component_size) of each fingerprint."""
     rows = fingerprints(docs, doc_id, text)
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     stars = components(near_links(classes))
     rooted = classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    of = rooted.select("fp", "root").join(whole, "root").select("fp", "component_id", "component_size")
+    return rows, rooted.select("fp", "root").join(whole, "root").select("fp", "root", "component_id", "component_size")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint, component_id, component_size."""
+    rows, of = near_components(docs, doc_id, text)
     found = rows.join(of, "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; rows that share an id stand or fall together."""
-    found, other = near_duplicates(docs, doc_id, text), fresh(docs, "__other")
+    """``docs`` with one row of each component: of the smallest id (null where all are), then any one of the rows that share it."""
+    rows, of = near_components(docs, doc_id, text)
+    other = fresh(docs, "__other")
     kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.groupBy("doc_id").agg(kept.alias("kept")).filter("NOT kept").select(F.col("doc_id").alias(other))
-    gone = small(stage(gone, "near_gone"))
-    return docs.join(gone, F.col(doc_id).eqNullSafe(gone[other]), "left_anti")
+    ids = rows.join(of, "fp").groupBy("doc_id").agg(kept.alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1")
+    ids = stage(ids.select("kept", F.col("doc_id").alias(other)), "near_gone")
+    # ids of no row that stays, and those of several rows, of which each is looked at below
+    gone, several = small(ids.select(other)), small(ids.filter("kept").select(other))
+    out = docs.join(gone, F.col(doc_id).eqNullSafe(gone[other]), "left_anti")
+    if several.isEmpty():
+        return out
+    number = fresh(docs, "__number")
+    shared = docs.join(several, F.col(doc_id).eqNullSafe(several[other]), "left_semi")
+    shared = stage(shared.withColumn(number, F.monotonically_increasing_id()), "near_shared")
+    # a row's number takes the place of its id, and the id is found by it
+    prints = fingerprints(shared, number, text).withColumnRenamed("doc_id", "number")
+    owner = shared.select(F.col(number).alias("number"), F.col(doc_id).cast("long").alias("owner"))
+    best = prints.join(owner, "number").join(of, "fp").filter(F.col("owner").eqNullSafe(F.col("component_id")))
+    best = stage(best.groupBy("root").agg(F.min("number").alias("number")).select(F.col("number").alias(other)), "near_best")
+    return out.unionByName(shared.join(small(best), shared[number] == best[other], "left_semi").drop(number))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
