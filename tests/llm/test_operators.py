@@ -48,7 +48,6 @@ def test_against_sql(spark, name):
 
 def expected_ids(docs):
     model = Tokenizer.from_file(WORDS)
-    model.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     return [(i, model.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in rows]
 
@@ -121,13 +120,30 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert np.frombuffer(got, "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids + [1], repr(t)
 
 
-def test_chunk_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(token_files.ChunkEncoder, "CHUNKS", 50)
+def test_strings_of_added_tokens_are_their_ids():
     model = token_files.ChunkEncoder(WORDS, 1)
-    first = model.encode([f"word{k} thing" for k in range(40)])
-    model.encode([f"other{k}" for k in range(40)])
-    assert len(model.known) <= 60
-    assert model.encode([f"word{k} thing" for k in range(40)]) == first
+    got = model.encode(["a <|endoftext|> c", "<|startoftext|>", "x<|endoftext|><|endoftext|>y"])
+    assert 49407 in np.frombuffer(got[0], "<u2")
+    assert np.frombuffer(got[1], "<u2").tolist() == [49406, 1]
+    assert np.frombuffer(got[2], "<u2").tolist()[1:3] == [49407, 49407]
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(token_files.ChunkEncoder, "CHARS", 50)
+    model, lib, random_ = token_files.ChunkEncoder(WORDS, 1), Tokenizer.from_file(WORDS), random.Random(6)
+    texts = ["".join(random_.choice("abc é' 日\n.") * random_.choice((1, 1, 1, 70)) for _ in range(random_.randint(0, 300))) for _ in range(60)]
+    for got, t in zip(model.encode(texts), texts, strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids + [1]
+
+
+def test_kept_units_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files.ChunkEncoder, "SLOTS", 64)
+    model = token_files.ChunkEncoder(WORDS, 1)
+    first = model.encode([f"word{k} thing" for k in range(20)])
+    model.encode([f"other{'x' * k}" for k in range(20)])
+    model.encode(["one more"])
+    assert model.units <= 4
+    assert model.encode([f"word{k} thing" for k in range(20)]) == first
 
 
 # ---------------------------------------------------------------- 2

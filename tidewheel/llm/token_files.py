@@ -12,8 +12,9 @@ Ids are little-endian unsigned 16-bit integers where the vocabulary allows, else
 Shards are written by attempt-unique names and count only once the manifest, a Parquet table that
 Spark commits atomically, lists them; a lost or repeated task leaves at most an unlisted file.
 
-Null text counts as empty (its ids are the end id alone). Rows repeated or with equal ids are
-written each, ordered by id and a hash of the text; null ids come first. An empty table gives an empty manifest.
+Null and empty texts give the end id alone. A very long text is encoded in parts that end at a space. Rows
+repeated or with equal ids are written each, ordered by id and a hash of their token ids; null ids come first.
+Other columns of the input are ignored, whatever their names. An empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_store, worker_model
+from .common import fresh_path, open_store, release, slices, stage, worker_model
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -44,6 +45,10 @@ FRAME_IDS = 1 << 20
 SHARD_BYTES = 64 << 20
 SHARD_DOCS = 1 << 18
 MOST_TASKS = 20_000
+#: Kinds of a character: of a run of letters, of another run, or of a chunk that is not cut; 0: a space.
+LETTERS, OTHERS, WHOLE = 1, 2, 3
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+ENCODED = "doc_id long, n long, ids binary"
 MANIFEST = "part int, seq int, file string, first_id long, docs long, ids long, bytes long"
 
 
@@ -132,112 +137,272 @@ class ChunkEncoder:
     """Encodes whole texts with a ``tokenizers`` model that splits at white space and drops it.
 
     No match of such a model's split pattern holds white space, and neither its normaliser nor its
-    merges look across it, so the ids of a text are those of its space-separated chunks, in order.
-    In a text of Latin-1 characters without apostrophe every run of letters is a match of its own as
-    well, and lower-casing first changes nothing, so its chunks are runs of letters or of others.
-    Chunks recur: each is encoded once and kept, up to ``CHUNKS`` chunks of at most ``LONGEST``
-    characters. Strings of special tokens are ordinary text.
+    merges look across it, so the ids of a text are those of its space-separated chunks, in order. In
+    a chunk of Latin-1 characters without apostrophe every run of letters is a match of its own as
+    well, and lower-casing first changes nothing, so it is cut further into runs of letters and of
+    others. Units of at most 16 characters are two 64-bit numbers and are looked up many at once in a
+    hash table of arrays; the others, and units seen first, go to the model. ``SLOTS`` and ``POOL``
+    bound what is kept: beyond them all is forgotten. Strings of the model's added tokens are cut out
+    first and are their ids, as the library has it.
     """
 
-    CHUNKS, LONGEST, AT_ONCE = 800_000, 48, 2048
+    SLOTS, POOL, LONGEST, AT_ONCE, CHARS = 1 << 21, 1 << 22, 48, 2048, 1 << 20
     BETWEEN = "\x01"
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
-        letters = "a-zªµºß-öø-ÿ"
-        self.runs = re.compile(f"[{letters}]+|[^ \\t\\n\\r{letters}]+").findall
+        self.end_id = end_id
+        added = {t.content: k for k, t in self.model.get_added_tokens_decoder().items()}
+        self.added = {t: np.array([k], self.dtype) for t, k in added.items()}
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+        latin = [chr(c) for c in range(256)]
+        self.lower = np.array([ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else ord(c) for c in latin], np.uint8)
+        letters = np.array([c.isalpha() for c in latin])
+        self.kinds = np.where(letters, LETTERS, OTHERS).astype(np.uint8)
+        self.kinds[[ord(c) for c in " \t\n\r"]] = 0
+        self.kinds[[0, ord("'")]] = WHOLE
         cut = self._ids(self.BETWEEN)
         self.cut = cut[0] if len(cut) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.low, self.high = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.entry = np.full(self.SLOTS, -1, np.int32)
+        self.known: dict[str, int] = {}  # of longer units and odd ones
+        self.first, self.count, self.units = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.pool, self.used = np.zeros(1 << 14, self.dtype), 0
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def chunks(self, text: str) -> list[str]:
-        plain = "'" not in text and self.BETWEEN not in text
-        if plain and not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                plain = False
-        return self.runs(text.lower()) if plain else text.replace("\n", " ").split(" ")
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.chunks(t) if t else [] for t in texts]
-        found = [list(map(self.known.get, chunks)) for chunks in split]
-        short = [k for k, raws in enumerate(found) if None in raws]
-        new = {c for k in short for c, raw in zip(split[k], found[k], strict=True) if raw is None}
-        made = dict(self._encoded(list(new)))
-        for k in short:
-            found[k] = [made[c] if raw is None else raw for c, raw in zip(split[k], found[k], strict=True)]
-        if len(self.known) + len(made) > self.CHUNKS:
-            self.known.clear()
-        self.known.update((c, raw) for c, raw in made.items() if len(c) <= self.LONGEST)
-        return [b"".join(raws) + self.end for raws in found]
-
-    def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Many words as one text, cut again at the id of a character that none of them holds."""
-        plain = [w for w in words if w and self.cut is not None and len(w) <= self.LONGEST and self.BETWEEN not in w]
+        """The ids of each text and the end id, as bytes of the file's width."""
+        ids, counts = self.encode_all(texts)
+        raw, ends = ids.tobytes(), (np.cumsum(counts) * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with the end id, and how many each has."""
+        out, counts = [], np.ones(len(texts), np.int64)
+        held: list[str] = []
+        owner: list[int] = []
+        chars = 0
+
+        def flush() -> None:
+            nonlocal chars
+            if held:
+                ids, n = self._encoded(held)
+                np.add.at(counts, owner, n)
+                out.append(ids)
+                held.clear()
+                owner.clear()
+                chars = 0
+
+        for k, text in enumerate(texts):
+            text = text or ""
+            pieces = self.cut_added(text) if self.cut_added and "<|" in text else (text,)
+            for j, piece in enumerate(pieces):
+                if j % 2:
+                    flush()
+                    out.append(self.added[piece])
+                    counts[k] += 1
+                    continue
+                for part in self._cut(piece):
+                    held.append(part)
+                    owner.append(k)
+                    chars += len(part)
+                    if chars >= self.CHARS:
+                        flush()
+        flush()
+        every = np.concatenate(out) if out else np.zeros(0, self.dtype)
+        return np.insert(every, np.cumsum(counts - 1), self.end_id), counts
+
+    def _cut(self, text: str) -> Iterator[str]:
+        """A long text in parts that end at a space or line."""
+        at = 0
+        while len(text) - at > self.CHARS:
+            end = max(text.rfind(" ", at + 1, at + self.CHARS), text.rfind("\n", at + 1, at + self.CHARS))
+            if end < 0:
+                found = [x for x in (text.find(" ", at + self.CHARS), text.find("\n", at + self.CHARS)) if x >= 0]
+                end = min(found, default=len(text))
+            yield text[at:end]
+            at = end
+        if at < len(text):
+            yield text[at:]
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each text has), without end ids."""
+        if self.used > self.POOL or self.units > self.SLOTS // 2:
+            self._forget()
+        whole = "\n".join(texts) + "\n"
+        try:
+            plain = np.frombuffer(whole.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+            plain = np.where(points < 256, points, 0).astype(np.uint8)  # zero: never on its own
+        text, kinds = np.zeros(len(plain) + 16, np.uint8), self.kinds[plain]
+        text[:-16] = self.lower[plain]
+        if (odd := np.flatnonzero(kinds == WHOLE)).size:
+            spaces = np.flatnonzero(kinds == 0)
+            at = np.unique(np.searchsorted(spaces, odd))
+            change = np.zeros(len(kinds) + 1, np.int8)
+            change[np.where(at > 0, spaces[at - 1] + 1, 0)] += 1
+            change[spaces[at]] -= 1
+            kinds[np.cumsum(change[:-1], dtype=np.int8) > 0] = WHOLE
+        bounds = np.concatenate(([0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1, [len(kinds)]))
+        own = kinds[bounds[:-1]]
+        start, size, own = (x[own > 0] for x in (bounds[:-1], np.diff(bounds), own))
+        entry = self._entries(whole, text, start, size, own)
+        n, first = self.count[entry], self.first[entry]
+        after = np.cumsum(n)
+        ids = self.pool[np.repeat(first - after + n, n) + np.arange(after[-1] if len(after) else 0)]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        upto = np.concatenate(([0], after))[np.searchsorted(start, ends)]
+        return ids, np.diff(upto, prepend=0)
+
+    def _entries(self, whole: str, text: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The number of each unit among those kept."""
+        out = np.full(len(start), -1, np.int64)
+        short = np.flatnonzero((size <= 16) & (own != WHOLE))
+        words = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), (len(text) - 7,), (1,))
+        s, n = start[short], size[short]
+        low, high = words[s] & MASKS[np.minimum(n, 8)], words[s + 8] & MASKS[np.maximum(n, 8) - 8]
+        out[short], new = self._found(low, high)
+        if len(new):
+            order = np.lexsort((low[new], high[new]))
+            a, b = low[new][order], high[new][order]
+            some = new[order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))]]
+            raw = [text[a : a + b].tobytes().decode("latin-1") for a, b in zip(s[some].tolist(), n[some].tolist(), strict=True)]
+            self._insert(low[some], high[some], self._learn(raw))
+            out[short[new]] = self._found(low[new], high[new])[0]
+        rest = np.flatnonzero(out < 0)
+        if len(rest):
+            raw = [whole[a : a + b] for a, b in zip(start[rest].tolist(), size[rest].tolist(), strict=True)]
+            todo = list({w for w in raw if w not in self.known})
+            made = dict(zip(todo, self._learn(todo).tolist(), strict=True))
+            self.known.update((w, k) for w, k in made.items() if len(w) <= self.LONGEST)
+            out[rest] = [made[w] if w in made else self.known[w] for w in raw]
+        return out
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(self.SLOTS - 1)).astype(np.int64)
+
+    def _found(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, places of those that are not kept): probing slot after slot, all units at once."""
+        slot, out = self._slots(low, high), np.full(len(low), -1, np.int64)
+        todo, new = np.arange(len(low)), []
+        while len(todo):
+            at = slot[todo]
+            entry = self.entry[at]
+            hit = (self.low[at] == low[todo]) & (self.high[at] == high[todo]) & (entry >= 0)
+            out[todo[hit]] = entry[hit]
+            new.append(todo[entry < 0])
+            todo = todo[~hit & (entry >= 0)]
+            slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
+        return out, np.concatenate(new) if new else todo
+
+    def _insert(self, low: np.ndarray, high: np.ndarray, entries: np.ndarray) -> None:
+        for a, b, slot, k in zip(low, high, self._slots(low, high).tolist(), entries.tolist(), strict=True):
+            while self.entry[slot] >= 0:
+                slot = (slot + 1) & (self.SLOTS - 1)
+            self.low[slot], self.high[slot], self.entry[slot] = a, b, k
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """The numbers of new units, whose ids are put into the pool.
+
+        Many units go to the model as one text, which is cut again at the id of a character that none of them holds.
+        """
+        plain, ids, n = [], [], np.zeros(len(units), np.int64)
+        odd = []
+        for k, u in enumerate(units):
+            (plain if self.cut is not None and len(u) <= self.LONGEST and self.BETWEEN not in u else odd).append(k)
         for at in range(0, len(plain), self.AT_ONCE):
             part = plain[at : at + self.AT_ONCE]
-            ids = np.array(self._ids(f" {self.BETWEEN} ".join(part)), self.dtype)
-            cuts = np.flatnonzero(ids == self.cut)
+            some = np.array(self._ids(f" {self.BETWEEN} ".join([units[k] for k in part])), self.dtype)
+            cuts = np.flatnonzero(some == self.cut)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep words apart at spaces")
-            raw, w = ids.tobytes(), self.width
-            for word, a, b in zip(part, [0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(raw)], strict=True):
-                yield word, raw[a:b]
-        for word in set(words).difference(plain):
-            yield word, np.array(self._ids(word), self.dtype).tobytes()
+            n[part] = np.diff(np.concatenate(([-1], cuts, [len(some)]))) - 1
+            ids.append(np.delete(some, cuts))
+        for k in odd:
+            ids.append(np.array(self._ids(units[k]), self.dtype))
+            n[k] = len(ids[-1])
+        every, order = np.concatenate(ids) if ids else np.zeros(0, self.dtype), np.array(plain + odd, np.int64)
+        while self.units + len(units) > len(self.first):
+            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
+        if self.used + len(every) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(every)), self.dtype)))
+        numbers = np.arange(self.units, self.units + len(units))
+        self.count[numbers] = n
+        self.first[numbers[order]] = self.used + np.cumsum(n[order]) - n[order]
+        self.pool[self.used : self.used + len(every)] = every
+        self.units, self.used = self.units + len(units), self.used + len(every)
+        return numbers
+
+
+def encode_documents(docs: DataFrame, encoder: Callable[[], ChunkEncoder], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n, ids) of every row, staged: the ids in the file's width, the end id last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _encoder(encoder)
+        for batch in slices(batches, 512):
+            raw = model.encode(batch.column(1).to_pylist())
+            n = [len(r) // model.width for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "ids"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return stage(rows.mapInArrow(run, ENCODED), "ids")
 
 
 def write_token_files(docs: DataFrame, out: str, encoder: Callable[[], ChunkEncoder], doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encode ``docs`` and write shards below ``out`` in ascending id order; returns the manifest."""
+    """Encode ``docs`` and write shards below ``out`` in ascending id order; returns the manifest.
+
+    Texts are encoded where they are read; what is sorted and shuffled is their ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), []
         store, base = open_store(out)
-        model = writer = name = None
+        writer = name = None
 
         def close():
             writer.close()
             made.append({"part": part, "seq": len(made), "file": name, "first_id": writer.docs[0][0], "docs": len(writer.docs), "ids": writer.ids, "bytes": writer.size})
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                model = model or _encoder(encoder)
-                for key, raw in zip(some.column(0).to_pylist(), model.encode(some.column(1).to_pylist()), strict=True):
-                    if writer is None:
-                        name = f"part-{part:06d}-{len(made):04d}-{uuid.uuid4().hex}.tok.zst"
-                        store.create_dir(f"{base}/data", recursive=True)
-                        writer = ShardWriter(store.open_output_stream(f"{base}/data/{name}", compression=None), model.width)
-                    writer.add(key, raw)
-                    if writer.size >= shard_bytes or len(writer.docs) >= SHARD_DOCS:
-                        close()
-                        writer = None
+        for some in slices(batches, 512):
+            for key, n, raw in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                if writer is None:
+                    name = f"part-{part:06d}-{len(made):04d}-{uuid.uuid4().hex}.tok.zst"
+                    store.create_dir(f"{base}/data", recursive=True)
+                    writer = ShardWriter(store.open_output_stream(f"{base}/data/{name}", compression=None), len(raw) // n)
+                writer.add(key, raw)
+                if writer.size >= shard_bytes or len(writer.docs) >= SHARD_DOCS:
+                    close()
+                    writer = None
         if writer is not None:
             close()
         yield pa.RecordBatch.from_pylist(made, schema=_ARROW_MANIFEST)
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = encode_documents(docs, encoder, doc_id, text)
     # ties are told apart, so that rows that share an id can be cut into ranges too
     order = ["doc_id", "tie", "row"]
-    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{out}/manifest")
+    tied = rows.withColumns({"tie": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+    tied.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids").mapInArrow(run, MANIFEST).write.parquet(f"{out}/manifest")
+    release(rows)
     return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
 _ARROW_MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), *((n, pa.int64()) for n in ("first_id", "docs", "ids", "bytes"))])
+
+
 def _encoder(make: Callable[[], ChunkEncoder]) -> ChunkEncoder:
     """The worker's own, whatever the number of its tasks."""
     key = getattr(make, "key", None)
