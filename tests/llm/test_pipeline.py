@@ -52,7 +52,8 @@ def test_stages_against_brute_force(spark):
     counter = token_files.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
     tokens = Counter()
     for r in packed:
-        tokens[r["doc_id"]] += r["piece_tokens"]
+        for p in r["parts"]:
+            tokens[p["doc_id"]] += p["n"]
         assert r["bin_length"] in packing.LENGTHS
     assert tokens == {i: len(counter.encode([t])[0]) // 2 for i, t in want[-1]}
 

@@ -55,11 +55,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage durably."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewheel_path = path
     return out
@@ -98,6 +98,8 @@ def open_store(uri: str):
 
 #: Rows of a side that is broadcast; a larger one is joined by shuffles.
 FEW = 100_000
+#: Tasks that one step is dealt into at most.
+MOST_TASKS = 20_000
 
 
 def small(side: DataFrame) -> DataFrame:

@@ -356,7 +356,7 @@ def encode_documents(docs: DataFrame, encoder: Callable[[], ChunkEncoder], doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stage(rows.mapInArrow(run, ENCODED), "ids")
+    return stage(rows.mapInArrow(run, ENCODED), "ids", "zstd")
 
 
 def write_token_files(docs: DataFrame, out: str, encoder: Callable[[], ChunkEncoder], doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
