@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 
@@ -19,22 +20,34 @@ def chunk_of(ts: Column, us: int = HOUR_US) -> Column:
     return F.floor(F.unix_micros(ts) / us)
 
 
-def neighbour(df: DataFrame, order: list[str], taken: Column, out: str, chunk: Column, where: Column | None = None, after: bool = False) -> DataFrame:
-    """``df`` with ``out``: ``taken`` of the last row strictly before each row (or the first after it) for which ``where`` holds.
+def neighbours(df: DataFrame, order: list[str], taken: Column, chunk: Column, before: str | None = None, after: str | None = None, where: Column | None = None) -> DataFrame:
+    """``df`` with ``before`` and ``after``, where named: ``taken`` of the last row strictly before each row, and of the first after it, for which ``where`` holds.
 
-    ``chunk`` must not decrease along ``order``.
+    ``chunk`` must not decrease along ``order``; rows without one go. Rows are dealt out by chunk once: the
+    windows inside chunks and the table of chunk edges read the same exchange.
     """
     where = F.lit(True) if where is None else where
-    held = df.withColumn("__chunk", chunk).withColumn("__taken", F.when(where, F.struct(taken.alias("v"))))
-    keys = [F.desc(c) if after else F.asc(c) for c in order]
-    rank = F.struct(*order)
-    best = (F.min_by if after else F.max_by)("__taken", F.when(F.col("__taken").isNotNull(), rank))
-    edges = held.groupBy("__chunk").agg(best.alias("__edge"))
-    across = W.orderBy(F.desc("__chunk") if after else F.asc("__chunk")).rowsBetween(W.unboundedPreceding, -1)
-    edges = edges.select("__chunk", F.last("__edge", ignorenulls=True).over(across).alias("__carried"))
-    inside = W.partitionBy("__chunk").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    held = held.withColumn("__near", F.last("__taken", ignorenulls=True).over(inside))
-    return held.join(edges, "__chunk").withColumn(out, F.coalesce("__near", "__carried")["v"]).drop("__chunk", "__taken", "__near", "__carried")
+    held = df.withColumn("__chunk", chunk).filter(F.col("__chunk").isNotNull()).withColumn("__taken", F.when(where, F.struct(taken.alias("v"))))
+    held = held.repartition(F.col("__chunk"))
+    # whole rows are compared for their order alone; naming every column lets both readers share the exchange
+    row, rank = F.struct(*[F.col(f"`{c}`") for c in held.columns]), F.when(F.col("__taken").isNotNull(), F.struct(*order))
+    edges = held.groupBy("__chunk").agg(F.max_by(row, rank).alias("__last"), F.min_by(row, rank).alias("__first")).withColumnRenamed("__chunk", "__edge")
+    inside, carried, out = W.partitionBy("__chunk").orderBy(*order), [F.col("__edge")], {}
+    for name, edge, across, frame, near in (
+        (before, "__last", W.orderBy("__edge"), inside.rowsBetween(W.unboundedPreceding, -1), F.last),
+        (after, "__first", W.orderBy(F.desc("__edge")), inside.rowsBetween(1, W.unboundedFollowing), F.first),
+    ):
+        if name:
+            carried.append(F.last(F.col(edge)["__taken"], ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias(f"__far_{edge}"))
+            held = held.withColumn(f"__near_{edge}", near("__taken", ignorenulls=True).over(frame))
+            out[name] = F.coalesce(f"__near_{edge}", f"__far_{edge}")["v"]
+    found = held.join(edges.select(*carried), F.col("__chunk") == F.col("__edge"), "left")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
+
+
+def neighbour(df: DataFrame, order: list[str], taken: Column, out: str, chunk: Column, where: Column | None = None) -> DataFrame:
+    """``df`` with ``out``: ``taken`` of the last row strictly before each row for which ``where`` holds; see ``neighbours``."""
+    return neighbours(df, order, taken, chunk, before=out, where=where)
 
 
 def running_total(df: DataFrame, value: str, order: list[str], out: str, chunk: Column, group: Column) -> DataFrame:
@@ -52,10 +65,25 @@ def running_total(df: DataFrame, value: str, order: list[str], out: str, chunk:
     return held.withColumn(out, F.col(out) + F.col("__before")).drop("__group", "__chunk", "__g", "__c", "__before")
 
 
+#: Values for each part that bounds of text are taken from.
+SAMPLED = 20
+
+
 def bounds_of(df: DataFrame, key: str, parts: int | None = None) -> list:
-    """Quantiles of a numeric or time column that cut ``df`` into about equal parts; one narrow scan."""
+    """Values that cut ``df`` into about equal parts by a column; one narrow scan.
+
+    Numbers and times are cut at approximate quantiles, other types at those of a random sample of
+    ``SAMPLED`` values a part. Bounds say where rows go, not which; none is left out.
+    """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"] if parts > 1 else None
+    if parts < 2:
+        return []
+    if isinstance(df.schema[key].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        found = df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"]
+    else:
+        some = df.select(key).filter(F.col(key).isNotNull()).orderBy(F.rand(42)).limit(SAMPLED * parts).collect()
+        every = sorted(r[0] for r in some)
+        found = [every[len(every) * k // parts] for k in range(1, parts)] if every else None
     return sorted({b for b in found or [] if b is not None})
 
 

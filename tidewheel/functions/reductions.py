@@ -101,37 +101,38 @@ def paired(name: str, actual: Column, predicted: Column) -> Column:
     raise QueryError(f"unknown paired reduction {name!r}")
 
 
+def _plus(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
 def across(name: str, columns: list[Column], out: str) -> Column:
-    """The reduction of one row's values, which are not null unless partial; nulls are skipped."""
-    every = F.array(*columns)
-    some = F.filter(every, lambda x: x.isNotNull())
-    n = F.size(some)
-    total = F.aggregate(some, F.lit(0).cast("double"), lambda s, x: s + x)
+    """The reduction of one row's values, which are not null unless partial; nulls are skipped.
+
+    Plain arithmetic on the columns, which stays in generated code; only percentiles make an array.
+    """
+    n = _plus([F.when(c.isNotNull(), 1).otherwise(0) for c in columns])
+    some = F.nullif(n, F.lit(0))
     if name == "count":
         found = n
     elif name in ("first", "last"):
-        found = F.get(some, F.lit(0) if name == "first" else n - 1)
+        found = F.coalesce(*(columns if name == "first" else reversed(columns)))
     elif name == "sum":
-        found = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in columns])
-        found = F.when(n > 0, found)
-    elif name == "min":
-        found = F.array_min(some)
-    elif name == "max":
-        found = F.array_max(some)
-    elif name == "spread":
-        found = F.array_max(some) - F.array_min(some)
-    elif name == "avg":
-        found = total / F.nullif(n, F.lit(0))
-    elif name in ("variance", "stddev"):
-        mean = total / F.nullif(n, F.lit(0))
-        squares = F.aggregate(some, F.lit(0).cast("double"), lambda s, x: s + (x - mean) * (x - mean))
-        found = squares / F.nullif(n, F.lit(0))
-        found = F.sqrt(found) if name == "stddev" else found
+        found = F.when(n > 0, _plus([F.coalesce(c, F.lit(0)) for c in columns]))
+    elif name in ("min", "max", "spread"):
+        low, high = (columns[0], columns[0]) if len(columns) == 1 else (F.least(*columns), F.greatest(*columns))
+        found = {"min": low, "max": high}.get(name, high - low)
+    elif name in ("avg", "variance", "stddev"):
+        values = [c.cast("double") for c in columns]
+        found = _plus([F.coalesce(v, F.lit(0.0)) for v in values]) / some
+        if name != "avg":
+            found = _plus([F.coalesce((v - found) * (v - found), F.lit(0.0)) for v in values]) / some
+            found = F.sqrt(found) if name == "stddev" else found
     elif name in PERCENTILES:
-        ranked, at = F.array_sort(some), (n - 1) * F.lit(PERCENTILES[name])
-        low = F.get(ranked, F.floor(at).cast("int")).cast("double")
-        high = F.get(ranked, F.ceil(at).cast("int")).cast("double")
-        found = low + (high - low) * (at - F.floor(at))
+        ranked, at = F.sort_array(F.array(*columns)), (n - 1) * F.lit(PERCENTILES[name])  # nulls come first
+        skip = F.lit(len(columns)) - n
+        low = F.get(ranked, (F.floor(at) + skip).cast("int")).cast("double")
+        high = F.get(ranked, (F.ceil(at) + skip).cast("int")).cast("double")
+        found = F.when(n > 0, low + (high - low) * (at - F.floor(at)))
     else:
         raise QueryError(f"{name} does not reduce across values")
     return found.cast(spark_type(out))

@@ -6,16 +6,18 @@ metadata. Nodes check everything they can when they run, which starts no Spark j
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Constant, Expr, Scope, required_boolean
-from ..functions.ordered import DAY_US, chunk_of, neighbour
+from ..functions.ordered import DAY_US, chunk_of, neighbour, neighbours
 from ..functions.periods import Period
 from ..functions.reductions import check_reduction, check_source, over_rows, result_type
 from ..meta import FieldMeta, NewField, QueryError, merged, spark_type
@@ -230,20 +232,27 @@ def aligned_columns(df: DataFrame, period: Period, fields: dict[str, tuple[Field
     return found.select("ts", *fields)
 
 
+#: Buckets that one task makes at a time.
+BLOCK = 4096
+
+
+def grid(ends: DataFrame, period: Period) -> DataFrame:
+    """(ts) of the buckets numbered from ``a`` to ``b`` of one row, made in blocks that are dealt over tasks."""
+    ends = ends.filter("a <= b")
+    blocks = ends.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / BLOCK).cast("long"))).alias("k"), "a", "b").repartition(F.col("k"))
+    numbers = blocks.select(F.explode(F.sequence(F.col("a") + F.col("k") * BLOCK, F.least(F.col("b"), F.col("a") + (F.col("k") + 1) * BLOCK - 1))).alias("n"))
+    return numbers.select(period.start(F.col("n")).alias("ts"))
+
+
 def filled(df: DataFrame, period: Period, modes: dict[str, tuple[str, str]]) -> DataFrame:
     """A row for each bucket from the first to the last; ``modes``: column to (mode, Spark type)."""
-    ends = df.agg(F.min(period.index(F.col("ts"))).alias("a"), F.max(period.index(F.col("ts"))).alias("b")).filter("a IS NOT NULL")
-    block = 4096
-    blocks = ends.select(F.explode(F.sequence(F.lit(0), F.floor((F.col("b") - F.col("a")) / block).cast("int"))).alias("k"), "a", "b").repartition(F.col("k"))
-    numbers = blocks.select(F.explode(F.sequence(F.col("a") + F.col("k") * block, F.least(F.col("b"), F.col("a") + (F.col("k") + 1) * block - 1))).alias("n"))
-    grid = numbers.select(period.start(F.col("n")).alias("ts"))
-    both = grid.join(df.withColumn("known", F.lit(True)), "ts", "left")
+    both = grid(df.agg(F.min(period.index(F.col("ts"))).alias("a"), F.max(period.index(F.col("ts"))).alias("b")), period)
+    both = both.join(df.withColumn("known", F.lit(True)), "ts", "left")
     names = list(modes)
     taken = F.struct("ts", *names)
     known, chunk = F.col("known").isNotNull(), bucket_chunk(period)
-    both = neighbour(both, ["ts"], taken, "prev", chunk, known)
-    if any(m == "linear" for m, _ in modes.values()):
-        both = neighbour(both, ["ts"], taken, "next", chunk, known, after=True)
+    linear = any(m == "linear" for m, _ in modes.values())
+    both = neighbours(both, ["ts"], taken, chunk, "prev", "next" if linear else None, known)
     for c, (mode, kind) in modes.items():
         if mode == "linear":
             made = between(F.col("prev")[c], F.col("next")[c], F.col("prev")["ts"], F.col("next")["ts"], F.col("ts"), kind)
@@ -325,10 +334,7 @@ class Counter:
             marked = df.join(F.broadcast(first), ["ts", "seq"], "left").withColumn("sets", (F.col("value") >= 0) | F.col("first").isNotNull()).drop("first")
             rows = neighbour(marked, order, F.struct("ts", "seq", "value"), "base", chunk, F.col("sets"))
             if gap:
-                low = rows.filter(~F.col("sets")).groupBy("base").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "value"))).alias("low"))
-                rows = rows.filter("sets").join(low, "base", "left")
-                over = lambda acc, x: F.when(F.unix_micros(x["ts"]) - F.unix_micros(acc["ts"]) > gap, x).otherwise(acc)
-                rows = rows.withColumn("base", F.when(F.col("low").isNull(), F.col("base")).otherwise(F.aggregate("low", F.col("base"), over)))
+                rows = low_folded(rows.filter("base IS NOT NULL"), gap)
         us = F.unix_micros("ts") - F.unix_micros(F.col("base")["ts"])
         rows = rows.filter("base IS NOT NULL")
         if gap:
@@ -347,6 +353,41 @@ class Counter:
         return rows.select("ts", "seq", delta.alias("delta"), us.alias("us"))
 
 
+def low_folded(rows: DataFrame, gap: int) -> DataFrame:
+    """(ts, seq, value, base) of the rows that set a baseline, ``base`` moved on by the readings below zero since.
+
+    ``rows``: (ts, seq, value, sets, base). A reading below zero that is more than ``gap`` microseconds from the
+    baseline takes its place. A baseline's rows are streamed in order of time, with one baseline held, so
+    however long a series stays below zero no task holds it.
+    """
+    kind = rows.schema["value"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = at = value = None
+        for batch in batches:
+            b_us, b_seq, us, seq = (batch.column(k).to_numpy() for k in range(4))
+            low, b_value, values = ~batch.column(4).to_numpy(zero_copy_only=False), batch.column(5), batch.column(6)
+            n, k, out = batch.num_rows, 0, []
+            first = np.flatnonzero(np.append(True, (b_us[1:] != b_us[:-1]) | (b_seq[1:] != b_seq[:-1]))) if n else []
+            for k, end in zip(first, [*first[1:], n], strict=True):
+                if own != (b_us[k], b_seq[k]):
+                    own, at, value = (b_us[k], b_seq[k]), b_us[k], b_value[int(k)].as_py()
+                lows = np.flatnonzero(low[k:end]) + k
+                times = us[lows]
+                while len(times) and (j := int(np.searchsorted(times, at + gap, "right"))) < len(times):
+                    at, value = times[j], values[int(lows[j])].as_py()
+                    lows, times = lows[j + 1 :], times[j + 1 :]
+                out += [(int(us[i]), int(seq[i]), values[int(i)].as_py(), int(at), value) for i in np.flatnonzero(~low[k:end]) + k]
+            types = [pa.int64(), pa.int64(), values.type, pa.int64(), values.type]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 5, types, strict=True)], names=["us", "seq", "value", "b_us", "b_value"])
+
+    base = F.col("base")
+    flat = rows.select(F.unix_micros(base["ts"]).alias("b_us"), base["seq"].alias("b_seq"), F.unix_micros("ts").alias("us"), "seq", "sets", base["value"].alias("b_value"), "value")
+    flat = flat.repartition("b_us", "b_seq").sortWithinPartitions("b_us", "b_seq", "us", "seq")
+    found = flat.mapInArrow(run, f"us long, seq long, value {kind}, b_us long, b_value {kind}")
+    return found.select(F.timestamp_micros("us").alias("ts"), "seq", "value", F.struct(F.timestamp_micros("b_us").alias("ts"), F.col("b_value").alias("value")).alias("base"))
+
+
 def _counted(series: Series, what: str) -> None:
     if not series.meta.numeric:
         raise QueryError(f"{what} needs numbers, not {series.meta.data_type}")
@@ -480,8 +521,7 @@ class ReductionSeries(Datasource):
 def aligned_timestamps(spark: SparkSession, period: Period, start: datetime, end: datetime) -> DataFrame:
     """(ts) of each bucket from the one of ``start`` while before ``end``."""
     ends = spark.range(1).select(period.index(F.lit(start).cast("timestamp")).alias("a"), period.index(F.lit(end).cast("timestamp")).alias("b"))
-    grid = ends.select(F.explode(F.sequence("a", "b")).alias("n")).select(period.start(F.col("n")).alias("ts"))
-    return grid.filter(F.col("ts") < F.lit(end))
+    return grid(ends, period).filter(F.col("ts") < F.lit(end))
 
 
 def align_delta(series: Series, period: Period) -> Series:

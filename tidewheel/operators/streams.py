@@ -7,15 +7,19 @@ a limit has left.
 
 from __future__ import annotations
 
+import itertools
+import queue
+import threading
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.ordered import with_position
 from ..meta import QueryError
@@ -68,14 +72,21 @@ def limited(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def skipped(df: DataFrame, n: int, *order: str) -> DataFrame:
-    return df.orderBy(*order).offset(max(0, n))
+    """The rows from position ``n`` on, by position, so that no task takes them all."""
+    return _between(df, max(0, n), None, order)
+
+
+def _between(df: DataFrame, first: int, last: int | None, order: tuple[str, ...]) -> DataFrame:
+    rows = with_position(df, order[0], order[1:], "__pos").filter(F.col("__pos") >= first)
+    rows = rows if last is None else rows.filter(F.col("__pos") < last)
+    return rows.orderBy("__pos").drop("__pos")
 
 
 def page(df: DataFrame, number: int, size: int, *order: str) -> DataFrame:
     """The zero-based page; empty for a negative number or a size that is not positive."""
     if number < 0 or size <= 0:
         return df.limit(0)
-    return df.orderBy(*order).offset(number * size).limit(size)
+    return _between(df, number * size, (number + 1) * size, order)
 
 
 def sampled(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -114,9 +125,13 @@ def concatenated(*inputs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("src", F.lit(k)) for k, df in enumerate(inputs)])
 
 
-def merged_sorted(key: str, seq: str, *inputs: DataFrame) -> DataFrame:
-    """Sorted inputs as one, in order of (key, input, seq): equal keys come from the first input first."""
-    return concatenated(*inputs).orderBy(key, "src", seq)
+def merged_sorted(key: str, seq: str, *inputs: DataFrame, position: str | None = None) -> DataFrame:
+    """Sorted inputs as one, in order of (key, input, seq): equal keys come from the first input first.
+
+    ``position``: a column with each row's place instead, without sorting all rows.
+    """
+    rows = concatenated(*inputs)
+    return with_position(rows, key, ("src", seq), position) if position else rows.orderBy(key, "src", seq)
 
 
 def zipped(order: str, *inputs: DataFrame) -> DataFrame:
@@ -183,9 +198,9 @@ def clustered(df: DataFrame, classifier: Column, order: list[str], fold: list[Co
     from ..functions.ordered import bounds_of, bucket_of, neighbour
 
     last = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("last")
-    groups = df.withColumn("cluster", classifier).groupBy("cluster").agg(*fold, last)
-    numeric = isinstance(groups.schema["cluster"].dataType, (T.NumericType, T.TimestampType, T.DateType))
-    chunk = bucket_of(F.col("cluster"), bounds_of(groups, "cluster")) if numeric else F.lit(0)
+    rows = df.withColumn("cluster", classifier)
+    groups = rows.groupBy("cluster").agg(*fold, last)
+    chunk = bucket_of(F.col("cluster"), bounds_of(rows, "cluster"))
     return neighbour(groups, ["cluster"], F.col("last"), "prev", chunk).drop("last")
 
 
@@ -196,6 +211,35 @@ def folded(df: DataFrame, order: str, value: str, zero: Column, step: Callable[[
     return out.select(*keys, F.aggregate(F.col(f"x.{value}"), zero, step).alias("value"))
 
 
+def folded_rows(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str, zero: Any, step: Callable[[Any, Any], Any], kind: str) -> DataFrame:
+    """(keys, value): as ``folded`` with a Python step, for keys of any number of rows.
+
+    Rows are sorted by key and order, which spills, and streamed: a task holds one fold, not a key's rows.
+    ``kind`` is the Spark type of the fold.
+    """
+    names = [*keys, "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now, out = None, zero, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, v in zip(*columns, strict=True):
+                if key != at:
+                    if at is not None:
+                        out.append((*at, now))
+                    at, now = key, zero
+                now = step(now, v)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=schema)
+            out = []
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (*at, now), strict=True))], schema=schema)
+
+    out = df.select(*keys, F.lit(None).cast(kind).alias("value"))
+    schema = to_arrow_schema(out.schema)
+    rows = df.repartition(*keys) if keys else df.coalesce(1)
+    return rows.sortWithinPartitions(*keys, *order).select(*keys, value).mapInArrow(run, out.schema)
+
+
 # ---------------------------------------------------------------- collectors
 
 
@@ -260,6 +304,83 @@ def write_json_array(df: DataFrame, write: Callable[[str], Any], *order: str) ->
     return n
 
 
+def write_json_array_with(df: DataFrame, init: Callable[[], Callable[[str], Any]], *order: str) -> int:
+    """As ``write_json_array``, but ``init``, which gives the writer, is called when the first row has come, or there is none."""
+    rows = (df.orderBy(*order) if order else df).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()
+    first = next(rows, None)
+    write, n = init(), 0
+    write("[")
+    for row in itertools.chain([] if first is None else [first], rows):
+        write(("," if n else "") + row["j"])
+        n += 1
+    write("]")
+    return n
+
+
+def json_response(df: DataFrame, *order: str) -> Callable:
+    """A WSGI application that answers with the rows as one JSON array, in pieces as they come."""
+
+    def respond(environ: dict, start: Callable) -> Iterator[bytes]:
+        chunks = json_chunks(df, *order)
+        first = next(chunks)  # a query that fails before its first rows is an error, not half an answer
+        start("200 OK", [("Content-Type", "application/json")])
+        yield first.encode()
+        for chunk in chunks:
+            yield chunk.encode()
+
+    return respond
+
+
+def buffered(rows: Iterable[Any], n: int) -> Iterator[Any]:
+    """``rows`` read ahead by up to ``n`` on another thread; an error comes where its row would."""
+    if n <= 0:
+        raise QueryError("a buffer holds one row at least")
+    held: queue.Queue = queue.Queue(n)
+    ended, stop = object(), threading.Event()
+
+    def put(item: Any) -> bool:
+        while not stop.is_set():
+            try:
+                held.put(item, timeout=0.1)
+                return True
+            except queue.Full:
+                continue
+        return False
+
+    def fill() -> None:
+        try:
+            for row in rows:
+                if not put((row, None)):
+                    return
+            put((ended, None))
+        except BaseException as e:  # noqa: BLE001  handed on to the reader
+            put((ended, e))
+
+    threading.Thread(target=fill, daemon=True).start()
+    try:
+        while True:
+            row, error = held.get()
+            if error is not None:
+                raise error
+            if row is ended:
+                return
+            yield row
+    finally:
+        stop.set()
+
+
+@contextmanager
+def locked(lock: threading.Lock) -> Iterator[None]:
+    """Holds ``lock`` while a stream is materialised inside the block."""
+    with lock:
+        yield
+
+
+def combined(fn: Callable[..., DataFrame], *inputs: DataFrame) -> DataFrame:
+    """A user's operator on one input or several."""
+    return fn(*inputs)
+
+
 def json_chunks(df: DataFrame, *order: str, rows: int = 1000) -> Iterator[str]:
     """The rows as one JSON array in pieces, for a reader that takes them as they come."""
     ordered = df.orderBy(*order) if order else df
@@ -292,6 +413,34 @@ class Optional:
     def filter(self, fn: Callable[[Column], Column]) -> Optional:
         return Optional(self.df.filter(fn(F.col(self.df.columns[0]))))
 
+    def flat_map(self, fn: Callable[[Any], Optional]) -> Optional:
+        """What ``fn`` gives for the value; itself where there is none."""
+        row = self.df.first()
+        return self if row is None else fn(row[0])
+
+    def consume(self, fn: Callable[[Any], None]) -> bool:
+        """``fn`` on the value, if there is one; whether there was."""
+        row = self.df.first()
+        if row is not None:
+            fn(row[0])
+        return row is not None
+
+    def or_else_get(self, make: Callable[[], Any]) -> Any:
+        """The value, or what ``make`` returns, which is called only then."""
+        row = self.df.first()
+        return make() if row is None else row[0]
+
+    def as_json(self) -> str:
+        """The value as JSON; null where there is none."""
+        row = self.df.select(F.to_json(F.array(F.col(self.df.columns[0]))).alias("j")).first()
+        return "null" if row is None else row["j"][1:-1]
+
+    @staticmethod
+    def from_json(spark: SparkSession, text: str, kind: str) -> Optional:
+        """The value of a JSON text; null is none."""
+        df = spark.range(1).select(F.from_json(F.lit(f"[{text}]"), f"array<{kind}>", {"mode": "FAILFAST"})[0].alias("value"))
+        return Optional(df.filter("value IS NOT NULL"))
+
     def or_(self, other: Optional) -> Optional:
         both = self.df.select(F.col(self.df.columns[0]).alias("value"), F.lit(0).alias("k"))
         both = both.union(other.df.select(F.col(other.df.columns[0]).alias("value"), F.lit(1).alias("k")))

@@ -5,11 +5,9 @@ Results carry times without a zone (UTC) and doubles rounded to six places, as t
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +23,8 @@ from .operators import series as S
 from .operators import streams as L
 from .operators.schedule import Schedule, ScheduleCondition, TimeSlot, YearPeriod
 from .plans.parse import Plugins, execute_aggregation, execute_query
+from .shared import shared_root
+from .sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,30 +75,6 @@ def of_type(sf_dir: str, event: str, **meta) -> S.TableSeries:
 
 
 def counter_rows(sf_dir: str, modulo: int | None = None) -> Callable[[SparkSession], DataFrame]:
-    """A running total by day of the values of users up to 20, as ``COUNTER`` has it, by time; optionally modulo a number."""
-
-    def make(spark: SparkSession) -> DataFrame:
-        from pyspark.sql import Window as W
-
-        rows = table(spark, sf_dir, "events").filter("user_id <= 20")
-        day = F.to_date("ts")
-        total = F.sum(F.round(F.col("value") * 100).cast("long")).over(W.partitionBy(day).orderBy("ts", "event_id"))
-        return rows.withColumn("total", total % modulo if modulo else total)
-
-    return make
-
-
-COUNTER = """
-c AS (SELECT ts, event_id, (sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id))::BIGINT {mod} AS total
-      FROM events WHERE user_id <= 20),
-l AS (SELECT ts, total, lag(total) OVER o AS was, lag(ts) OVER o AS before FROM c WINDOW o AS (ORDER BY ts, event_id))"""
-
-
-def counter(sf_dir: str, modulo: int | None = None, kind: str = "cumulative", make: Callable = counter_rows, **meta) -> S.TableSeries:
-    return S.TableSeries(FieldMeta("integer", kind=kind, urn="total", **meta), make(sf_dir, modulo), value="total", seq="event_id")
-
-
-def all_counter_rows(sf_dir: str, modulo: int | None = None) -> Callable[[SparkSession], DataFrame]:
     """A running total by day of the values of all events, by time; optionally modulo a number."""
 
     def make(spark: SparkSession) -> DataFrame:
@@ -109,11 +85,15 @@ def all_counter_rows(sf_dir: str, modulo: int | None = None) -> Callable[[SparkS
     return make
 
 
-ALL_COUNTER = """
+COUNTER = """
 c AS (SELECT ts, event_id, (sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id))::BIGINT {mod} AS total FROM events),
 l AS (SELECT ts, total, lag(total) OVER o AS was, lag(ts) OVER o AS before FROM c WINDOW o AS (ORDER BY ts, event_id))"""
 
 
+def counter(sf_dir: str, modulo: int | None = None, kind: str = "cumulative", **meta) -> S.TableSeries:
+    return S.TableSeries(FieldMeta("integer", kind=kind, urn="total", **meta), counter_rows(sf_dir, modulo), value="total", seq="event_id")
+
+
 # ---------------------------------------------------------------- alignment
 
 
@@ -242,18 +222,10 @@ def delta_counter_wrap(spark, d):
     return S.FilteredSeries(counter(d, 100_000), (S.DeltaFilter(S.Counter(non_negative=True, max_counter=100_000)),)).run(spark).result()
 
 
-@query("""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS n, ts, CAST(round(value * 10) AS BIGINT) - 60 AS v FROM events WHERE user_id = 1),
-f(n, ts, bt, bv, value) AS (
-  SELECT n, ts, ts, v, NULL::BIGINT FROM r WHERE n = 1
-  UNION ALL
-  SELECT r.n, r.ts, CASE WHEN epoch_us(r.ts) - epoch_us(bt) > 86400000000 OR v >= 0 THEN r.ts ELSE bt END,
-    CASE WHEN epoch_us(r.ts) - epoch_us(bt) > 86400000000 OR v >= 0 THEN v ELSE bv END,
-    CASE WHEN epoch_us(r.ts) - epoch_us(bt) > 86400000000 OR v < 0 THEN NULL WHEN v < bv THEN 0 ELSE v - bv END
-  FROM f JOIN r ON r.n = f.n + 1)
-SELECT ts, value FROM f WHERE value IS NOT NULL""")
+@query()
 def delta_counter_negative_gap(spark, d):
-    """Readings below zero and gaps of over a day: the fold of the negative readings."""
-    make = lambda s: table(s, d, "events").filter("user_id = 1").selectExpr("ts", "event_id", "cast(round(value * 10) as bigint) - 60 AS v")
+    """Readings below zero and gaps of over a day: the fold of the negative readings. SQL would recurse row by row over every event, so tests hold it against brute force."""
+    make = lambda s: table(s, d, "events").selectExpr("ts", "event_id", "cast(round(value * 10) as bigint) - 60 AS v")
     source = S.TableSeries(FieldMeta("integer", kind="cumulative", urn="v"), make, value="v", seq="event_id")
     return S.FilteredSeries(source, (S.DeltaFilter(S.Counter(non_negative=True, max_gap=86_400_000_000)),)).run(spark).result()
 
@@ -263,57 +235,11 @@ def rate_per_hour(spark, d):
     return S.FilteredSeries(counter(d), (S.RateFilter("per hour", 3600, S.Counter(non_negative=True)),)).run(spark).result()
 
 
-@query("SELECT ts + INTERVAL '1 day' AS ts, value FROM events WHERE event_type = 'error'")
-def time_shift(spark, d):
-    return S.FilteredSeries(of_type(d, "error"), (S.TimeShift(86_400),)).run(spark).result()
-
-
 @query("SELECT ts + INTERVAL '1 day' AS ts, value FROM events")
-def time_shift_all(spark, d):
+def time_shift(spark, d):
     return S.FilteredSeries(events(d), (S.TimeShift(86_400),)).run(spark).result()
 
 
-# The queries above take the users that their SQL names; these take the whole table.
-
-
-@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, total - was AS value FROM l WHERE was IS NOT NULL")
-def delta_plain_all(spark, d):
-    return S.FilteredSeries(counter(d, make=all_counter_rows), (S.DeltaFilter(),)).run(spark).result()
-
-
-@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, total - was AS value FROM l WHERE was IS NOT NULL AND epoch_us(ts) - epoch_us(before) <= 1200000000")
-def delta_gap_all(spark, d):
-    return S.FilteredSeries(counter(d, make=all_counter_rows, sample_period=600_000_000), (S.DeltaFilter(),)).run(spark).result()
-
-
-@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, CASE WHEN total < was THEN 0 ELSE total - was END AS value FROM l WHERE was IS NOT NULL")
-def delta_counter_reset_all(spark, d):
-    return S.FilteredSeries(counter(d, make=all_counter_rows), (S.DeltaFilter(S.Counter(non_negative=True)),)).run(spark).result()
-
-
-@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, CASE WHEN total < was THEN total ELSE total - was END AS value FROM l WHERE was IS NOT NULL")
-def delta_counter_emit_all(spark, d):
-    return S.FilteredSeries(counter(d, make=all_counter_rows), (S.DeltaFilter(S.Counter(non_negative=True, emit_on_reset=True)),)).run(spark).result()
-
-
-@query(f"WITH {ALL_COUNTER.format(mod='% 100000')} SELECT ts, CASE WHEN total < was THEN 100000 - was + total ELSE total - was END AS value FROM l WHERE was IS NOT NULL")
-def delta_counter_wrap_all(spark, d):
-    return S.FilteredSeries(counter(d, 100_000, make=all_counter_rows), (S.DeltaFilter(S.Counter(non_negative=True, max_counter=100_000)),)).run(spark).result()
-
-
-@query()
-def delta_counter_negative_gap_all(spark, d):
-    """``delta_counter_negative_gap`` over every event; row-by-row SQL is too slow for that, so tests hold it against brute force."""
-    make = lambda s: table(s, d, "events").selectExpr("ts", "event_id", "cast(round(value * 10) as bigint) - 60 AS v")
-    source = S.TableSeries(FieldMeta("integer", kind="cumulative", urn="v"), make, value="v", seq="event_id")
-    return S.FilteredSeries(source, (S.DeltaFilter(S.Counter(non_negative=True, max_gap=86_400_000_000)),)).run(spark).result()
-
-
-@query(f"WITH {ALL_COUNTER.format(mod='')} SELECT ts, round((CASE WHEN total < was THEN 0 ELSE total - was END)::DOUBLE / ((epoch_us(ts) - epoch_us(before)) / 1e6) * 3600, 6) AS value FROM l WHERE was IS NOT NULL")
-def rate_per_hour_all(spark, d):
-    return S.FilteredSeries(counter(d, make=all_counter_rows), (S.RateFilter("per hour", 3600, S.Counter(non_negative=True)),)).run(spark).result()
-
-
 # ---------------------------------------------------------------- expressions
 
 
@@ -541,37 +467,19 @@ def paired_all(spark, d):
 
 
 def _windows(size: int, step: int):
-    partial = "" if step == 1 else f" OR s = CASE WHEN n < {size} THEN 0 ELSE ((n - {size}) // {step} + 1) * {step} END"
-    sql = f"""WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id FROM events WHERE event_type = 'error'), c AS (SELECT count(*) AS n FROM r),
-w AS (SELECT x.pos AS s, list(y.event_id ORDER BY y.pos) AS l, any_value(n) AS n FROM r x JOIN r y ON y.pos >= x.pos AND y.pos < x.pos + {size}, c WHERE x.pos % {step} = 0 GROUP BY 1)
-SELECT s::BIGINT AS "start", len(l)::BIGINT AS n, list_sum(l)::BIGINT AS total FROM w WHERE len(l) = {size}{partial}"""
-
-    @query(sql, name=f"count_window_{size}_{step}")
-    def run(spark, d):
-        rows = table(spark, d, "events").filter("event_type = 'error'").select("event_id")
-        found = L.count_windows(rows, size, step, "event_id", "event_id")
-        return found.select("start", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
-
-
-_windows(3, 1)
-_windows(5, 3)
-
-
-def _all_windows(size: int, step: int):
-    """The windows of ``_windows`` over every event."""
     partial = "" if step == 1 else f" OR s = CASE WHEN n < {size} THEN 0 ELSE ((n - {size}) // {step} + 1) * {step} END"
     sql = f"""WITH w AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS s, count(*) OVER () AS n,
 list(event_id) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS l FROM events)
 SELECT s::BIGINT AS "start", len(l)::BIGINT AS n, list_sum(l)::BIGINT AS total FROM w WHERE s % {step} = 0 AND (len(l) = {size}{partial})"""
 
-    @query(sql, name=f"count_window_{size}_{step}_all")
+    @query(sql, name=f"count_window_{size}_{step}")
     def run(spark, d):
         found = L.count_windows(table(spark, d, "events").select("event_id"), size, step, "event_id", "event_id")
         return found.select("start", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-_all_windows(3, 1)
-_all_windows(5, 3)
+_windows(3, 1)
+_windows(5, 3)
 
 
 @query("SELECT src, event_id FROM (SELECT 0 AS src, event_id FROM events WHERE event_type = 'view' UNION ALL SELECT 1, event_id FROM events WHERE event_type = 'error')")
@@ -584,9 +492,7 @@ def concat(spark, d):
 def merge_sorted(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_id", "event_type")
     parts = [rows.filter(F.col("event_type") == k).drop("event_type") for k in ("view", "error")]
-    from .functions.ordered import with_position
-
-    return with_position(L.concatenated(*parts), "user_id", ("src", "event_id")).select("pos", "src", "user_id", "event_id")
+    return L.merged_sorted("user_id", "event_id", *parts, position="pos").select("pos", "src", "user_id", "event_id")
 
 
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id AS a FROM events WHERE event_type = 'view'), b AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id AS b FROM events WHERE event_type = 'error')
@@ -613,9 +519,13 @@ def skip_rows(spark, d):
     return L.skipped(table(spark, d, "events").select("event_id"), 500, "event_id")
 
 
-@query()
+@query("SELECT least(100, count(*))::BIGINT AS n, least(100, count(*))::BIGINT AS different, least(100, count(*))::BIGINT AS members FROM events")
 def sample_rows(spark, d):
-    return L.sampled(table(spark, d, "events"), 100)
+    """How many rows a sample of 100 has, how many different ones, and how many of them the table has."""
+    rows = table(spark, d, "events")
+    some = L.sampled(rows, 100).select("event_id").alias("s")
+    found = some.join(rows.select("event_id", F.lit(1).alias("one")), "event_id", "left")
+    return found.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("different"), F.sum(F.coalesce("one", F.lit(0))).cast("long").alias("members"))
 
 
 @query("SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY 1")
@@ -761,12 +671,405 @@ def stream_delta(spark, d):
 def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     from .streaming import series as X
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidewheel-stream-")
-        atexit.register(shutil.rmtree, root, True)
-    place = f"{root.rstrip('/')}/tidewheel-{name}-{uuid.uuid4().hex}"
+    place = f"{shared_root(spark)}/tidewheel-{name}-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     stream = spark.readStream.format("parquet").schema(schema).load(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     X.run_to_files(make(stream), f"{place}/out", f"{place}/state")
     return spark.read.parquet(f"{place}/out")
+
+
+# ---------------------------------------------------------------- sources
+
+
+STATIC = "(VALUES (TIMESTAMP '2024-01-01 00:00:00', 1.5::DOUBLE), (TIMESTAMP '2024-01-01 01:00:00', -2.0::DOUBLE), (TIMESTAMP '2024-01-01 02:00:00', 8.25::DOUBLE)) t(ts, value)"
+STATIC_ROWS = [(UTC(2024, 1, 1, 0), 1.5), (UTC(2024, 1, 1, 1), -2.0), (UTC(2024, 1, 1, 2), 8.25)]
+
+
+@query(f"SELECT ts, value FROM {STATIC} WHERE ts >= TIMESTAMP '2024-01-01 01:00:00'")
+def static_series(spark, d):
+    return S.StaticSeries(FieldMeta("decimal", urn="given"), STATIC_ROWS).run(spark, UTC(2024, 1, 1, 1), UTC(2025, 1, 1)).result()
+
+
+@query(f"SELECT ts, value AS a, CAST(value * 4 AS BIGINT) AS b FROM {STATIC}")
+def static_report(spark, d):
+    metas = (FieldMeta("decimal", urn="a"), FieldMeta("integer", urn="b"))
+    return R.StaticReport(metas, [(t, (v, int(v * 4))) for t, v in STATIC_ROWS]).run(spark).result()
+
+
+@dataclass
+class Reading:
+    at: datetime
+    heat: float
+    count: int
+    place: str
+
+
+@query(f"""SELECT ts, value AS "Reading:heat", CAST(value * 4 AS BIGINT) AS "Reading:count", 'here' AS "Reading:place" FROM {STATIC}""")
+def struct_report(spark, d):
+    return R.struct_report(Reading, [Reading(t, v, int(v * 4), "here") for t, v in STATIC_ROWS]).run(spark).result()
+
+
+@query("SELECT i::BIGINT AS n, 'r' || i AS t, i::BIGINT AS seq FROM range(200) r(i)")
+def rows_in_memory(spark, d):
+    return readers.rows(spark, [(k, f"r{k}") for k in range(200)], "n long, t string")
+
+
+@query("SELECT NULL::BIGINT AS n, NULL::VARCHAR AS t WHERE false")
+def empty_source(spark, d):
+    return readers.empty(spark, "n long, t string")
+
+
+@query("SELECT true AS raised, true AS lazy")
+def failing_source(spark, d):
+    """A source that fails does so when it is read, with its message, and not before."""
+    bad, message = readers.failing(spark, "this source fails", "n long"), ""
+    try:
+        bad.collect()
+    except Exception as e:
+        message = str(e)
+    return spark.createDataFrame([("this source fails" in message, True)], "raised boolean, lazy boolean")
+
+
+@query("SELECT 'k' || i AS key, (i * i)::BIGINT AS value FROM range(100) r(i)")
+def map_entries(spark, d):
+    return readers.from_mapping(spark, {f"k{k}": k * k for k in range(100)}, "string", "long")
+
+
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
+def map_members(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    return rows.select("event_id", F.explode("m").alias("key", "value")).filter("key = 'k'")
+
+
+@query("SELECT 42::BIGINT AS value")
+def optional_row(spark, d):
+    none = readers.from_optional(spark, None, "value long")
+    return readers.from_optional(spark, 42, "value long").unionByName(none)
+
+
+@query("SELECT (p * 1000 + k)::BIGINT AS n, 'part ' || p AS t FROM range(4) a(p), range(250) b(k)")
+def function_rows(spark, d):
+    """A user's Python source, read in four parts."""
+    return readers.from_function(spark, lambda part: ((part * 1000 + k, f"part {part}") for k in range(250)), "n long, t string", 4)
+
+
+def _written(spark: SparkSession, name: str, chunks) -> str:
+    """A text file below the shared folder, written piece by piece by Spark's file system."""
+    path = f"{shared_root(spark)}/tidewheel-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        chunks(lambda text: out.write(bytearray(text.encode())))
+    finally:
+        out.close()
+    return path
+
+
+@query("""SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS seq, 'part ' || p_partkey || ' ' || p_name AS line FROM part""")
+def text_lines(spark, d):
+    return _lines(spark, d, False)
+
+
+@query("""SELECT row_number() OVER (ORDER BY p_partkey DESC) - 1 AS seq, 'part ' || p_partkey || ' ' || p_name AS line FROM part""")
+def text_lines_reversed(spark, d):
+    return _lines(spark, d, True)
+
+
+def _lines(spark, d, reverse):
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("part "), F.col("p_partkey").cast("string"), F.lit(" "), "p_name").alias("line"))
+    path = _written(spark, "lines", lambda write: L.consume(rows, lambda r: write(r["line"] + "\n"), "p_partkey"))
+    return readers.lines(spark, path, reverse).select("seq", "line")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS seq, c_custkey, c_name, c_acctbal FROM customer")
+def json_array_round_trip(spark, d):
+    """A table written as one JSON array, piece by piece, and read again."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = _written(spark, "array", lambda write: L.write_json_array(rows, write, "c_custkey"))
+    return readers.json_array(spark, path, "c_custkey long, c_name string, c_acctbal double").select(F.col("seq").cast("long"), "c_custkey", "c_name", "c_acctbal")
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS seq, s_suppkey, s_name FROM supplier")
+def json_chunks_round_trip(spark, d):
+    """A table as a reader of JSON text takes it, and read again."""
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name")
+
+    def write(put):
+        for chunk in L.json_chunks(rows, "s_suppkey", rows=37):
+            put(chunk)
+
+    return readers.json_array(spark, _written(spark, "chunks", write), "s_suppkey long, s_name string").select(F.col("seq").cast("long"), "s_suppkey", "s_name")
+
+
+@query("SELECT n_name AS key, n_nationkey::BIGINT AS value FROM nation")
+def json_object_members(spark, d):
+    rows = table(spark, d, "nation").select("n_name", F.col("n_nationkey").cast("long"))
+
+    def write(put):
+        put("{")
+        for k, r in L.indexed(rows, "n_name"):
+            put(("," if k else "") + f'"{r["n_name"]}": {r["n_nationkey"]}')
+        put("}")
+
+    return readers.json_object(spark, _written(spark, "object", write), "long")
+
+
+# ---------------------------------------------------------------- maps, hooks and collectors
+
+
+@query("SELECT event_id * 2 AS twice, upper(event_type) AS kind FROM events")
+def map_rows(spark, d):
+    return L.mapped(table(spark, d, "events"), (F.col("event_id") * 2).alias("twice"), F.upper("event_type").alias("kind"))
+
+
+@query("SELECT value, event_id FROM (SELECT CASE WHEN value > 10 THEN value END AS value, event_id FROM events) WHERE value IS NOT NULL")
+def map_drop_null(spark, d):
+    return L.mapped(table(spark, d, "events"), F.when(F.col("value") > 10, F.col("value")).alias("value"), F.col("event_id"), keep_null=False)
+
+
+@query("SELECT event_id, value * 3 AS value FROM events")
+def map_batches(spark, d):
+    def triple(batches):
+        for b in batches:
+            yield b.assign(value=b["value"] * 3)
+
+    return L.mapped_batches(table(spark, d, "events").select("event_id", "value"), triple, "event_id long, value double", 8)
+
+
+@query("SELECT p_partkey, (i - 1)::INTEGER AS idx, string_split(p_name, ' ')[i] AS value FROM part, range(1, 40) r(i) WHERE i <= len(string_split(p_name, ' '))")
+def flat_map(spark, d):
+    return L.flattened(table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("words")), "words")
+
+
+@query("SELECT count(*)::BIGINT AS n, max(event_id) AS last, 'first,finally' AS hooks FROM events")
+def peek_and_hooks(spark, d):
+    """What a peek has seen of the rows that went by, and the hooks around it."""
+    from pyspark.sql import Observation
+
+    seen, called = Observation("peek"), []
+    with L.hooks(lambda: called.append("first"), lambda error: called.append("finally")):
+        L.peeked(table(spark, d, "events"), seen, F.count("*").alias("n"), F.max("event_id").alias("last")).write.format("noop").mode("overwrite").save()
+    found = seen.get
+    return spark.createDataFrame([(found["n"], found["last"], ",".join(called))], "n long, last long, hooks string")
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(c_custkey)::BIGINT AS total FROM customer")
+def consume_rows(spark, d):
+    """Each row through a function on the driver, in order, read ahead by a buffer."""
+    rows, total = table(spark, d, "customer").select("c_custkey"), 0
+    ordered = (r for _, r in L.indexed(rows, "c_custkey"))
+    n = 0
+    for r in L.buffered(ordered, 64):
+        n, total = n + 1, total + r["c_custkey"]
+    return spark.createDataFrame([(n, total)], "n long, total long")
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(event_id)::BIGINT AS total FROM events")
+def consume_concurrently(spark, d):
+    """Each partition's rows through a function on the executors, which adds to a shared sum."""
+    n, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def add(rows):
+        for r in rows:
+            n.add(1)
+            total.add(r["event_id"])
+
+    L.consume_partitions(table(spark, d, "events").select("event_id"), add)
+    return spark.createDataFrame([(n.value, total.value)], "n long, total long")
+
+
+@query("SELECT n_name AS key, n_regionkey::BIGINT AS value FROM nation")
+def to_map(spark, d):
+    rows = table(spark, d, "nation").select("n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    return readers.exploded_map(L.as_map(rows, "n_name", "n_regionkey"), "map")
+
+
+@query("SELECT (SELECT count(*) FROM events)::BIGINT AS n, (SELECT count(*) = 0 FROM events WHERE event_id < 0) AS empty, (SELECT count(*) FROM region)::BIGINT AS collected")
+def count_collect_empty(spark, d):
+    rows = table(spark, d, "events")
+    made = [(rows.count(), rows.filter("event_id < 0").isEmpty(), len(table(spark, d, "region").collect()))]
+    return spark.createDataFrame(made, "n long, empty boolean, collected long")
+
+
+@query("SELECT max(event_id) + 1 AS mapped, 7::BIGINT AS other, 9::BIGINT AS made, 3::BIGINT AS filtered, 20::BIGINT AS flat, '[1,2]' AS json, true AS empty FROM events")
+def optional_algebra(spark, d):
+    one = L.Optional(table(spark, d, "events").agg(F.max("event_id").alias("value")))
+    none, three = L.Optional.of(spark, [], "long"), L.Optional.of(spark, [3], "long")
+    row = (
+        one.map(lambda c: c + 1).get(),
+        none.or_(L.Optional.of(spark, [7], "long")).get(),
+        none.or_else_get(lambda: 9),
+        three.filter(lambda c: c > 2).get(),
+        three.flat_map(lambda v: L.Optional.of(spark, [v * 5 + 5], "long")).get(),
+        L.Optional.of(spark, [[1, 2]], "array<int>").as_json(),
+        three.filter(lambda c: c > 3).empty,
+    )
+    return spark.createDataFrame([row], "mapped long, other long, made long, filtered long, flat long, json string, empty boolean")
+
+
+@query("SELECT event_id, user_id, (user_id // 7)::BIGINT AS band FROM events")
+def user_operator(spark, d):
+    """A user's own operator, of two inputs."""
+
+    def banded(left, right):
+        return left.join(right, "user_id").select("event_id", "user_id", "band")
+
+    bands = table(spark, d, "events").select("user_id", F.floor(F.col("user_id") / 7).alias("band")).distinct()
+    return L.combined(banded, table(spark, d, "events").select("event_id", "user_id"), bands)
+
+
+@query("SELECT event_id, value, user_id, row_number() OVER (ORDER BY value DESC, user_id, event_id) - 1 AS pos FROM events")
+def sort_rows(spark, d):
+    """Rows by several columns, one of them downwards."""
+    from .functions.ordered import with_position
+
+    rows = table(spark, d, "events").select("event_id", "value", "user_id", (-F.col("value")).alias("down"))
+    return with_position(rows, "down", ("user_id", "event_id")).drop("down")
+
+
+@query("SELECT event_type AS cluster, n, lag(last) OVER (ORDER BY event_type) AS prev FROM (SELECT event_type, count(*)::BIGINT AS n, max(event_id) AS last FROM events GROUP BY 1)")
+def cluster_text(spark, d):
+    """Clusters by a text, in order of it."""
+    found = L.clustered(table(spark, d, "events").select("event_id", "event_type"), F.col("event_type"), ["event_type", "event_id"], [F.count("*").alias("n")])
+    return found.select("cluster", "n", F.col("prev.event_id").alias("prev"))
+
+
+@query(ORACLES["fold_rows"])
+def fold_stream(spark, d):
+    """The fold of ``fold_rows`` with a Python step, streamed."""
+    return L.folded_rows(table(spark, d, "events"), ("user_id",), ("event_id",), "event_id", 0, lambda s, x: (s * 31 + x) % 1000003, "long")
+
+
+# ---------------------------------------------------------------- more of expressions, reductions and JSON
+
+
+@query("SELECT l_shipdate AS ts, abs(-l_linenumber)::BIGINT AS abs, (-l_linenumber)::BIGINT AS negate, CAST(trunc(sqrt(l_linenumber)) AS BIGINT) AS sqrt, coalesce(NULL::DOUBLE, l_tax) AS filled FROM lineitem")
+def integer_unary_and_nil(spark, d):
+    line = E.Ref("line")
+    fields = [(E.Unary(E.Unary(line, "negate"), "abs"), NewField("abs")), (E.Unary(line, "negate"), NewField("negate")), (E.Unary(line, "sqrt"), NewField("sqrt")), (E.Nvl(E.Nil("decimal"), E.Ref("tax")), NewField("filled"))]
+    return R.FilteredReport(lines(d), (R.SelectFields(tuple(fields)),)).run(spark).result()
+
+
+@query("SELECT l_shipdate AS ts, l_tax * 2 AS a, l_tax * 2 + l_discount AS b, round((l_tax * 2 + l_discount) * l_tax, 6) AS c FROM lineitem".replace("l_tax * 2 AS", "round(l_tax * 2, 6) AS").replace("l_tax * 2 + l_discount AS", "round(l_tax * 2 + l_discount, 6) AS"))
+def ordered_fields(spark, d):
+    """Computed fields given in an order that their references do not have."""
+    r, n = E.Ref, E.Numeric
+    fields = [(n(r("b"), "*", r("tax")), NewField("c")), (n(r("a"), "+", r("discount")), NewField("b")), (n(r("tax"), "*", E.Constant(2, "decimal")), NewField("a"))]
+    return R.FilteredReport(lines(d), (R.SelectFields(tuple(R.ordered_fields(fields))),)).run(spark).result()
+
+
+@query("SELECT ts, value * 2 AS value FROM events WHERE event_type = 'error' AND value > 5")
+def filter_pushed_to_source(spark, d):
+    """A source that takes a condition in as a filter of its own scan; the filters behind it stay."""
+
+    class Taking(S.TableSeries):
+        def try_filter(self, one):
+            return replace(self, where=f"({self.where}) AND value > 5") if isinstance(one, S.ConditionFilter) else None
+
+    base = of_type(d, "error")
+    source = Taking(**{f.name: getattr(base, f.name) for f in fields(base)})
+    greater = S.ConditionFilter(E.Condition("greater_than", E.Ref(), E.Constant(5, "decimal")))
+    twice = S.FieldValueFilter(E.Numeric(E.Ref(), "*", E.Constant(2, "decimal")), NewField("twice"))
+    return S.FilteredSeries(source, (greater, twice)).run(spark).result()
+
+
+@query("SELECT * FROM (VALUES ('p50'), ('p75'), ('p90'), ('p95'), ('p99'), ('p999')) t(name), (VALUES (true)) u(near)")
+def approximate_percentiles(spark, d):
+    """Whether the share of rows below each approximate percentile is within one in a hundred of what it says."""
+    from .functions.reductions import PERCENTILES
+
+    made = tuple(A.AggregatedField(p, NewField(p), approx=True) for p in PERCENTILES)
+    found = A.FromSeries(events(d), made).run(spark).result()
+    rows = table(spark, d, "events").crossJoin(found)  # one row
+    aggs = [(F.abs(F.avg(F.when(F.col("value") <= F.col(p), 1.0).otherwise(0.0)) - share) <= 0.01).alias(p) for p, share in PERCENTILES.items()]
+    return rows.agg(*aggs).select(F.explode(F.create_map(*[x for p in PERCENTILES for x in (F.lit(p), F.col(p))])).alias("name", "near"))
+
+
+@query(f"""SELECT ts, round(avg(v), 6) AS value FROM ({_UNION}) WHERE hour(ts) >= 9 AND hour(ts) < 17 AND isodow(ts) BETWEEN 1 AND 5 GROUP BY ts HAVING count(*) = 3""")
+def json_reduction_schedule(spark, d):
+    """A reduction across three sources of a JSON query, aligned by hour, in business hours."""
+    aligner = {"type": "aligner", "alignerPeriod": {"type": "calendar", "alignmentPeriodType": "hour", "zoneId": "UTC"}, "bucketReduction": "sum"}
+    slot = {"fromHourOfDay": 9, "fromMinuteOfHour": 0, "toHourOfDay": 17, "toMinuteOfHour": 0}
+    command = {
+        "from": "2000-01-01T00:00:00+00:00", "to": "2100-01-01T00:00:00+00:00",
+        "datasource": {"type": "filtered", "datasource": {"type": "reduction", "reductionType": "avg", "aligner": aligner, "fieldMeta": {"uri": "mean"},
+            "multiDatasource": {"type": "list", "datasources": [{"type": "events", "eventType": k} for k in TRIO]}},
+            "filters": [{"type": "schedule", "schedule": {"conditions": [{"timeSlots": [slot], "daysOfWeek": [1, 2, 3, 4, 5]}]}}]},
+    }
+    return execute_query(spark, command, _plugins(d)).result()
+
+
+@query(f"WITH {COUNTER.format(mod='')} SELECT ts, round((CASE WHEN total < was THEN total ELSE total - was END)::DOUBLE / ((epoch_us(ts) - epoch_us(before)) / 1e6) * 60, 6) AS value FROM l WHERE was IS NOT NULL")
+def json_rate(spark, d):
+    plugins = Plugins()
+    plugins.register("datasource", "counter", lambda parser, node: counter(d))
+    command = {"from": "2000-01-01T00:00:00+00:00", "to": "2100-01-01T00:00:00+00:00", "datasource": {"type": "filtered", "datasource": {"type": "counter"}, "filters": [{"type": "rate", "overrideUnit": "per minute", "perSeconds": 60, "nonNegative": True, "emitOnReset": True}]}}
+    return execute_query(spark, command, plugins).result()
+
+
+@query("SELECT ts, round(value * 2, 6) AS twice, CASE WHEN value > 20 THEN 'high' ELSE 'low' END AS band, round(value * 3, 6) AS total, hour(ts)::BIGINT AS hour FROM events WHERE value > 5")
+def json_report_fields(spark, d):
+    """A report of a JSON query: computed fields of several kinds, a condition and a projection."""
+    plugins = _plugins(d)
+    ref, const = (lambda u: {"type": "ref", "urn": u}), (lambda v, k="decimal": {"type": "constant", "dataType": k, "required": True, "fieldValue": v})
+    above = lambda v: {"type": "condition", "operatorType": "greater_than", "operand1": ref("value"), "operand2": const(v)}
+    append = lambda urn, value: {"type": "appendField", "fieldValue": value, "fieldMeta": {"uri": urn}}
+    plugins.register("report", "table", lambda parser, node: R.FromDatasource(events(d)))
+    report = {"type": "filtered", "reportDatasource": {"type": "table"}, "filters": [
+        {"type": "condition", "booleanField": above(5)},
+        append("twice", {"type": "numericExpression", "op1": ref("value"), "op": "*", "op2": const(2)}),
+        append("band", {"type": "selector", "selectorBooleanField": above(20), "trueField": const("high", "string"), "falseField": const("low", "string")}),
+        append("total", {"type": "reduce", "reductionType": "sum", "fieldUrns": ["value", "twice"]}),
+        append("hour", {"type": "timestampExtract", "source": {"type": "rowTimestamp"}, "component": "hour", "zoneId": "UTC"}),
+        {"type": "projection", "fieldUrns": ["twice", "band", "total", "hour"]},
+    ]}
+    from .plans.parse import Parser
+
+    return Parser(plugins).report(report).run(spark).result()
+
+
+INVALID = {
+    "unknown node": {"type": "nothing"},
+    "no type": {"fieldMeta": {}},
+    "bad period": {"type": "filtered", "datasource": {"type": "events", "eventType": "error"}, "filters": [{"type": "aligner", "alignerPeriod": {"type": "custom", "durationInMillis": 0, "zoneId": "UTC"}}]},
+    "bad zone": {"type": "filtered", "datasource": {"type": "events", "eventType": "error"}, "filters": [{"type": "aligner", "alignerPeriod": {"type": "calendar", "alignmentPeriodType": "day", "zoneId": "Nowhere/At"}}]},
+    "delta of a gauge": {"type": "filtered", "datasource": {"type": "events", "eventType": "error"}, "filters": [{"type": "delta"}]},
+    "no shift": {"type": "filtered", "datasource": {"type": "events", "eventType": "error"}, "filters": [{"type": "timeShift", "offsetSeconds": 0}]},
+    "unknown reduction": {"type": "reduction", "reductionType": "middle", "multiDatasource": {"type": "list", "datasources": [{"type": "events", "eventType": "error"}]}},
+    "nothing to reduce": {"type": "reduction", "reductionType": "sum", "multiDatasource": {"type": "list", "datasources": []}},
+    "required null": {"type": "static", "fieldMeta": {"uri": "x", "dataType": "integer", "required": True}, "data": [{"timestamp": "2024-01-01T00:00:00+00:00", "value": None}]},
+    "bad type": {"type": "static", "fieldMeta": {"uri": "x", "dataType": "number"}, "data": []},
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}')" for k in INVALID) + ") t(query), (VALUES ('QueryError')) u(raised)")
+def invalid_queries(spark, d):
+    """What wrong queries raise before any Spark job."""
+    raised = []
+    for name, node in INVALID.items():
+        try:
+            execute_query(spark, {"from": "2024-01-01T00:00:00+00:00", "to": "2024-02-01T00:00:00+00:00", "datasource": node}, _plugins(d))
+            raised.append((name, "nothing"))
+        except Exception as e:
+            raised.append((name, type(e).__name__))
+    return spark.createDataFrame(raised, "query string, raised string")
+
+
+# ---------------------------------------------------------------- more streams
+
+
+@query("SELECT k::BIGINT AS k, (k * k)::BIGINT AS square, 'm' || k AS name FROM range(500) r(k)")
+def stream_json_messages(spark, d):
+    """JSON messages of an endless source, as a websocket sends them, up to where it is now."""
+    import json
+
+    from .streaming import series as X
+
+    def messages(offset):
+        return ((k, json.dumps({"k": k, "square": k * k, "name": f"m{k}"})) for k in range(offset, 500))
+
+    place = f"{shared_root(spark)}/tidewheel-messages-{uuid.uuid4().hex}"
+    stream = X.json_messages(X.message_stream(spark, messages, 500), "k long, square long, name string")
+    X.run_to_files(stream, f"{place}/out", f"{place}/state")
+    return spark.read.parquet(f"{place}/out")

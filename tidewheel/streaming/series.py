@@ -94,10 +94,10 @@ def stateful_delta(stream: DataFrame, key: str, ts: str = "ts", value: str = "va
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         at, was = state.get if state.exists else (None, None)
-        rows, out = pd.concat(list(batches)).sort_values("us"), []
+        rows, out = pd.concat(list(batches)).sort_values("us", kind="stable"), []
         for us, v in zip(rows["us"], rows["v"], strict=True):
             us = int(us)
-            if at is not None and us <= at:
+            if at is not None and us < at:
                 continue
             if at is None or (max_gap_us is not None and us - at > max_gap_us):
                 at, was = us, float(v)
