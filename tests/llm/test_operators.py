@@ -378,9 +378,6 @@ def test_simhash(messy):
             least[roots[f]] = min(i, least.get(roots[f], i))
     got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(messy).collect())
     assert got == Counter((i, f"{f:016x}", least.get(roots[f])) for i, f in rows)
-    kept = simhash.drop_near_duplicates(messy)
-    assert kept.columns == messy.columns
-    assert {r["doc_id"] for r in kept.collect()} >= set(least.values())
 
 
 @pytest.mark.parametrize("block", [8, 2048])
@@ -633,14 +630,41 @@ def test_repeated_rows_of_null_text_keep_their_id(spark):
     assert sorted((r["doc_id"], r["text"], r["lang"]) for r in kept) == [(5, None, "x"), (6, "a b c d e", "y")]
 
 
+def plain_wide(t):
+    """The pipeline's fingerprint, bit by bit: (128 bits, shingles)."""
+    words = [w for x in re.findall(r"[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if (w := x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))]
+    shingles = [" ".join(words[k : k + 5]) for k in range(len(words) - 4)] or ([" ".join(words)] if words else [])
+    hashes = [int.from_bytes(xxhash.xxh3_128_digest(s.encode(), 42), "little") for s in shingles]
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)), len(shingles)
+
+
+def wide_linked(prints):
+    """Roots of (bits, shingles) by brute force over all pairs."""
+    prints = sorted(set(prints))
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    bits = np.array([[p[0] & (1 << 64) - 1, p[0] >> 64] for p in prints], np.uint64)
+    few = np.array([p[1] < 9 for p in prints])
+    for k in range(len(prints)):
+        near = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(1) <= np.where(few[k + 1 :] | few[k], 0, 25)
+        for j in np.flatnonzero(near) + k + 1:
+            x, y = find(prints[k]), find(prints[j])
+            root[max(x, y)] = min(x, y)
+    return {p: find(p) for p in prints}
+
+
 def test_near_copies_of_one_id_leave_one_row(spark):
     one, two, three = ("the quick brown fox jumps over", "lorem ipsum dolor sit amet consectetur", "to be or not to be that is")
     rows = [(1, one), (1, one), (2, one), (1, two), (3, two), (4, three), (None, three), (None, "x y z u v w"), (None, "x y z u v w"), (9, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    roots = linked({plain_fingerprint(t) for _, t in rows})
     groups = defaultdict(list)
     for i, t in rows:
-        groups[roots[plain_fingerprint(t)]].append((i is None, i or 0, i, t))
+        groups[plain_wide(t)].append((i is None, i or 0, i, t))
     want = Counter(min(g)[2:] for g in groups.values())
     assert len(groups) == 5
     got = simhash.drop_near_duplicates(docs)
@@ -648,6 +672,43 @@ def test_near_copies_of_one_id_leave_one_row(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
 
 
+def test_near_copies_are_found_and_no_others(spark, messy):
+    """All pairs by brute force: what goes has a near copy that stays, and nearly all that should go goes."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    random_ = random.Random(11)
+    for k in range(300):  # copies with a word in fifty changed
+        words = (random_.choice(rows[:900])[1] or "").split()
+        for j in range(0, len(words), 50):
+            words[random_.randrange(len(words))] = f"other{j}"
+        rows.append((100_000 + k, " ".join(words)))
+    prints = {i: plain_wide(t) for i, t in rows}
+    roots = wide_linked(prints.values())
+    least = {}
+    for i, p in prints.items():
+        least[roots[p]] = min(i, least.get(roots[p], i))
+    should_go = {i for i, p in prints.items() if least[roots[p]] != i}
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    gone = set(prints) - kept
+    assert gone <= should_go
+    assert len(gone) >= 0.9 * len(should_go) > 200
+    # of pairs of similarity 0.8 or more
+    shingled = lambda t: {" ".join(w[k : k + 5]) for w in [[x.strip(".,") for x in (t or "").lower().split()]] for k in range(max(1, len(w) - 4))}
+    copies = [(i, t) for i, t in rows if i >= 100_000]
+    near = [i for i, t in copies if any(len(shingled(t) & s) >= 0.8 * len(shingled(t) | s) for s in [shingled(u) for j, u in rows[:900] if abs(len(u or "") - len(t)) <= 0.1 * len(t) + 20])]
+    assert sum(i in gone for i in near) >= 0.9 * len(near) > 50
+    odd = simhash.drop_near_duplicates(messy)
+    assert odd.columns == messy.columns
+    assert 0 < odd.count() < messy.count()
+
+
+def test_tables_hold_the_chance_to_meet():
+    for n in (0, 1, 5000, 10**6, 10**9):
+        bits, tables = simhash._tables(n)
+        assert 1 - (1 - (1 - simhash.FLIP) ** bits) ** tables >= simhash.MEET
+        assert 2**bits >= min(n, 2**32)
+
+
 @pytest.mark.parametrize("make", [exact_dedup.exact_duplicates, simhash.near_duplicates, exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, lambda d: bpe.round_trip(d, BYTES, PATTERN)])
 def test_empty_tables(none, make):
     assert make(none).count() == 0

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 
 import corpus_pipeline
-from test_operators import linked, plain_fingerprint, squeezed
+from test_operators import plain_wide, squeezed, wide_linked
 from tidewheel.llm import language, packing, quality, token_files
 from tidewheel.llm.common import table
 
@@ -31,8 +31,8 @@ def brute(spark, rows, sf):
         groups[squeezed(t)].append((-len(t or ""), i is None, i or 0, i, t))
     kept = [min(g)[3:] for g in groups.values()]
     out.append(kept)
-    prints = {r: plain_fingerprint(r[1]) for r in kept}
-    roots, least = linked(set(prints.values())), {}
+    prints = {r: plain_wide(r[1]) for r in kept}
+    roots, least = wide_linked(prints.values()), {}
     for (i, t), f in prints.items():
         if i is not None:
             least[roots[f]] = min(i, least.get(roots[f], i))

@@ -3,32 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_root
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder every executor sees: ``spark.checkpoint.dir``, else a local one (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = _OWN.get("root")
-        if root is None:
-            root = _OWN["root"] = "file://" + tempfile.mkdtemp(prefix="tidewheel-shared-")
-            spark.sparkContext.setCheckpointDir(root)
-    root = root.rstrip("/")
-    return root if "://" in root else f"file://{root}"
 
-
-_OWN: dict[str, str] = {}
 _ROOTS: dict[str, SparkSession] = {}
 
 
 def workspace(spark: SparkSession) -> str:
     """This application's folder below the shared one; removed when the driver exits."""
-    path = f"{shared_dir(spark)}/tidewheel-{spark.sparkContext.applicationId}"
+    path = f"{shared_root(spark)}/tidewheel-{spark.sparkContext.applicationId}"
     _ROOTS[path] = spark
     return path
 
@@ -55,11 +43,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a staged table's row group, and of a batch that goes to a Python worker, with its most rows.
+ROW_GROUP, BATCH_BYTES, BATCH_ROWS = 16 << 20, 16 << 20, 2048
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches of bounded bytes for Python workers, unless the session says otherwise."""
+    for key, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
 def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage durably."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path, compression=codec)
+    bounded(spark)
+    # a task holds two row groups at most while it writes: one that is filled, one that is sent
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewheel_path = path
     return out
@@ -107,6 +108,28 @@ def small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.limit(FEW + 1).count() <= FEW else side
 
 
+#: A key is heavy that holds more than one of so many rows; there are fewer heavy keys than this, whatever the input.
+HEAVY = 2048
+
+
+def split_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups``, which has a row a key and in ``n`` how many of ``rows`` have that key.
+
+    ``how``: inner, left, left_semi or left_anti. Heavy keys, of which there is a fixed bound, are
+    broadcast; the others, none of which fills a task, are left to Spark. ``groups`` is read three
+    times, so it is to be staged; its keys are not null. ``n`` is not passed on.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(groups.filter(F.col("n") * HEAVY > total).drop("n"))
+    light = groups.filter(F.col("n") * HEAVY <= total).drop("n")
+    rest = rows.join(heavy.select(*keys), keys, "left_anti")
+    if how == "left_anti":
+        return rest.join(light.select(*keys), keys, "left_anti")
+    if how == "left_semi":
+        heavy, light = F.broadcast(heavy.select(*keys)), light.select(*keys)
+    return rows.join(heavy, keys, "inner" if how == "left" else how).unionByName(rest.join(light, keys, how))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores before it as make it no column of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -116,4 +139,5 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

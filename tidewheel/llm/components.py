@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step is a pre-aggregated minimum and a join whose one side has a row a node, so a node with any
-number of links is split over tasks; every step's links are written to the shared folder, which cuts
+Each step is a pre-aggregated minimum and a join whose one side has a row a node; a node with many
+links, such as the centre of a star, is dealt apart (``split_join``). Every step's links are written to the shared folder, which cuts
 the lineage. Labels are never gathered on the driver: only a count and a checksum of the links are.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage
+from .common import release, split_join, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,14 +19,15 @@ def components(links: DataFrame) -> DataFrame:
     now = stage(ordered, "links")
     seen = _mark(now)
     while seen[0]:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("b"), F.least("u", "v").alias("m"))
-        large = stage(now.join(least, "b").select("a", F.col("m").alias("b")).distinct(), "large")
-        lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(lows, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0).alias("low")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(1).alias("low")))
+        least = both.groupBy("u").agg(F.min("v").alias("v"), F.sum("low").alias("n")).filter("n > 0")
+        least = stage(least.select(F.col("u").alias("b"), F.least("u", "v").alias("m"), "n"), "least")
+        large = stage(split_join(now, least, ["b"]).select("a", F.col("m").alias("b")).distinct(), "large")
+        lows = stage(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lows")
+        down = split_join(large, lows, ["a"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = stage(down.union(lows.select("a", F.col("m").alias("b"))).distinct(), "small")
-        release(large)
-        release(now)
+        for old in (least, large, lows, now):
+            release(old)
         now, before, seen = small, seen, _mark(small)
         if seen == before:
             break

@@ -2,7 +2,7 @@
 
 Words are runs of bytes other than the six ASCII blanks, after lower-casing A-Z; shingles are four
 words, repeats included. A text of fewer words is one shingle; a text of none has fingerprint zero,
-which links like any other. Null text counts as empty.
+which links like any other.
 
 Two fingerprints link at ``LIMIT`` or fewer differing bits. Cut a fingerprint into a ring of
 ``SEGMENTS`` segments: some start then exists from which, for every l, the first l segments together
@@ -11,16 +11,31 @@ second differs in one bit at most, which leaves one of its halves equal: (start,
 half of the second) is the key by which candidates meet. Of those that meet, the whole chain is
 tested before a link is made.
 
-Equal fingerprints are one class, handled once. A key that more than ``BLOCK`` classes share is dealt
-out in pairs of blocks, so no task holds more than two blocks; within a unit a spanning forest of the
-links is made rather than all of them, which leaves the components whole. Rows with equal ids keep a
-row each; null ids are allowed (a component of null ids alone has a null id). Where copies are
-dropped, one row of each component stays. Other columns are ignored.
+Equal fingerprints are one class, handled once. A key that more than ``BLOCK`` classes share is made
+longer by a part of the chain's third segment, of which one of three is equal, and if need be of the
+fourth, one of four; what is crowded still is dealt out in pairs of blocks, so no task holds more than
+two blocks. Within a unit a spanning forest of the links is made rather than all of them, which leaves
+the components whole.
+
+``drop_near_duplicates`` is the pipeline's stage, with a measure of its own: 128 bits over shingles of
+five words without the punctuation around them, linked at ``WIDE_LIMIT`` or fewer differing bits, where
+texts of a Jaccard similarity of 0.8 are 1.5 standard deviations inside (texts of fewer than ``FEWEST``
+shingles, which no other text of 0.8 can be unless equal: at none). So wide a limit leaves no segment
+equal, so candidates meet by keys of bits drawn at random, as long as the logarithm of the number of
+classes, in as many tables as give a pair of similarity 0.8 a chance of ``MEET`` to meet; those that
+meet must begin a chain of two segments within its budgets before the whole distance counts. Similar
+texts may be missed, then, with a probability; tests hold the recall against all pairs.
+
+A row's fingerprint is of its whole text, however long. Null text counts as empty. Rows with equal ids
+keep a row each; null ids are allowed (a component of null ids alone has a null id). Where copies are
+dropped, one row of each component stays: that of the smallest id. Other columns are ignored, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -29,36 +44,54 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, small, stage, table
+from .common import fresh, release, slices, small, split_join, stage, table
 from .components import components
 
 SHINGLE, SEED, LIMIT, SEGMENTS, BLOCK = 4, 42, 4, 5, 2048
+WIDE_SHINGLE, WIDE_LIMIT, FEWEST, FLIP, MEET = 5, 25, 9, 0.1514, 0.95
+#: Characters that do not belong to the words they stand around.
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Segments as (lowest bit, width), of 13, 13, 13, 13 and 12 bits.
 RING = [(13 * k, 13) for k in range(4)] + [(52, 12)]
 #: Groups up to this size are compared by shifts of the whole batch, larger ones one by one.
 SMALL = 12
 
 
+def _shingles(words: list[bytes], size: int) -> list[bytes]:
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return [joined]
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return [joined[a : b - 1] for a, b in zip([0, *ends], ends[size - 1 :], strict=False)]
+
+
+def _majority(raw: bytes, width: int) -> bytes:
+    """The bits that are set in more than half of the hashes of ``width`` bytes."""
+    every = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    ones = np.zeros(8 * width, np.int64)
+    for at in range(0, len(every), 1 << 16):
+        ones += np.unpackbits(every[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(every), bitorder="little").tobytes()
+
+
 def fingerprint(text: bytes | None) -> int:
     """The SimHash of a text, as a signed 64-bit integer."""
     words = (text or b"").lower().split()
-    n = len(words)
-    if not n:
+    if not words:
         return 0
-    joined = b" ".join(words)
-    if n <= SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends]
-        hash_of = xxhash.xxh64_intdigest
-        hashes = [hash_of(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)]
-    every = np.array(hashes, "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(every), 1 << 16):
-        part = every[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(every), bitorder="little").view("<i8")[0])
+    hash_of = xxhash.xxh64_intdigest
+    hashes = np.array([hash_of(s, SEED) for s in _shingles(words, SHINGLE)], "<u8")
+    return int.from_bytes(_majority(hashes.tobytes(), 8), "little", signed=True)
+
+
+def wide_fingerprint(text: bytes | None) -> tuple[int, int, int]:
+    """(first half, second half, shingles) of the pipeline's SimHash."""
+    words = [w for x in (text or b"").lower().split() if (w := x.strip(PUNCTUATION))]
+    if not words:
+        return 0, 0, 0
+    shingles, hash_of = _shingles(words, WIDE_SHINGLE), xxhash.xxh3_128_digest
+    raw = _majority(b"".join([hash_of(s, SEED) for s in shingles]), 16)
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True), len(shingles)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,6 +118,17 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "fp")
 
 
+def _deepened(keys: DataFrame, depth: int) -> DataFrame:
+    """Each row under longer keys: a part of the chain's ``depth + 1``-th segment, which differs in ``depth`` bits at most."""
+    parts, bits, at = depth + 1, 12 // (depth + 1), 36 + 6 * (depth - 2)
+    low = F.get(F.array(*[F.lit(x) for x, _ in RING]), F.pmod(F.shiftrightunsigned("key", 33).bitwiseAND(7) + depth, F.lit(SEGMENTS)).cast("int"))
+    made = []
+    for part in range(parts):
+        own = F.call_function("shiftrightunsigned", F.col("fp"), (low + bits * part).cast("int")).bitwiseAND((1 << bits) - 1)
+        made.append(F.col("key").bitwiseOR(F.shiftleft(own.bitwiseOR(part << 4).cast("long"), at)))
+    return keys.select(F.explode(F.array(*made)).alias("key"), "fp")
+
+
 def _chain(starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the chain from each start stays within its budgets; the last one is the whole distance."""
     differ, total = a ^ b, np.zeros(np.broadcast(a, b).shape, np.int64)
@@ -99,27 +143,28 @@ def _chain(starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _MASKS = np.array([((1 << w) - 1) << low for low, w in RING], np.uint64)
 
 
-def _links_of(key: np.ndarray, unit: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links within the groups (equal key and unit, adjacent) of a sorted batch: enough to connect what links."""
+Linked = Callable[[np.ndarray | int, np.ndarray | int], np.ndarray]
+
+
+def _links_of(key: np.ndarray, unit: np.ndarray, linked: Linked) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links, as places, within the groups (equal key and unit, adjacent) of a sorted batch: enough to connect what links."""
     edge = np.flatnonzero((key[1:] != key[:-1]) | (unit[1:] != unit[:-1])) + 1
     first = np.concatenate(([0], edge))
     size = np.diff(np.concatenate((first, [len(key)])))
-    start = (key >> 33).astype(np.int64)
     own, group = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
     left, right = [], []
     for shift in range(1, min(SMALL, int(size.max()))):
         i = np.flatnonzero((group[shift:] == group[:-shift]) & (own[shift:] <= SMALL))
-        i = i[_chain(start[i], fp[i], fp[i + shift])]
-        left.append(fp[i])
-        right.append(fp[i + shift])
+        i = i[linked(i, i + shift)]
+        left.append(i)
+        right.append(i + shift)
     for g in np.flatnonzero(size > SMALL):
-        todo = fp[first[g] : first[g] + size[g]]
-        at = start[first[g]]
+        todo = np.arange(first[g], first[g] + size[g])
         while len(todo):
             front, todo = [todo[0]], todo[1:]
             while front and len(todo):
                 one = front.pop()
-                hit = _chain(at, todo, one)
+                hit = linked(todo, one)
                 if hit.any():
                     near = todo[hit]
                     left.append(np.full(len(near), one))
@@ -129,83 +174,180 @@ def _links_of(key: np.ndarray, unit: np.ndarray, fp: np.ndarray) -> tuple[list[n
     return left, right
 
 
-def near_links(classes: DataFrame) -> DataFrame:
-    """``classes``: distinct ``fp``. Links (a, b) that connect all fingerprints within the limit."""
-    keys = _keys(classes)
-    counts = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "wide_keys")
-    keys = keys.withColumn("unit", F.lit(0).cast("long"))
-    if not counts.isEmpty():
-        wide = keys.drop("unit").join(counts, "key")
-        blocks = F.ceil(F.col("n") / BLOCK)
-        own = F.pmod(F.xxhash64("fp"), blocks)
-        wide = wide.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-        wide = wide.select("key", "fp", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other") + 1).alias("unit"))
-        keys = keys.join(counts, "key", "left_anti").select("key", "fp", "unit").union(wide)
+def _linked_groups(dealt: DataFrame, link: Callable, name: str) -> DataFrame:
+    """Links (a, b) of the column ``name`` in the groups of (key, unit, ...), which are dealt out whole and sorted.
+
+    ``link``: the columns behind key and unit, and key, to a test of places.
+    """
+    place = dealt.columns.index(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            key, unit, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            held.append((key, unit, fp.view(np.uint64)))
-            last = np.flatnonzero((key != key[-1]) | (unit != unit[-1])) if len(key) else []
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            held.append(cols)
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
             if len(last):  # all but the last group are whole
-                key, unit, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = len(key) - (batch.num_rows - 1 - int(last[-1]))
-                held = [(key[cut:], unit[cut:], fp[cut:])]
-                yield from _sent(_links_of(key[:cut], unit[:cut], fp[:cut]))
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = len(cols[0]) - (batch.num_rows - 1 - int(last[-1]))
+                held = [[c[cut:] for c in cols]]
+                yield from _sent([c[:cut] for c in cols])
         if held:
-            yield from _sent(_links_of(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield from _sent([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    def _sent(found):
-        if found[0]:
-            a, b = (np.concatenate(x).view(np.int64) for x in found)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def _sent(cols):
+        left, right = _links_of(cols[0], cols[1], link(*cols))
+        if left:
+            a, b = (cols[place][np.concatenate(x).astype(np.int64)] for x in (left, right))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = keys.select("key", "unit", "fp").repartition("key", "unit").sortWithinPartitions("key", "unit", "fp")
+    # several narrow rows a batch: groups are short, and a batch is one step of arrays
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _in_blocks(keys: DataFrame, member: str) -> DataFrame:
+    """``keys`` with ``unit``: rows of a key that more than ``BLOCK`` share are dealt out in pairs of blocks, by a hash of ``member``."""
+    wide = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    wide = stage(wide.select("key", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")), "wide_keys")
+    plain = keys.withColumn("unit", F.lit(0).cast("long"))
+    if wide.isEmpty():
+        return plain
+    rows = split_join(keys, wide, ["key"]).withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumn("unit", F.least("own", "other") * (1 << 31) + F.greatest("own", "other") + 1).select(*plain.columns)
+    return split_join(keys, wide, ["key"], "left_anti").withColumn("unit", F.lit(0).cast("long")).select(*plain.columns).union(rows)
+
+
+def _dealt(keys: DataFrame, *columns: str) -> DataFrame:
+    return keys.select("key", "unit", *columns).repartition("key", "unit").sortWithinPartitions("key", "unit", *columns)
+
+
+def near_links(classes: DataFrame) -> DataFrame:
+    """``classes``: distinct ``fp``. Links (a, b) that connect all fingerprints within the limit."""
+    keys = _keys(classes)
+    for depth in (2, 3):
+        wide = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "crowded_keys")
+        if wide.isEmpty():
+            break
+        longer = _deepened(split_join(keys, wide, ["key"], "left_semi"), depth)
+        keys = stage(split_join(keys, wide, ["key"], "left_anti").unionByName(longer), "keys")
+
+    def link(key: np.ndarray, unit: np.ndarray, fp: np.ndarray) -> Linked:
+        start, fp = ((key >> 33) & 7).astype(np.int64), fp.view(np.uint64)
+        return lambda i, j: _chain(start[i], fp[i], fp[j])
+
+    return _linked_groups(_dealt(_in_blocks(keys, "fp"), "fp"), link, "fp")
+
+
+def _tables(classes: int) -> tuple[int, int]:
+    """(bits of a key, tables) for so many classes."""
+    bits = max(12, min(32, (max(classes, 1) - 1).bit_length()))
+    return bits, math.ceil(math.log(1 - MEET) / math.log(1 - (1 - FLIP) ** bits))
+
+
+def wide_links(classes: DataFrame, n: int) -> DataFrame:
+    """``classes``: ``n`` rows (id, hi, lo, shingles). Links (a, b) of ids that lie within the wide limit and meet."""
+    bits, tables = _tables(n)
+    random = np.random.default_rng(SEED)
+    drawn = [np.sort(random.permutation(128)[:bits]) for _ in range(tables)]
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            whole = np.unpackbits(np.stack((own[1], own[2]), 1).view(np.uint8), axis=1, bitorder="little")
+            key = np.concatenate([whole[:, cols].astype(np.int64) @ weights + (t << 32) for t, cols in enumerate(drawn)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.tile(c, tables)) for c in own]], names=["key", "id", "hi", "lo", "shingles"])
+
+    def link(key, unit, id_, hi, lo, shingles) -> Linked:
+        hi, lo = hi.view(np.uint64), lo.view(np.uint64)
+
+        def linked(i, j):
+            first, second = (np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in (hi, lo))
+            most = np.where(np.minimum(shingles[i], shingles[j]) < FEWEST, 0, WIDE_LIMIT)
+            return (2 * np.minimum(first, second) <= most) & (first + second <= most)
+
+        return linked
+
+    keys = classes.select("id", "hi", "lo", "shingles").mapInArrow(keyed, "key long, id long, hi long, lo long, shingles int")
+    return _linked_groups(_dealt(_in_blocks(stage(keys, "wide_tables"), "id"), "id", "hi", "lo", "shingles"), link, "id")
+
+
+def _rooted(classes: DataFrame, node: str, stars: DataFrame) -> DataFrame:
+    """(node, root, component_id, component_size) of the classes that link; ``classes``: (node, least, n)."""
+    stars = stage(stars, "stars")
+    members = stage(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "members")
+    found = members.join(classes.select(F.col(node).alias("node"), "least", F.col("n").alias("rows")), "node")
+    whole = found.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("component_size"), F.count("*").alias("n"))
+    return split_join(members, stage(whole, "components"), ["root"])
+
+
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row and (fp, root, component_id, component_size) of each fingerprint."""
+    """(doc_id, fp) of each row and (fp, n, component_id, component_size) of each fingerprint, staged."""
     rows = fingerprints(docs, doc_id, text)
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    stars = components(near_links(classes))
-    rooted = classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    return rows, rooted.select("fp", "root").join(whole, "root").select("fp", "root", "component_id", "component_size")
+    rooted = _rooted(classes, "fp", components(near_links(classes))).withColumnRenamed("node", "fp")
+    of = classes.join(rooted, "fp", "left")
+    own = F.col("root").isNull()
+    return rows, stage(of.select("fp", "n", F.when(own, F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component_size", "n").alias("component_size")), "near")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id, component_size."""
     rows, of = near_components(docs, doc_id, text)
-    found = rows.join(of, "fp")
+    found = split_join(rows, of, ["fp"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
+def wide_prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, hi, lo, shingles) of every row, staged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [wide_fingerprint(t) for t in batch.column(1).to_pylist()]
+            cols = [pa.array(c, k) for c, k in zip(list(zip(*found, strict=True)) or [()] * 3, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "hi", "lo", "shingles"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    return stage(rows.mapInArrow(run, "doc_id long, hi long, lo long, shingles int"), "wide_prints")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hi, lo) of every row and (hi, lo, n, root) of each fingerprint, staged: those of one root are near copies."""
+    rows = wide_prints(docs, doc_id, text)
+    classes = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("shingles").alias("shingles"))
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "wide_classes")
+    rooted = _rooted(classes, "id", components(wide_links(classes, classes.count()))).select(F.col("node").alias("id"), "root")
+    return rows, stage(classes.join(rooted, "id", "left").select("hi", "lo", "n", F.coalesce("root", "id").alias("root")), "wide_roots")
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: of the smallest id (null where all are), then any one of the rows that share it."""
-    rows, of = near_components(docs, doc_id, text)
-    other = fresh(docs, "__other")
-    kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = rows.join(of, "fp").groupBy("doc_id").agg(kept.alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1")
-    ids = stage(ids.select("kept", F.col("doc_id").alias(other)), "near_gone")
-    # ids of no row that stays, and those of several rows, of which each is looked at below
-    gone, several = small(ids.select(other)), small(ids.filter("kept").select(other))
-    out = docs.join(gone, F.col(doc_id).eqNullSafe(gone[other]), "left_anti")
-    if several.isEmpty():
+    """``docs`` with one row of each group of near copies: of the smallest id (null last), then any one of the rows that share it."""
+    rows, of = near_copies(docs, doc_id, text)
+    copies = stage(split_join(rows.select("doc_id", "hi", "lo"), of, ["hi", "lo"]).select("doc_id", "root"), "near_copies")
+    kept = copies.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"].alias("owner"))
+    kept = stage(kept, "near_kept")
+    other, number = fresh(docs, "__other"), fresh(docs, "__number")
+    # an id goes if no row of it stays; where some rows of an id stay, each is looked at by itself
+    many = copies.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    few = kept.groupBy("owner").agg(F.count("*").alias("stay"))
+    ids = many.join(few, F.col("doc_id").eqNullSafe(F.col("owner")), "left").filter("stay IS NULL OR stay < rows")
+    ids = stage(ids.select(F.col("doc_id").alias(other), F.col("stay").isNotNull().alias("some")), "near_gone")
+    every, some = small(ids.select(other)), small(ids.filter("some").select(other))
+    out = docs.join(every, F.col(doc_id).eqNullSafe(every[other]), "left_anti")
+    if some.isEmpty():
         return out
-    number = fresh(docs, "__number")
-    shared = docs.join(several, F.col(doc_id).eqNullSafe(several[other]), "left_semi")
+    shared = docs.join(some, F.col(doc_id).eqNullSafe(some[other]), "left_semi")
     shared = stage(shared.withColumn(number, F.monotonically_increasing_id()), "near_shared")
     # a row's number takes the place of its id, and the id is found by it
-    prints = fingerprints(shared, number, text).withColumnRenamed("doc_id", "number")
-    owner = shared.select(F.col(number).alias("number"), F.col(doc_id).cast("long").alias("owner"))
-    best = prints.join(owner, "number").join(of, "fp").filter(F.col("owner").eqNullSafe(F.col("component_id")))
-    best = stage(best.groupBy("root").agg(F.min("number").alias("number")).select(F.col("number").alias(other)), "near_best")
-    return out.unionByName(shared.join(small(best), shared[number] == best[other], "left_semi").drop(number))
+    owners = shared.select(F.col(number).alias("number"), F.col(doc_id).cast("long").alias("row_owner"))
+    prints = wide_prints(shared, number, text).withColumnRenamed("doc_id", "number").join(owners, "number").join(of.drop("n"), ["hi", "lo"])
+    stay = prints.join(kept, "root").filter(F.col("row_owner").eqNullSafe(F.col("owner")))
+    stay = small(stage(stay.groupBy("root").agg(F.min("number").alias("number")).select(F.col("number").alias(other)), "near_best"))
+    return out.unionByName(shared.join(stay, shared[number] == stay[other], "left_semi").drop(number))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
-
-
