@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -542,13 +543,71 @@ def test_language_vectors_are_bound_and_bundled():
     letters = [0, 1, 2, 0, 1, 0]
     want = sum(p.first[a] * np.roll(p.first[b], 1) * np.roll(p.first[c], 2) for a, b, c in zip(letters, letters[1:], letters[2:], strict=False))
     assert got[0].tolist() == want.tolist()
-    assert some.tolist() == [True, False, False, False]
+    assert some.tolist() == [4, 0, 0, 0]
     long = "".join(chr(0x4E00 + k % 3000) + "xyz "[k % 4] for k in range(60_000))
     whole = p.vectors([long])[0]
     parts = p.vectors([long] * 3)[0]
     assert (parts == whole).all()
 
 
+def plain_vector(p, text):
+    """Trigram by trigram: (vector, trigrams)."""
+    slots, out = [0], np.zeros(p.size)
+    for c in (text or "").lower():
+        one = 0
+        if c.isalpha():
+            one = ord(c) - 96 if "a" <= c <= "z" else 27 + ((ord(c) * 2654435761 >> 11) % (language.LETTERS - 27))
+        if one or slots[-1]:
+            slots.append(one)
+    if slots[-1]:
+        slots.append(0)
+    for a, b, c in zip(slots, slots[1:], slots[2:], strict=False):
+        out += p.first[a].astype(float) * np.roll(p.first[b], 1) * np.roll(p.first[c], 2)
+    return out, max(0, len(slots) - 2) if any(slots) else 0
+
+
+def plain_languages(rows):
+    """(prototypes, judge) from (text, lang) rows, one text after the other."""
+    p, sums = language.Profiler(), {}
+    for text, lang in rows:
+        v, n = plain_vector(p, text)
+        if lang is not None and n:
+            sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    protos = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+
+    def judge(text):
+        v, n = plain_vector(p, text)
+        if not n or not protos:
+            return "und", 0.0, 0.0
+        like = {k: float(v @ w) for k, w in protos.items()}
+        best = max(like, key=lambda k: like[k])
+        return best, min(1, max(0, like[best] / float(np.linalg.norm(v)))), like[best] / n
+
+    return protos, judge
+
+
+def test_language_against_plain_vectors(spark, messy):
+    """The registered query, and what a stage rejects, text by text."""
+    docs = common.table(spark, SF, "documents").collect()
+    _, judge = plain_languages([(r["text"], r["lang"]) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1])
+    texts = {r["doc_id"]: r["text"] for r in docs}
+    got = language.op9_language_id(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        lang, score, _ = judge(texts[r["doc_id"]])
+        assert r["lang_pred"] == lang
+        assert r["score"] == pytest.approx(score, abs=1e-4)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    model = language.language_model(common.table(spark, SF, "documents"))
+    odd = [(1, "Кириллица не выучена здесь никогда"), (2, "qzx xqj vvkq zzxq jjqx wqzv kxqz"), (3, texts[5]), (4, None), (5, "12 34"), (6, "")]
+    rows = messy.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    kept = Counter(tuple(r) for r in language.in_languages(rows, model).collect())
+    assert kept == Counter(tuple(r) for r in rows.collect() if judge(r["text"])[2] >= language.LEAST_LIKENESS)
+    assert (3, texts[5]) in kept and not {i for i, _ in odd if i != 3} & {i for i, t in kept if (i, t) in odd}
+    only = language.in_languages(rows, model, ("de",)).collect()
+    assert Counter(tuple(r) for r in only) == Counter(tuple(r) for r in rows.collect() if judge(r["text"])[2] >= language.LEAST_LIKENESS and judge(r["text"])[0] == "de")
+
+
 def test_language_odd_rows(spark, messy, none):
     model = language.learn(messy)
     got = language.predict(messy, model, out="p", rate="r")
@@ -598,6 +657,65 @@ def test_quality_odd_rows(spark, messy, none):
     assert {r["s"] for r in quality.score(messy, untrained, out="s").collect()} == {0.5}
 
 
+def plain_features(text):
+    """(place, value) pairs of a text's features, word by word."""
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", text or "") if w]
+    words = [p for w in words for p in ([w] if len(w) <= 24 else [w[k : k + 4] for k in range(0, len(w), 4)])]
+    top, out = 1 << 64, []
+    core, shape = [], []
+    for w in words:
+        inner = w
+        while inner and not inner[0].isalnum():
+            inner = inner[1:]
+        while inner and not inner[-1].isalnum():
+            inner = inner[:-1]
+        core.append(zlib.crc32((inner.lower() or w).encode()))
+        marks = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w]
+        shape.append(zlib.crc32("".join(m for k, m in enumerate(marks) if k == 0 or marks[k - 1] != m).encode(), 7))
+    pair = lambda a, b, salt: (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + (salt << 43)) % top
+    kinds = [core, [pair(a, b, 1) for a, b in zip(core, core[1:], strict=False)], [x + (1 << 40) for x in shape], [pair(a, b, 2) for a, b in zip(shape, shape[1:], strict=False)]]
+    kinds.append([pair(pair(a, b, 3), c, 4) for a, b, c in zip(shape, shape[1:], shape[2:], strict=False)])
+    kinds += [[(a == b) + (1 << 41) for a, b in zip(core, core[1:], strict=False)], [(a == b) + (1 << 42) for a, b in zip(core, core[2:], strict=False)]]
+    for kind in kinds:
+        for x in kind:
+            x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD % top
+            out.append(((x ^ (x >> 29)) % (1 << quality.BITS), 1 / len(kind)))
+    return out
+
+
+def test_quality_against_dense_regression(spark):
+    """A model of few rows, trained and scored with plain dictionaries."""
+    texts = ["Good plain text about one thing, and another thing.", "BUY!! BUY!! now now now $$$ 99", "", "the end of the day, it's said; is near", "spam spam spam 123 456 SPAM", None, "a", "x" * 40 + " yes", "Words follow words in a sentence that ends.", "!!! ??? ..."] * 2
+    rows = [(k, t) for k, t in enumerate(texts)]
+    labels = [(k, int("!!" not in (t or "!!") and "spam" not in (t or ""))) for k, t in rows if k % 7]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    dealt = marks.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(quality.SHARDS)).alias("shard"), F.xxhash64("doc_id", F.lit(2)).alias("turn"), "quality").collect()
+    final, total = defaultdict(float), len(labels)
+    for shard in {r["shard"] for r in dealt}:
+        z, n = defaultdict(float), defaultdict(float)
+        weight = lambda k: 0.0 if abs(z[k]) <= quality.L1 else -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)  # noqa: B023, E731
+        mine = sorted((r["turn"], r["doc_id"], r["quality"]) for r in dealt if r["shard"] == shard)
+        for _ in range(quality.PASSES):
+            for _, i, y in mine:
+                x = defaultdict(float)
+                for place, value in plain_features(texts[i]):
+                    x[place] += value
+                x["one"] = 1.0
+                w = {k: weight(k) for k in x}
+                p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+                for k, v in x.items():
+                    g = (p - y) * v
+                    z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * w[k]
+                    n[k] += g * g
+        for k in list(z):
+            final[k] += weight(k) * len(mine) / total
+    want = {i: 1 / (1 + math.exp(-sum(final[k] * v for k, v in plain_features(t)) - final["one"])) for i, t in rows}
+    got = quality.score(docs, quality.train(docs, marks), out="s").collect()
+    for r in got:
+        assert r["s"] == pytest.approx(want[r["doc_id"]], abs=2e-4)
+    assert quality.score(docs.limit(0), quality.train(docs, marks), out="s").count() == 0
+
+
 def test_texts_without_blanks_count_whole():
     f = quality.Featuriser()
     weigh = lambda t: Counter(dict(zip(*(x.tolist() for x in f.features(t)), strict=True)))
