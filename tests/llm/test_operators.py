@@ -5,8 +5,10 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -216,6 +218,12 @@ def test_html_text(spark):
         (9, "http://d.example/", "<article><p>" + "word " * 20_000 + "</article>", ("word " * 20_000).strip()),
         (1, "http://a.example/x", page(f"<article>{main}</article>"), want),
         (None, "http://a.example/w", page("<article><h1>Only a title</h1></article>"), "Only a title"),
+        (12, "http://f.example/", "<div class='post ad-free'><p>Kept whole.</p></div>", "Kept whole."),
+        (13, "http://f.example/", "<div class='main-content no-sidebar'><h1>T</h1><p>Also kept.</p></div><div class=sidebar><p>Gone, and much longer than the text beside it is.</p></div>", "T\nAlso kept."),
+        (14, "http://g.example/", "<article><p>Before.</p><div class='related-work'><p>Still the article.</p></div><p>After.</p></article>", "Before.\nStill the article.\nAfter."),
+        (15, "http://g.example/", "<form id=all><div class=banner><h1>Title</h1><p>A page inside a form.</p><button>Go</button></div></form>", "Title\nA page inside a form."),
+        (16, "http://i.example/", "<p>a&am<b>p;</b> &lt;tag&gt; &#x41;&notin; 1 < 2 & 3<4</p>", "a&amp; <tag> A∉ 1 < 2 & 3<4"),
+        (17, "http://i.example/", "<table><tr><td class=ad>no<td>yes<tr><td>more</table>", "yes\nmore"),
         (11, "http://e.example/", "<body><p class=x hidden>gone</p><p>kept &nbsp; text</p><ul><li>item one<li>item two</ul></body>", "kept text\nitem one\nitem two"),
     ]
     df = spark.createDataFrame([c[:3] for c in cases], "page_id long, url string, html string").withColumn("path", F.lit("x"))
@@ -230,15 +238,207 @@ def test_host_consensus_decides_a_page(spark):
     odd = "<div class=main><p>Short news.</p></div><div class=extra><p>" + "Far longer text that stands beside it. " * 20 + "</p></div>"
     rows = [(k, "http://h.example/p", usual.format("Some long paragraph of the page. " * 9, "And one more of them. " * 9)) for k in range(8)]
     df = spark.createDataFrame([*rows, (99, "http://h.example/odd", odd)], "page_id long, url string, html string")
-    assert html_text.Page(odd).best()[0] == "div.extra"
-    assert {r["path"] for r in html_text.host_paths(df).collect()} == {"div.main"}
+    page = html_text.Page(odd)
+    assert page.path(page.best()[0]) == "div.extra"
+    usual_page = html_text.Page(rows[0][2])
+    won = html_text.host_paths(df).collect()
+    assert [(r["host"], r["n"]) for r in won] == [("h.example", 9)]
+    assert usual_page.path(usual_page.paths.index(won[0]["path"])) == "div.main"
     assert html_text.extract(df).filter("page_id = 99").first()["text"] == "Short news."
 
 
-def test_many_hosts_are_joined_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(html_text, "FEW", 1)
-    df = spark.createDataFrame([(k, f"http://h{k}.example/", f"<article><p>text {k}</p></article>") for k in range(5)], "page_id long, url string, html string")
-    assert sorted(r["text"] for r in html_text.extract(df).collect()) == [f"text {k}" for k in range(5)]
+def test_light_hosts_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 3)
+    rows = [(k, f"http://h{k}.example/", f"<article><p>text {k}</p></article>") for k in range(5)] + [(k, "http://big.example/", f"<div class=m><p>own {k}</p></div>") for k in range(10, 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r["text"] for r in html_text.extract(df).collect()) == sorted([f"text {k}" for k in range(5)] + [f"own {k}" for k in range(10, 40)])
+
+
+class Tree(HTMLParser):
+    """A page as nested lists [tag, attributes, children], by the rules in words: the slow form."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.root = ["", {}, []]
+        self.up, self.raw = [self.root], None
+        self.feed(source)
+        self.close()
+
+    def _within(self, tags, limit):
+        """The outermost of ``tags`` open inside the nearest of ``limit``; ends it."""
+        k, found = len(self.up) - 1, None
+        while k > 0 and self.up[k][0] not in limit:
+            found = k if self.up[k][0] in tags else found
+            k -= 1
+        if found:
+            del self.up[found:]
+        return bool(found)
+
+    def handle_starttag(self, tag, attrs):
+        if self.raw:
+            return
+        if tag in html_text.RAW:
+            self.raw = tag
+            return
+        level = html_text.CELLS
+        ended = False
+        if tag in level:
+            ended = self._within({t for t in level if level[t] >= level[tag]}, {"table"})
+        elif tag in html_text.ITEMS:
+            ended = self._within(html_text.ITEMS[tag], html_text.SCOPES)
+        if not ended and tag in html_text.ENDS_P:
+            self._within({"p"}, html_text.SCOPES)
+        node = [tag, {k: v or "" for k, v in reversed(attrs)}, []]
+        self.up[-1][2].append(node)
+        if tag not in html_text.VOID:
+            self.up.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in html_text.VOID and tag not in html_text.BLOCKS and not self.raw:
+            self.up.pop()
+
+    def handle_endtag(self, tag):
+        if self.raw:
+            self.raw = None if tag == self.raw else self.raw
+            return
+        if any(n[0] == tag for n in self.up[1:]):
+            while self.up.pop()[0] != tag:
+                pass
+        elif tag in ("p", "br"):
+            self.up[-1][2].append(["/p", {}, []])
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.up[-1][2].append(data)
+
+
+def plain_page(source):
+    """[(text, path, parent's path, score, ancestors' paths)] of the blocks that count."""
+    tree, blocks, run = Tree(source or "").root, [], []
+    seen = {"began": None}
+
+    def flush(boxes, para, soft):
+        text = "".join(t for t, _ in run)
+        if text.split():
+            blocks.append([" ".join(text.split()), min(sum(len(t) for t, a in run if a), len(" ".join(text.split()))), boxes, para, soft])
+        run.clear()
+
+    def walk(node, boxes, para, softs, out, link, within):
+        for child in node[2]:
+            if isinstance(child, str):
+                if not out:
+                    run.append((child, link))
+                continue
+            tag, attrs, _ = child
+            if tag == "/p":
+                flush(boxes, para, softs)
+                continue
+            block = tag in html_text.BLOCKS
+            if block:
+                flush(boxes, para, softs)
+            if tag == "br" and not out:
+                run.append((" ", False))
+            if tag in html_text.VOID:
+                continue
+            skip = out or tag in html_text.OUT_TAGS or (tag == "header" and not (within and seen["began"] == len(blocks)))
+            if tag in ("article", "main", "h1") and not out:
+                for s in softs:
+                    s["holds"] = True
+                seen["title"] = seen.get("title") or not softs
+            inner = softs
+            if not skip:
+                skip = "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "").lower()) is not None
+                say, about = (True, False) if tag == "form" else (False, False)
+                if not say and tag not in html_text.WHOLE_PAGE:
+                    say, about = html_text.told(" ".join(attrs.get(k, "") for k in ("class", "id", "role")))
+                skip = skip or (say and not block)
+                if say and not skip:
+                    inner = (*softs, {"comments": about, "holds": False})
+            place = boxes
+            if tag in html_text.CONTAINERS and not skip:
+                place = (*boxes, (len(seen), ".".join([tag, *sorted(re.sub(r"\d+", "#", attrs.get("class", "").lower()).split())])))
+                seen[len(seen)] = None
+            if tag in ("article", "main"):
+                seen["began"] = len(blocks)
+            walk(child, place, tag in html_text.PARAGRAPHS or (para and tag not in html_text.CONTAINERS) if block else para, inner, skip, link or tag == "a", within or tag in ("article", "main"))
+            if block:
+                flush(place, tag in html_text.PARAGRAPHS or (para and tag not in html_text.CONTAINERS), inner)
+
+    walk(tree, (), False, (), False, False, False)
+    flush((), False, ())
+    prose = lambda some: sum((len(b[0]) - b[1]) * b[3] for b in some)
+    kept = []
+    for b in blocks:
+        for soft in b[4]:
+            own = [x for x in blocks if any(soft is y for y in x[4])]
+            whole = sum(len(x[0]) for x in own) == sum(len(x[0]) for x in blocks)
+            if not (whole if soft["comments"] else soft["holds"] or (not seen.get("title") and prose(own) > html_text.MOST * prose(blocks))):
+                break
+        else:
+            kept.append(b)
+    return kept
+
+
+def plain_best(blocks):
+    score = {}
+    for text, linked, boxes, para, _ in blocks:
+        worth = (len(text) - 2 * linked) * (1 if para else 0.5)
+        for part, box in zip((1, 0.5), (boxes, boxes[:-1]), strict=True):
+            if box:
+                score[box] = score.get(box, 0) + worth * part
+    good = {k: v for k, v in score.items() if v > 0}
+    top = max(good, key=lambda k: (good[k], -k[-1][0]), default=())
+    return tuple(step for _, step in top), (good[top] / sum(good.values()) if top else 0)
+
+
+def plain_texts(rows):
+    """(page_id, url) to text, page after page."""
+    pages = [(i, u, plain_page(h)) for i, u, h in rows]
+    host = lambda u: m[1].lower() if (m := re.match(r"(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", u or "")) else ""
+    votes = defaultdict(Counter)
+    for _, u, blocks in pages:
+        path, share = plain_best(blocks)
+        if path:
+            votes[host(u)][path] += round(share * 1000)
+    out = []
+    for i, u, blocks in pages:
+        won = [max(votes[host(u)].items(), key=lambda x: x[1])[0]] if votes[host(u)] else []
+        for path in [*won, plain_best(blocks)[0], ()]:
+            found = [b[0] for b in blocks if any(tuple(s for _, s in b[2][:k]) == path for k in range(len(b[2]) + 1))]
+            if found:
+                break
+        out.append((i, u, "\n".join(found) if blocks else ""))
+    return Counter(out)
+
+
+def test_pages_against_the_slow_form(spark):
+    rows = [tuple(r) for r in common.table(spark, SF, "pages").select("page_id", "url", "html").collect()]
+    got = Counter((r["page_id"], r["url"], r["text"]) for r in html_text.op4_html_text(spark, SF).collect())
+    assert got == plain_texts(rows)
+    random_ = random.Random(21)
+    tags = ["div", "p", "b", "a", "li", "ul", "td", "tr", "table", "article", "header", "nav", "h1", "form", "span", "section"]
+    names = ["", "", "", " class=ad", " class='main x9'", " class=sidebar", " id=comments", " class='no-ads'", " hidden", " class=related-work", " style='display: none'", " role=banner", " data-x='>'"]
+
+    def made():
+        out = []
+        for _ in range(random_.randint(0, 60)):
+            kind = random_.random()
+            out.append(f"<{random_.choice(tags)}{random_.choice(names)}>" if kind < 0.4 else f"</{random_.choice(tags)}>" if kind < 0.65 else random_.choice(["<br>", "<!-- c <p> -->", "<script>x<p></script>", " &amp; ", "&lt;p&gt;"]) if kind < 0.75 else " ".join(random_.choice(["some", "words", "of", "text", "here."]) for _ in range(random_.randint(1, 12))))
+        return "".join(out)
+
+    odd = [(k, f"http://{'abc'[k % 3]}.example/{k}" if k % 5 else None, made()) for k in range(250)]
+    votes_tie = plain_texts(odd)
+    got = Counter((r["page_id"], r["url"], r["text"]) for r in html_text.extract(spark.createDataFrame(odd, "page_id long, url string, html string")).collect())
+    assert got == votes_tie
+
+
+def test_hostile_pages_take_linear_time():
+    n = 300_000
+    for source in ("<a " * (n // 3), '<div class="c">' * (n // 15), "</b>" * (n // 4), '<a x="' * (n // 6), "<" * n, "<!--" * (n // 4), "<!" * (n // 2), "<b>" * 30_000 + "<p>x" * 30_000, "<a " + "x" * n + ">", "<title>" * (n // 7), "<li>" * (n // 4), "<a b='" + '=" ' * (n // 3) + ">", "<p>" * 1000 + "</p></i>" * 30_000, "<table>" * 10_000 + "<td>" * 10_000):
+        began = time.process_time()
+        html_text.Page(source).text(None)
+        assert time.process_time() - began < 2, source[:20]
 
 
 # ---------------------------------------------------------------- 5
