@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import time
@@ -180,7 +181,7 @@ def test_byte_bpe_equals_tiktoken(spark, messy):
     lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=model.ranks, special_tokens={})
     letters, random_ = "abcdehtTHE  \n\t'\x1c\x1f\x85\xa0 éßΣ日😀12٣,.!s're\x00", random.Random(4)
     texts = ["".join(random_.choice(letters) for _ in range(random_.randint(0, 50))) for _ in range(800)]
-    texts += ["", None, "a" * 3000, "thethe" * 400, "\n" * 2000, "<|endoftext|>"]
+    texts += ["", None, "a" * 3000, "thethe" * 400, "\n" * 2000, "<|endoftext|>", "".join(random_.choice("abcdeth") for _ in range(2440)), "".join(random_.choice("abcdeth") for _ in range(5000))]
     got = model.encode(texts)
     assert [g.tolist() for g in got] == [lib.encode_ordinary(t or "") for t in texts]
     assert model.decode(got) == [(t or "").encode() for t in texts]
@@ -638,7 +639,8 @@ def test_collision_rate_is_generalised_jaccard():
 
 def test_fingerprints_with_the_next_document(messy, none):
     rows = [(r["doc_id"], r["text"] or "") for r in messy.select("doc_id", "text").collect()]
-    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     sampler, want = weighted_minhash.Sampler(), Counter()
     prints = sampler.fingerprints([t for _, t in rows])
     hexed = lambda p: p.astype(">u2").tobytes().hex()
@@ -648,8 +650,8 @@ def test_fingerprints_with_the_next_document(messy, none):
         new = t[: len(t) - n] + nxt[:n]
         other = sampler.fingerprints([new])[0]
         want[i, len(t), hashlib.sha256(new.encode()).hexdigest(), hexed(prints[k]), hexed(other), float((prints[k] == other).mean()), float((prints[k] == prints[(k + 1) % len(rows)]).mean())] += 1
-    for buckets in (1, 5, None):
-        assert Counter(map(tuple, weighted_minhash.fingerprint_with_next(messy, buckets).collect())) == want
+    for size in (1 << 30, 3000, 100):
+        assert Counter(map(tuple, weighted_minhash.fingerprint_with_next(messy, size).collect())) == want
     assert weighted_minhash.fingerprint_with_next(none).count() == 0
     one = weighted_minhash.fingerprint_with_next(messy.filter("doc_id = 5")).collect()
     assert [r["near_next"] for r in one] == [1.0]
@@ -701,6 +703,54 @@ def test_warc(spark, tmp_path, least):
     assert {p.name: p.read_bytes() for p in files} == {p.name: p.read_bytes() for p in (tmp_path / "again/archive").iterdir()}
 
 
+def test_warc_does_not_depend_on_the_layout(spark, tmp_path):
+    """100,000 rows, repeated ids, payloads and rows among them, dealt in two ways: the same files, byte by byte."""
+    i = F.col("id")
+    df = spark.range(100_000).select(
+        F.when(i % 3 == 0, F.lit(5)).otherwise(i * 7919 % 100_003).alias("page_id"),
+        F.concat(F.lit("http://h/"), i % 50).alias("url"),
+        F.when(i % 10 == 0, "<p>one page that many have</p>").when(i % 11 == 0, "").otherwise(F.repeat(F.concat(F.lit("<p>text "), (i % 40_000).cast("string")), (i % 5 + 1).cast("int"))).alias("html"),
+    )
+    files = []
+    for k, given in enumerate((df.repartition(9), df.coalesce(2).sortWithinPartitions(F.desc("url")))):
+        out = f"{tmp_path}/w{k}"
+        manifest = warc.write_archives(given, f"file://{out}", file_bytes=100_000, range_bytes=500_000)
+        files.append({p: zlib.crc32(open(f"{out}/archive/{p}", "rb").read()) for p in os.listdir(f"{out}/archive")})
+        assert sum(r["records"] for r in manifest.collect()) == 100_000
+    assert len(files[0]) > 20
+    assert len({p.split("-")[1] for p in files[0]}) > 4
+    assert files[0] == files[1]
+
+
+def test_settling_tells_lost_files(spark, tmp_path, monkeypatch):
+    df, _ = pages(spark)
+    out = f"{tmp_path}/w"
+    plain, calls = type(df).mapInArrow, []
+
+    def losing(self, fn, schema, *a):
+        calls.append(schema)
+        if len(calls) == 2:  # the files are gone before they are settled
+            for p in (tmp_path / "w/_temporary").iterdir():
+                p.unlink()
+        return plain(self, fn, schema, *a)
+
+    monkeypatch.setattr(type(df), "mapInArrow", losing)
+    with pytest.raises(Exception, match="neither the file"):
+        warc.write_archives(df, f"file://{out}")
+
+
+def test_ranges_take_hot_keys_apart(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("a"), F.xxhash64("id").alias("b"), F.lit(10).cast("long").alias("bytes"))
+    bounds = common.range_bounds(rows, ["a", "b"], 10_000)
+    assert bounds == sorted(set(bounds)) and 20 <= len(bounds) < 30
+    assert bounds == common.range_bounds(rows.repartition(7), ["a", "b"], 10_000)
+    sizes = [r["count"] for r in rows.groupBy(common.shard_of(["a", "b"], bounds).alias("s")).count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 3000
+    same = spark.range(3000).select(F.lit(1).cast("long").alias("a"), F.lit(2).cast("long").alias("b"), F.lit(10).cast("long").alias("bytes"))
+    assert len(common.range_bounds(same, ["a", "b"], 1000)) <= 1
+    assert common.range_bounds(same.limit(0), ["a", "b"], 1000) == []
+
+
 def test_warc_is_standard_gzip_and_checked(spark, tmp_path):
     import gzip
 
@@ -1030,3 +1080,18 @@ def test_tables_hold_the_chance_to_meet():
 @pytest.mark.parametrize("make", [exact_dedup.exact_duplicates, simhash.near_duplicates, exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, lambda d: bpe.round_trip(d, BYTES, PATTERN)])
 def test_empty_tables(none, make):
     assert make(none).count() == 0
+
+
+def test_no_token_files_of_an_empty_table(spark, none, tmp_path):
+    out = f"file://{tmp_path}/t"
+    assert token_files.write_token_files(none, out, token_files.encoder_of(WORDS, 1)).count() == 0
+    assert token_files.read_token_files(spark, out).count() == 0
+
+
+def test_heavy_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 4)
+    rows = spark.createDataFrame([(k % 50 if k % 3 else 1, k) for k in range(600)], "key long, v long")
+    groups = rows.filter("key <> 3").groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low")).filter("key < 40")
+    plain = lambda how: Counter(tuple(r) for r in rows.join(groups.drop("n"), "key", how).collect())
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert Counter(tuple(r) for r in common.split_join(rows, groups, ["key"], how).collect()) == plain(how), how

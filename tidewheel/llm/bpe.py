@@ -8,13 +8,15 @@ of it is in the table. The merge table holds every way to cut a token into two t
 so up to ``KNOWN`` of them are kept by each worker.
 
 A recursive query keeps the rows of all steps, which grow with the square of a word's length, so
-words are dealt to queries by that measure, and a word of more than ``LONGEST`` bytes is contracted
-by the same rule with a heap of its pairs.
+words are dealt to queries by that measure, ``WORD_ROWS`` rows at most. A word that alone has more (of
+over some 2,400 bytes: of 100,000 bytes it would be 80 GB) is contracted by the same rule, the leftmost
+pair of least rank first, with a heap of its pairs.
 
 Ids are decoded by joining (document, position, id) with the vocabulary and an ordered aggregation.
 
-Null text counts as empty, and has no ids. Repeated rows and other columns make no difference to a
-row's result. Ids outside the vocabulary cannot be decoded and raise.
+Null text counts as empty, and has no ids. Very long texts are taken whole. Rows come back one for one:
+repeated rows, equal ids and other columns make no difference to a row's result, and an empty table gives
+an empty one. Ids outside the vocabulary cannot be decoded and raise.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import table, worker_model
 
-KNOWN, LONGEST, WORD_ROWS, DOC_IDS, DOCS = 1_000_000, 1024, 3_000_000, 500_000, 512
+KNOWN, WORD_ROWS, DOC_IDS, DOCS = 1_000_000, 3_000_000, 500_000, 512
 
 ENCODE = """
 WITH RECURSIVE steps(word, pos, tok, step) AS (
@@ -125,14 +127,14 @@ class BytePairs:
             raw = word.encode()
             if raw in self.ranks:
                 self.known[word] = np.array([self.ranks[raw]], "<i4").tobytes()
-            elif len(raw) > LONGEST:
+            elif (own := len(raw) * (len(raw) + 1) // 2) > WORD_ROWS:
                 self.known[word] = np.array(self.contract_long(raw), "<i4").tobytes()
             else:
-                part.append((word, raw))
-                rows += len(raw) * (len(raw) + 1) // 2
-                if rows > WORD_ROWS:
+                if rows + own > WORD_ROWS:
                     self._keep(part)
                     part, rows = [], 0
+                part.append((word, raw))
+                rows += own
         self._keep(part)
 
     def _keep(self, part: list[tuple[str, bytes]]) -> None:

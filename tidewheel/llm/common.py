@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_root
@@ -130,6 +131,46 @@ def split_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "
     return rows.join(heavy, keys, "inner" if how == "left" else how).unionByName(rest.join(light, keys, how))
 
 
+#: Keys for each shard that its bounds are taken from.
+SAMPLED = 20
+
+
+def range_bounds(rows: DataFrame, key: list[str], shard_bytes: int) -> list[tuple]:
+    """Keys that cut ``rows`` (keys of type long, and ``bytes``), sorted by key, into shards of about equal bytes.
+
+    There are as many shards as the bytes of all rows ask for, ``MOST_TASKS`` at most. Keys are drawn by a
+    hash of themselves, so bounds are the same however the rows lie; what reaches the driver is about
+    ``SAMPLED`` keys a shard, however often a key recurs. Bounds say where rows go, not which.
+    """
+    n, total = rows.agg(F.count("*"), F.sum("bytes")).first()
+    shards = min(MOST_TASKS, max(1, -(-(total or 0) // shard_bytes)))
+    if shards == 1:
+        return []
+    drawn = rows.filter(F.pmod(F.xxhash64(*key), F.lit(max(1, n // (SAMPLED * shards)))) == 0).groupBy(*key).agg(F.sum("bytes").alias("bytes"))
+    every = sorted((*r[:-1], r[-1] or 0) for r in drawn.collect())
+    whole, seen, bounds = sum(r[-1] for r in every), 0, []
+    for r in every:
+        seen += r[-1]
+        if len(bounds) < shards - 1 and seen * shards >= whole * (len(bounds) + 1):
+            bounds.append(r[:-1])
+            while len(bounds) < shards - 1 and seen * shards >= whole * (len(bounds) + 1):
+                shards -= 1  # one key that fills several shards is one
+    return bounds
+
+
+def shard_of(key: list[str], bounds: list[tuple]) -> Column:
+    """How many of the ascending bounds are below the key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    names = [f"k{k}" for k in range(len(key))]
+    kind = f"array<struct<{', '.join(f'{n}: bigint' for n in names)}>>"
+    at = F.from_json(F.lit(json.dumps([dict(zip(names, b, strict=True)) for b in bounds])), kind)
+    own = F.struct(*[F.col(c).alias(n) for c, n in zip(key, names, strict=True)])
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    further = lambda found, step: F.when((found + step <= len(bounds)) & (F.get(at, found + step - 1) < own), found + step).otherwise(found)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores before it as make it no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -1,16 +1,21 @@
 """Operator 8: deterministic WARC archives of web pages, written in shards and read back.
 
-Records are range-sorted by page id over tasks; each task rolls its file when its compressed size
-reaches a limit. Headers, digests and record ids are made from the row alone and the gzip members
-carry no time, so the same rows dealt the same way give the same bytes. Files are written by
-attempt-unique temporary names, a manifest (a Parquet table, committed atomically) says which of them
-count and what they are to be called, and a second, repeatable step renames them.
+Records are sorted by page id and a hash of the payload, and dealt over tasks by ranges of both of about
+``RANGE_BYTES`` of payload. The ranges come from counts of bytes and from keys drawn by a hash of
+themselves, so they are the same however the input's files and partitions lie. Each task rolls its file
+when its compressed size reaches a limit. Headers, digests and record ids are made from the row alone
+and the gzip members carry no time, so the same rows give the same files, byte by byte. Files are
+written by attempt-unique temporary names, a manifest (a Parquet table, committed atomically) says which
+of them count and what they are to be called, and a second, repeatable step renames them; it fails
+where neither a temporary file nor the whole final one is there.
 
 Of records with equal payloads of at least ``least`` bytes the one of the smallest page id is a
 response and the others revisit it; smaller ones are all responses. A revisit record keeps the HTTP
 header alone, so its Content-Length and both digests still tell of the whole payload.
 
-Null html is an empty payload. Of rows repeated with the smallest id each is a response; rows of null
+Null html is an empty payload; a very long one is one record. Many rows of one id are cut apart by their
+payloads; those that are repeated as a whole share a task, which streams them. Other columns are ignored,
+whatever their names. Of rows repeated with the smallest id each is a response; rows of null
 id come first, and revisit the smallest id of their payload, if there is one. A null url becomes a URN
 of the id; control characters in it are percent-encoded. An empty table gives an empty manifest.
 """
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_store, stage, table
+from .common import MOST_TASKS, fresh_path, open_store, range_bounds, shard_of, slices, split_join, stage, table
 
 FILE_BYTES = 64 << 20
 LEAST = 0
-MOST_TASKS = 20_000
+RANGE_BYTES = 32 << 20
+LOWEST = -(1 << 63)
 LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:x-page")
@@ -111,37 +117,48 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, sha, refers_to) of the pages whose payload a smaller page id has."""
-    sums = stage(pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("n")), "payloads").filter(F.col("n") >= least)
-    first = sums.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows")).filter("rows > 1 AND refers_to IS NOT NULL").drop("rows")
-    return sums.join(first, "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha", "refers_to").distinct()
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pages.withColumns({"at": F.coalesce("page_id", F.lit(LOWEST)), "tie": F.xxhash64("html")})
 
 
-def write_archives(pages: DataFrame, out: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
+def payloads(pages: DataFrame) -> DataFrame:
+    """(page_id, at, tie, sha, bytes) of every page, staged."""
+    return stage(_keyed(pages).select("page_id", "at", "tie", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").cast("long").alias("bytes")), "payloads")
+
+
+def revisits(sums: DataFrame, least: int = LEAST) -> DataFrame:
+    """(page_id, at, tie, sha, refers_to) of the pages whose payload a smaller page id has, staged."""
+    sums = sums.filter(F.col("bytes") >= least)
+    first = sums.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 AND refers_to IS NOT NULL")
+    found = split_join(sums, stage(first, "first_payloads"), ["sha"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return stage(found.select("page_id", "at", "tie", "sha", "refers_to").distinct(), "revisits")
+
+
+def write_archives(pages: DataFrame, out: str, least: int = LEAST, file_bytes: int = FILE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) below ``out``; returns the manifest."""
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    found = stage(revisits(pages, least), "revisits")
+    sums = payloads(pages)
+    bounds = range_bounds(sums, ["at", "tie"], range_bytes)
     none = F.lit(None).cast("string")
-    rows = found.select("page_id", F.lit(0).alias("kind"), F.col("sha").alias("url"), none.alias("html"), "refers_to")
-    rows = rows.unionByName(pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")))
+    rows = revisits(sums, least).select("page_id", "at", "tie", F.lit(0).alias("kind"), F.col("sha").alias("url"), none.alias("html"), "refers_to")
+    rows = rows.unionByName(_keyed(pages).select("page_id", "at", "tie", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, made, sink, size, records = TaskContext.get().partitionId(), [], None, 0, 0
         store, base = open_store(out)
-        at, known = None, {}
+        at, known = (), {}
 
         def close():
             sink.close()
             made.append({"temp": temp, "file": name, "records": records, "bytes": size})
 
-        for batch in batches:
-            for page_id, kind, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if page_id != at:
-                    at, known = page_id, {}
+        for batch in slices(batches, 256):
+            for page_id, tie, kind, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (page_id, tie) != at:
+                    at, known = (page_id, tie), {}
                 if kind == 0:
                     known[url] = refers_to
                     continue
@@ -169,12 +186,16 @@ def write_archives(pages: DataFrame, out: str, least: int = LEAST, file_bytes: i
         store, base = open_store(out)
         for batch in batches:
             for row in batch.to_pylist():
-                if store.get_file_info(f"{base}/{row['temp']}").type != fs.FileType.NotFound:  # else done by an earlier attempt
+                final, temp = store.get_file_info([f"{base}/archive/{row['file']}", f"{base}/{row['temp']}"])
+                if temp.type != fs.FileType.NotFound:
                     store.create_dir(f"{base}/archive", recursive=True)
-                    store.move(f"{base}/{row['temp']}", f"{base}/archive/{row['file']}")
+                    store.move(temp.path, final.path)
+                elif final.type == fs.FileType.NotFound or final.size != row["bytes"]:  # else done by an earlier attempt
+                    raise OSError(f"{row['file']}: neither the file that was written nor the one it was to be is there")
             yield batch
 
-    rows.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html").mapInArrow(run, MANIFEST).write.parquet(f"{out}/_written")
+    dealt = rows.repartitionById(len(bounds) + 1, shard_of(["at", "tie"], bounds)).sortWithinPartitions("at", "tie", "kind", "page_id", "url", "html")
+    dealt.select("page_id", "tie", "kind", "url", "html", "refers_to").mapInArrow(run, MANIFEST).write.parquet(f"{out}/_written")
     written = spark.read.schema(MANIFEST).parquet(f"{out}/_written")
     written.repartition(max(1, min(written.count(), MOST_TASKS)), "file").mapInArrow(settle, MANIFEST).write.parquet(f"{out}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")

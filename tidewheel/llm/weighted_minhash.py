@@ -11,10 +11,13 @@ A term's draws do not depend on the text, so the values of a (word, count) are k
 up to ``KNOWN`` of them. A text without words has the fingerprint of one empty term. Null text counts
 as empty; equal texts have equal fingerprints.
 
-The documents' order is that of descending id (null ids last), then of text. Ids are range-dealt into
-buckets, and the first row of each bucket also goes, as a look-ahead, to the one before it (from the
-first to the last), so a bucket has all it needs: texts are shuffled once, none is sorted in one
-place. Repeated rows and rows of equal id follow one another. A single row is its own next one.
+The documents' order is that of descending id (null ids last), then of a hash of the text. Rows are dealt
+by ranges of both into buckets of about ``BUCKET_BYTES`` of text, a task each, and the first row of each
+bucket also goes, as a look-ahead, to the one before it (from the first to the last), so a bucket has
+all it needs: texts are shuffled once, none is sorted in one place. Rows of equal id follow one another
+and are cut apart where they are many; rows repeated with their id and text are told apart by nothing
+and share a task, which streams them. A single row is its own next one. Very long texts are taken
+whole. Other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_model
+from .common import range_bounds, shard_of, slices, stage, table, worker_model
 
-SAMPLES, SEED, KNOWN, ROWS = 64, 7, 250_000, 128
+SAMPLES, SEED, KNOWN, ROWS, BUCKET_BYTES = 64, 7, 250_000, 128, 16 << 20
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 LOWEST = -(1 << 63)
 
@@ -134,44 +137,30 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are below the key, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    at = F.array(*[F.lit(b).cast("long") for b in bounds])
-    further = lambda found, step: F.when((found + step <= len(bounds)) & (F.get(at, found + step - 1) < key), found + step).otherwise(found)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
-
-
-def fingerprint_with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def fingerprint_with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): see ``OUT``."""
     spark = docs.sparkSession
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    ids = docs.select(key.alias("key"))
-    shares = [k / buckets for k in range(1, buckets)]
-    found = ids.agg(F.percentile_approx("key", shares, 1000).alias("b")).first()["b"] if shares else None
-    bounds = sorted(set(found or []))
-    heads = {r["bucket"]: r["head"] for r in ids.groupBy(bucket_of(F.col("key"), bounds).alias("bucket")).agg(F.max("key").alias("head")).collect()}
-    order = sorted(heads, reverse=True)  # at most as many as there are buckets
-    before = {b: order[k - 1] for k, b in enumerate(order)}
-    size = len(bounds) + 1
-    head = F.array(*[F.lit(heads.get(b)).cast("long") for b in range(size)])
-    ahead = F.array(*[F.lit(before.get(b)).cast("int") for b in range(size)])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
-    rows = rows.withColumn("bucket", bucket_of(F.col("key"), bounds))
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("look"))
-    more = F.struct(F.get(ahead, F.col("bucket")).alias("bucket"), F.lit(1).alias("look"))
-    places = F.when(F.get(head, F.col("bucket")) == F.col("key"), F.array(own, more)).otherwise(F.array(own))
-    rows = rows.select("doc_id", "text", "key", F.explode(places).alias("at")).select("at.bucket", "at.look", "doc_id", "text", "key")
-    rows = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "look", F.desc("key"), "text")
+    order = ["down", "tie"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"down": F.bitwise_not(F.coalesce("doc_id", F.lit(LOWEST))), "tie": F.xxhash64("text")})
+    keys = rows.select(*order, F.octet_length("text").cast("long").alias("bytes"))
+    keys = stage(keys, "fingerprint_keys")
+    bounds = range_bounds(keys, order, bucket_bytes)
+    bucket = shard_of(order, bounds)
+    # at most as many rows as there are buckets: each one's first key
+    heads = keys.groupBy(bucket.alias("bucket")).agg(F.min(F.struct(*order)).alias("k")).select("bucket", "k.*").orderBy("bucket").collect()
+    before = [(heads[k - 1]["bucket"], r["down"], r["tie"]) for k, r in enumerate(heads)]
+    firsts = F.broadcast(spark.createDataFrame(before, "bucket int, down long, tie long"))
+    ahead = rows.join(firsts, order).groupBy("bucket", *order).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    both = rows.select(bucket.alias("bucket"), F.lit(0).alias("look"), "doc_id", "text", *order)
+    both = both.unionByName(ahead.select("bucket", F.lit(1).alias("look"), "doc_id", "text", *order))
+    rows = both.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "look", *order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row whose next one is still to come
         pairs: list[tuple] = []
         chars = 0
-        for batch in batches:
+        for batch in slices(batches, 256):
             for bucket, look, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if held is not None and held[0] == bucket:
                     pairs.append((held[1], held[2], text))
