@@ -224,3 +224,149 @@ def test_stateful_delta_equals_the_fold(spark, tmp_path):
     assert [(r["k"], r["ts"].minute, r["delta"]) for r in found] == [(k, m, d) for k in (1, 2) for m, d in ((1, 2.0), (3, 0.0), (4, 7.0))]
     with pytest.raises(QueryError):
         X.stateful_delta(stream, "k", reset="none")
+
+
+def test_folds_of_any_length(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("b", 2, 7), ("a", 3, 6), ("a", 2, 9), (None, 1, 4)], "k string, at long, v long")
+    got = {r["k"]: r["value"] for r in L.folded_rows(df, ("k",), ("at",), "v", 0, lambda s, x: s * 10 + x, "long").collect()}
+    assert got == {"a": 596, "b": 7, None: 4}
+    assert [r["value"] for r in L.folded_rows(df.filter("k = 'a'"), (), ("at",), "v", "", lambda s, x: f"{s}{x}", "string").collect()] == ["596"]
+    assert L.folded_rows(df.limit(0), ("k",), ("at",), "v", 0, lambda s, x: s, "long").count() == 0
+    long = spark.range(30_000).select((F.col("id") % 2).alias("k"), F.col("id"))
+    want = {0: 0, 1: 0}
+    for k in range(30_000):
+        want[k % 2] = (want[k % 2] * 31 + k) % 1009
+    assert {r["k"]: r["value"] for r in L.folded_rows(long, ("k",), ("id",), "id", 0, lambda s, x: (s * 31 + x) % 1009, "long").collect()} == want
+
+
+def test_pages_and_clusters_by_text(spark):
+    words = [f"w{k * 7919 % 1000:03d}" for k in range(1000)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(5)
+    assert [r["w"] for r in L.page(df, 3, 10, "w").collect()] == [f"w{k:03d}" for k in range(30, 40)]
+    assert [r["w"] for r in L.skipped(df, 995, "w").collect()] == [f"w{k:03d}" for k in range(995, 1000)]
+    found = L.clustered(df, F.substring("w", 1, 2), ["w"], [F.count("*").alias("n")]).orderBy("cluster").collect()
+    assert [(r["cluster"], r["n"], r["prev"] and r["prev"]["w"]) for r in found] == [(f"w{k}", 100, f"w{k - 1}99" if k else None) for k in range(10)]
+
+
+def test_more_of_optional_values(spark):
+    some, none = L.Optional.of(spark, [4], "long"), L.Optional.of(spark, [], "long")
+    assert some.flat_map(lambda v: L.Optional.of(spark, [v * 2], "long")).get() == 8
+    assert none.flat_map(lambda v: some).empty
+    seen = []
+    assert some.consume(seen.append) and not none.consume(seen.append) and seen == [4]
+    assert (some.or_else_get(lambda: 1 / 0), none.or_else_get(lambda: 5)) == (4, 5)
+    assert (some.as_json(), none.as_json()) == ("4", "null")
+    assert L.Optional.from_json(spark, '{"a": 1}', "struct<a:int>").get()["a"] == 1
+    assert L.Optional.from_json(spark, "null", "long").empty
+    with pytest.raises(Exception):  # noqa: B017  malformed
+        L.Optional.from_json(spark, "{", "struct<a:int>").get()
+
+
+def test_writers_and_responses(spark):
+    df, text, started = ints(spark, [5, 6, 7]).select("v"), [], []
+
+    def init():
+        started.append(len(text))
+        return text.append
+
+    assert L.write_json_array_with(df, init, "v") == 3
+    assert json.loads("".join(text)) == [{"v": 5}, {"v": 6}, {"v": 7}] and started == [0]
+    text.clear()
+    assert L.write_json_array_with(df.limit(0), init) == 0 and text == ["[", "]"]
+    with pytest.raises(Exception, match="boom"):
+        L.write_json_array_with(readers.failing(spark, "boom", "v long"), init)
+    assert len(started) == 2
+    calls = []
+    body = b"".join(L.json_response(df, "v")({}, lambda status, headers: calls.append((status, headers))))
+    assert json.loads(body) == [{"v": 5}, {"v": 6}, {"v": 7}]
+    assert calls == [("200 OK", [("Content-Type", "application/json")])]
+
+
+def test_buffers_and_locks():
+    import threading
+
+    assert list(L.buffered(iter(range(50)), 3)) == list(range(50))
+    assert list(L.buffered([], 1)) == []
+
+    def bad():
+        yield 1
+        raise KeyError("later")
+
+    rows = L.buffered(bad(), 4)
+    assert next(rows) == 1
+    with pytest.raises(KeyError):
+        next(rows)
+    with pytest.raises(QueryError):
+        list(L.buffered([1], 0))
+    read = []
+
+    def endless():
+        for k in range(10**9):
+            read.append(k)
+            yield k
+
+    some = L.buffered(endless(), 2)
+    assert next(some) == 0
+    some.close()
+    lock = threading.Lock()
+    with L.locked(lock):
+        assert lock.locked()
+    assert not lock.locked()
+
+
+def test_queries_on_a_database(spark):
+    """An embedded database, whole and dealt out by a column."""
+    url = "jdbc:derby:memory:tidewheel;create=true"
+    rows = [(k, f"name {k}", datetime(2024, 1, 1, 0, k % 60)) for k in range(100)]
+    spark.createDataFrame(rows, "ID long, NAME string, MADE timestamp").write.mode("overwrite").jdbc(url, "MY_TABLE")
+    got = readers.query(spark, url, "SELECT ID, NAME, MADE FROM MY_TABLE WHERE ID >= 90")
+    assert [(r["ID"], r["NAME"], r["MADE"]) for r in got.orderBy("ID").collect()] == rows[90:]
+    assert readers.query(spark, url, "SELECT ID FROM MY_TABLE WHERE ID < 0").count() == 0
+    with pytest.raises(Exception):  # noqa: B017  no such table
+        readers.query(spark, url, "SELECT * FROM NOTHING").collect()
+
+
+def test_approximate_percentiles_from_json(spark):
+    data = [{"timestamp": f"2024-01-01T00:{k // 60:02d}:{k % 60:02d}+00:00", "value": float(k)} for k in range(1000)]
+    static = {"type": "static", "fieldMeta": {"uri": "x", "dataType": "decimal", "required": True}, "data": data}
+    fields = [{"reductionType": "p90", "fieldMeta": {"uri": "near"}, "approximate": True}, {"reductionType": "p90", "fieldMeta": {"uri": "exact"}}]
+    row = execute_aggregation(spark, {"from": "2024-01-01T00:00:00+00:00", "to": "2025-01-01T00:00:00+00:00", "aggregation": {"type": "fromDatasource", "datasource": static, "fields": fields}}).result().first()
+    assert row["exact"] == pytest.approx(899.1)
+    assert abs(row["near"] - 899.1) < 2
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from tidewheel import shared
+
+    class Conf:
+        def get(self, key, default=None):
+            return None
+
+    class Context:
+        master, environment = "spark://host:7077", {}
+
+        def getConf(self):  # noqa: N802  Spark's name
+            return Conf()
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                class S:
+                    @staticmethod
+                    def getCheckpointDir():  # noqa: N802
+                        class Option:
+                            @staticmethod
+                            def isDefined():  # noqa: N802
+                                return False
+
+                        return Option()
+
+                return S()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_root(Session())
+    Context.master = "local[4]"
+    assert shared.shared_root(Session()).startswith("file:///")

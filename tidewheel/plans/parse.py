@@ -238,7 +238,7 @@ class Parser:
         if empty is not None and not isinstance(empty, E.Constant):
             raise QueryError("a fallback value must be a constant")
         meta = f.get("fieldMeta")
-        return A.AggregatedField(_need(f, "reductionType"), new_field(meta) if meta else None, empty, f.get("sourceFieldUrn"), f.get("compareFieldUrn"))
+        return A.AggregatedField(_need(f, "reductionType"), new_field(meta) if meta else None, empty, f.get("sourceFieldUrn"), f.get("compareFieldUrn"), bool(f.get("approximate")))
 
     def aggregation_value(self, node: Json) -> E.Expr:
         kind, again = _type(node, "value"), self.aggregation_value
