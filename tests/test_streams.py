@@ -335,6 +335,27 @@ def test_approximate_percentiles_from_json(spark):
     assert abs(row["near"] - 899.1) < 2
 
 
+@pytest.mark.parametrize("per_line", [1, 2, 3])
+def test_json_files_are_read_by_lines(spark, tmp_path, monkeypatch, per_line):
+    """Pretty-printed, packed, and with brackets, commas and quotes in strings."""
+    monkeypatch.setattr(readers, "_LINES", per_line)
+    rows = [{"a": k, "s": ["x, ]", 'q"uo\\te', "{[", "", "line\nend"][k % 5], "n": {"m": [[k], []], "e": {}}} for k in range(23)]
+    texts = [json.dumps(rows), json.dumps(rows, indent=2), "[\n" + ",\n".join(map(json.dumps, rows)) + "\n]\n", " [ " + " , ".join(map(json.dumps, rows)) + " ] "]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.json").write_text(text)
+        got = readers.json_array(spark, str(tmp_path / f"{k}.json"), "a long, s string, n struct<m:array<array<long>>>").orderBy("seq").collect()
+        assert [(r["seq"], r["a"], r["s"], r["n"]["m"]) for r in got] == [(j, r["a"], r["s"], r["n"]["m"]) for j, r in enumerate(rows)]
+        (tmp_path / f"o{k}.json").write_text(json.dumps({r["s"] + str(r["a"]): r["a"] for r in rows}, indent=k or None))
+        assert {r["key"]: r["value"] for r in readers.json_object(spark, str(tmp_path / f"o{k}.json"), "long").collect()} == {r["s"] + str(r["a"]): r["a"] for r in rows}
+    for name, text in (("e", "[]"), ("f", "[\n\n]"), ("g", "")):
+        (tmp_path / name).write_text(text)
+        assert readers.json_array(spark, str(tmp_path / name), "a long").count() == 0
+    for name, text in (("x", '{"a": 1}'), ("y", '"text"'), ("z", '[1]\n"more"')):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="no array"):
+            readers.json_array(spark, str(tmp_path / name), "a long").collect()
+
+
 def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
     from tidewheel import shared
 

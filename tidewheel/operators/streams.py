@@ -294,11 +294,11 @@ def indexed(df: DataFrame, *order: str) -> Iterator[tuple[int, Row]]:
 
 
 def write_json_array(df: DataFrame, write: Callable[[str], Any], *order: str) -> int:
-    """The rows as one JSON array, written piece by piece."""
+    """The rows as one JSON array, written piece by piece, a row a line, so that readers can split it."""
     n = 0
     write("[")
     for row in (df.orderBy(*order) if order else df).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
-        write(("," if n else "") + row["j"])
+        write((",\n" if n else "") + row["j"])
         n += 1
     write("]")
     return n
@@ -311,7 +311,7 @@ def write_json_array_with(df: DataFrame, init: Callable[[], Callable[[str], Any]
     write, n = init(), 0
     write("[")
     for row in itertools.chain([] if first is None else [first], rows):
-        write(("," if n else "") + row["j"])
+        write((",\n" if n else "") + row["j"])
         n += 1
     write("]")
     return n

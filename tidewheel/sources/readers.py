@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -72,18 +74,72 @@ def query(spark: SparkSession, url: str, sql: str, **options: str) -> DataFrame:
     return reader.load()
 
 
+#: A string of JSON, or a character that opens, closes or parts.
+_TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},]')
+#: Lines that are looked at together.
+_LINES = 1 << 16
+
+
+def _parts(spark: SparkSession, path: str, opening: str, what: str) -> DataFrame:
+    """(seq, text) of the elements or members of a file's top-level JSON value.
+
+    The file is read by lines, in splits. A line's depth comes from running sums of what lines open and close
+    (no string goes over a line's end), its pieces from its own text, and a piece's number from a running sum
+    of the commas at depth one. So a task holds lines and single elements, and never the file; one that has
+    no line breaks is one line.
+    """
+    closing = {"[": "]", "{": "}"}[opening]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pos, line, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = k = 0
+                for m in _TOKEN.finditer(line):
+                    c = m[0]
+                    if depth == 0 and (c != opening or line[at : m.start()].strip()):
+                        raise ValueError(f"the JSON is no {what}")
+                    if depth == 1 and c in (",", closing):
+                        out.append((pos, k, line[at : m.start()], 1))
+                        at, k = m.end(), k + 1
+                    if c in "[{":
+                        depth += 1
+                        at = m.end() if depth == 1 else at
+                    elif c in "]}":
+                        depth -= 1
+                rest = line[at:]
+                if rest.strip():
+                    if depth < 1:
+                        raise ValueError(f"the JSON is no {what}")
+                    out.append((pos, k, rest, 0))
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, kinds, strict=True)], names=["pos", "k", "text", "ends"])
+
+    from ..functions.ordered import running_total
+
+    def several(c: str) -> Column:
+        return F.length(F.regexp_replace("bare", f"[^{c}]", ""))
+
+    rows = lines(spark, path).select(F.col("seq").alias("pos"), "line")
+    rows = rows.withColumn("bare", F.regexp_replace("line", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")).withColumn("delta", several(r"\[{") - several(r"\]}"))
+    chunk = F.floor(F.col("pos") / _LINES)
+    rows = running_total(rows, "delta", ["pos"], "after", chunk, F.lit(0))
+    found = rows.select("pos", "line", (F.col("after") - F.col("delta")).cast("int").alias("depth")).mapInArrow(cut, "pos long, k int, text string, ends int")
+    found = running_total(found, "ends", ["pos", "k"], "done", chunk, F.lit(0)).withColumn("seq", F.col("done") - F.col("ends"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("pos", "k", "text"))), lambda x: x["text"])
+    return found.groupBy("seq").agg(F.trim(F.array_join(pieces, "\n")).alias("text")).filter("text <> ''")
+
+
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A row for each element of the top-level array of a JSON file; another top level is an error."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
-    ok = F.when(F.ltrim("t").startswith("["), F.col("t")).otherwise(F.raise_error(F.lit("the JSON is no array")).cast("string"))
-    return text.select(F.posexplode(F.from_json(ok, f"array<{_element(schema)}>")).alias("seq", "e")).select("e.*", "seq")
+    one = F.from_json(F.concat(F.lit("["), "text", F.lit("]")), f"array<{_element(schema)}>")[0]
+    return _parts(spark, path, "[", "array").select("seq", one.alias("e")).select("e.*", "seq")
 
 
 def json_object(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(key, value) for each member of the top-level object of a JSON file."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
-    ok = F.when(F.ltrim("t").startswith("{"), F.col("t")).otherwise(F.raise_error(F.lit("the JSON is no object")).cast("string"))
-    return text.select(F.explode(F.from_json(ok, f"map<string,{value}>")).alias("key", "value"))
+    one = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), f"map<string,{value}>")
+    return _parts(spark, path, "{", "object").select(F.explode(one).alias("key", "value"))
 
 
 def _element(schema: str) -> str:
