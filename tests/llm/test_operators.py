@@ -146,7 +146,7 @@ def test_kept_units_are_bounded(monkeypatch):
     first = model.encode([f"word{k} thing" for k in range(20)])
     model.encode([f"other{'x' * k}" for k in range(20)])
     model.encode(["one more"])
-    assert model.units <= 4
+    assert model.n <= 4
     assert model.encode([f"word{k} thing" for k in range(20)]) == first
 
 
@@ -966,6 +966,21 @@ def test_quality_against_dense_regression(spark):
     assert quality.score(docs.limit(0), quality.train(docs, marks), out="s").count() == 0
 
 
+def test_products_are_those_of_the_features(monkeypatch):
+    """Many texts at once, long words and very long texts in parts."""
+    random_, f = random.Random(31), quality.Featuriser()
+    weights = np.random.default_rng(5).normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    bits = ["the", "The", "END.", "x" * 30, "日本語の文", "a-b", "12,5", "\x00", "naïve", "ﬁ" * 26, "!!", "y" * 25 + "é", "word"]
+    texts = ["".join(random_.choice(bits) + random_.choice(" \n\t \x0b  ") for _ in range(random_.randint(0, 40))) for _ in range(200)] + [None, "", " \n", "one", "one two", "日" * 60]
+    want = [sum(float(weights[p]) * v for p, v in plain_features(t)) + float(weights[-1]) for t in texts]
+    assert f.products(texts, weights) == pytest.approx(want, abs=1e-4)
+    monkeypatch.setattr(f.units, "CHARS", 60)
+    assert f.products(texts, weights) == pytest.approx(want, abs=1e-4)
+    for t, w in zip(texts[:50], want, strict=False):
+        at, x = f.features(t)
+        assert weights[at] @ x + weights[-1] == pytest.approx(w, abs=1e-3)
+
+
 def test_texts_without_blanks_count_whole():
     f = quality.Featuriser()
     weigh = lambda t: Counter(dict(zip(*(x.tolist() for x in f.features(t)), strict=True)))

@@ -11,8 +11,9 @@ are trained with follow-the-regularised-leader updates, one document at a time,
 ``LEARN_DOCS`` labelled rows dealt by a hash of the id into ``SHARDS`` models whose weights are
 averaged; a score is the sparse dot product through the logistic function.
 
-Texts that are null or have no word score by the intercept alone. With no labelled row every score
-is 0.5. Repeated rows are scored alike. Labels of a null id or null quality teach nothing; an id that
+Texts that are null or have no word score by the intercept alone. A very long text is scored whole, part
+by part. With no labelled row every score is 0.5, and an empty table gives no rows. Repeated rows are
+scored alike; other columns stay as they are, and the score takes the name it is told. Labels of a null id or null quality teach nothing; an id that
 is labelled several times teaches each label.
 """
 
@@ -29,11 +30,12 @@ from pyspark.sql import types as T
 
 from .common import slices, stage, table, worker_model
 from .language import part_of
+from .units import WHOLE, Units, batches_of, grown
 
 BITS, LEARN_DOCS, SHARDS, PASSES, THRESHOLD = 18, 12_000, 4, 4, 0.3
 ALPHA, BETA, L1, L2 = 0.6, 0.5, 1e-4, 1e-5
 MASK = np.uint64((1 << BITS) - 1)
-KNOWN, LONG, PIECE = 300_000, 24, 4
+LONG, PIECE = 24, 4
 
 
 def _shape(word: str) -> str:
@@ -45,33 +47,103 @@ def _shape(word: str) -> str:
     return "".join(out)
 
 
+def _signs(word: str) -> int:
+    """Hashes of a word without punctuation around it, in the upper half, and of its shape."""
+    core = word.strip("".join(c for c in set(word) if not c.isalnum())).lower() or word
+    return zlib.crc32(core.encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(_shape(word).encode("utf-8", "surrogatepass"), 7)
+
+
+def _kinds(both: np.ndarray, skip: int = 0) -> list[np.ndarray]:
+    """The hashes of each kind of feature; of the first ``skip`` words alone nothing is made."""
+    core, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+    two = max(skip - 1, 0)
+    kinds = [core[skip:], _pair(core[:-1], core[1:], 1)[two:], shape[skip:] + np.uint64(1 << 40), _pair(shape[:-1], shape[1:], 2)[two:], _pair(_pair(shape[:-2], shape[1:-1], 3), shape[2:], 4)]
+    kinds.append((core[1:] == core[:-1]).astype(np.uint64)[two:] + np.uint64(1 << 41))
+    kinds.append((core[2:] == core[:-2]).astype(np.uint64) + np.uint64(1 << 42))
+    return kinds
+
+
+#: How many words a feature of each kind spans.
+SPANS = (1, 2, 1, 2, 3, 2, 3)
+
+
 class Featuriser:
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    """Features of texts; words' hashes are kept, up to a bound, and looked up many at once."""
 
-    def _new(self, word: str) -> int:
-        core = word.strip("".join(c for c in set(word) if not c.isalnum())).lower() or word
-        both = zlib.crc32(core.encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(_shape(word).encode("utf-8", "surrogatepass"), 7)
-        if len(self.known) >= KNOWN:
-            self.known.clear()
-        self.known[word] = both
-        return both
+    def __init__(self):
+        kinds = np.ones(256, np.uint8)
+        kinds[[ord(c) for c in " \t\n\x0b\x0c\r"]] = 0
+        kinds[0] = WHOLE
+        self.units = Units(kinds, self._learn, self._forget, slots=1 << 20)
+
+    def _forget(self) -> None:
+        self.both, self.lengths, self.n = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32), 0
+
+    def _learn(self, words: list[str]) -> None:
+        size = self.n + len(words)
+        self.both, self.lengths = grown(self.both, size), grown(self.lengths, size)
+        self.both[self.n : size] = np.array([_signs(w) if len(w) <= LONG else 0 for w in words], np.uint64)
+        self.lengths[self.n : size] = [len(w) for w in words]
+        self.n = size
+
+    def _hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, how many each text has); a long word is cut into words."""
+        unit, many = self.units.numbers(texts)
+        both, long = self.both[unit], np.flatnonzero(self.lengths[unit] > LONG)
+        if len(long):
+            ends, parts, at = np.cumsum(many), [], 0
+            words = {}
+            for k, text in enumerate(texts):
+                if np.searchsorted(long, ends[k] - many[k]) < np.searchsorted(long, ends[k]):
+                    words[k] = np.array([_signs(w) for w in _words(text)], np.uint64)
+            for k in sorted(words):
+                parts += [both[at : ends[k] - many[k]], words[k]]
+                at = ends[k]
+            both, many = np.concatenate([*parts, both[at:]]), many.copy()
+            for k, w in words.items():
+                many[k] = len(w)
+        return both, many
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(places, values), a place may recur."""
-        words = _words(text or "")
-        if not words:
+        both = np.concatenate([self._hashes([part])[0] for part in self.units.cut(text or "")] or [np.zeros(0, np.uint64)])
+        if not len(both):
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        get, new = self.known.get, self._new
-        both = np.array([get(w) or new(w) for w in words], np.uint64)
-        core, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
-        kinds = [core, _pair(core[:-1], core[1:], 1), shape + np.uint64(1 << 40), _pair(shape[:-1], shape[1:], 2), _pair(_pair(shape[:-2], shape[1:-1], 3), shape[2:], 4)]
-        kinds.append((core[1:] == core[:-1]).astype(np.uint64) + np.uint64(1 << 41))
-        kinds.append((core[2:] == core[:-2]).astype(np.uint64) + np.uint64(1 << 42))
+        kinds = _kinds(both)
         places = np.concatenate([_mix(k) & MASK for k in kinds]).astype(np.int64)
         values = np.concatenate([np.full(len(k), 1 / max(len(k), 1), np.float32) for k in kinds])
         return places, values
 
+    def products(self, texts: list[str | None], weights: np.ndarray) -> np.ndarray:
+        """The dot product of each text's features and the weights, the intercept added."""
+        texts = [t or "" for t in texts]
+        out = np.empty(len(texts))
+        for a, b in batches_of(texts, self.units.CHARS):
+            if b - a == 1 and len(texts[a]) > self.units.CHARS:
+                out[a] = self._long(texts[a], weights)
+                continue
+            both, many = self._hashes(texts[a:b])
+            doc = np.repeat(np.arange(b - a), many)
+            z = np.full(b - a, float(weights[-1]))
+            for kind, span in zip(_kinds(both), SPANS, strict=True):
+                inside = doc[span - 1 :] == doc[: len(doc) - span + 1] if len(doc) >= span else np.zeros(0, bool)
+                own = doc[: len(inside)][inside]
+                worth = np.bincount(own, weights[(_mix(kind[inside]) & MASK).astype(np.int64)], b - a)
+                z += worth / np.maximum(many - span + 1, 1)
+            out[a:b] = z
+        return out
+
+    def _long(self, text: str, weights: np.ndarray) -> float:
+        """As above for one very long text, part by part; two words are carried from each to the next."""
+        sums, counts, carried = np.zeros(len(SPANS)), np.zeros(len(SPANS)), np.zeros(0, np.uint64)
+        for part in self.units.cut(text):
+            both = np.concatenate((carried, self._hashes([part])[0]))
+            for k, kind in enumerate(_kinds(both, len(carried))):
+                sums[k] += weights[(_mix(kind) & MASK).astype(np.int64)].sum(dtype=np.float64)
+                counts[k] += len(kind)
+            carried = both[-2:]
+        return float(weights[-1] + (sums / np.maximum(counts, 1)).sum())
+
 
 def _words(text: str) -> list[str]:
     for c in "\t\n\x0b\x0c\r":
@@ -163,10 +235,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in slices(batches):
-            z = np.empty(batch.num_rows)
-            for k, t in enumerate(batch.column(place).to_pylist()):
-                at, x = featuriser().features(t)
-                z[k] = w[at] @ x + w[-1]
+            z = featuriser().products(batch.column(place).to_pylist(), w)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh_path, open_store, release, slices, stage, worker_model
+from .units import WHOLE, Units, grown
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -45,9 +46,8 @@ FRAME_IDS = 1 << 20
 SHARD_BYTES = 64 << 20
 SHARD_DOCS = 1 << 18
 MOST_TASKS = 20_000
-#: Kinds of a character: of a run of letters, of another run, or of a chunk that is not cut; 0: a space.
-LETTERS, OTHERS, WHOLE = 1, 2, 3
-MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Kinds of a character: of a run of letters, of another run.
+LETTERS, OTHERS = 1, 2
 ENCODED = "doc_id long, n long, ids binary"
 MANIFEST = "part int, seq int, file string, first_id long, docs long, ids long, bytes long"
 
@@ -140,9 +140,8 @@ class ChunkEncoder:
     merges look across it, so the ids of a text are those of its space-separated chunks, in order. In
     a chunk of Latin-1 characters without apostrophe every run of letters is a match of its own as
     well, and lower-casing first changes nothing, so it is cut further into runs of letters and of
-    others. Units of at most 16 characters are two 64-bit numbers and are looked up many at once in a
-    hash table of arrays; the others, and units seen first, go to the model. ``SLOTS`` and ``POOL``
-    bound what is kept: beyond them all is forgotten. Strings of the model's added tokens are cut out
+    others. These are looked up many at once (``units``); those seen first go to the model. ``SLOTS`` and
+    ``POOL`` bound what is kept: beyond them all is forgotten. Strings of the model's added tokens are cut out
     first and are their ids, as the library has it.
     """
 
@@ -160,20 +159,17 @@ class ChunkEncoder:
         self.added = {t: np.array([k], self.dtype) for t, k in added.items()}
         self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
         latin = [chr(c) for c in range(256)]
-        self.lower = np.array([ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else ord(c) for c in latin], np.uint8)
-        letters = np.array([c.isalpha() for c in latin])
-        self.kinds = np.where(letters, LETTERS, OTHERS).astype(np.uint8)
-        self.kinds[[ord(c) for c in " \t\n\r"]] = 0
-        self.kinds[[0, ord("'")]] = WHOLE
+        lower = np.array([ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else ord(c) for c in latin], np.uint8)
+        kinds = np.where([c.isalpha() for c in latin], LETTERS, OTHERS).astype(np.uint8)
+        kinds[[ord(c) for c in " \t\n\r"]] = 0
+        kinds[[0, ord("'")]] = WHOLE
         cut = self._ids(self.BETWEEN)
-        self.cut = cut[0] if len(cut) == 1 else None
-        self._forget()
+        self.between = cut[0] if len(cut) == 1 else None
+        self.units = Units(kinds, self._learn, self._forget, lower, self.SLOTS)
+        self.units.CHARS = self.CHARS
 
     def _forget(self) -> None:
-        self.low, self.high = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
-        self.entry = np.full(self.SLOTS, -1, np.int32)
-        self.known: dict[str, int] = {}  # of longer units and odd ones
-        self.first, self.count, self.units = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.first, self.count, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         self.pool, self.used = np.zeros(1 << 14, self.dtype), 0
 
     def _ids(self, text: str) -> list[int]:
@@ -183,7 +179,7 @@ class ChunkEncoder:
         """The ids of each text and the end id, as bytes of the file's width."""
         ids, counts = self.encode_all(texts)
         raw, ends = ids.tobytes(), (np.cumsum(counts) * self.width).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each with the end id, and how many each has."""
@@ -211,7 +207,7 @@ class ChunkEncoder:
                     out.append(self.added[piece])
                     counts[k] += 1
                     continue
-                for part in self._cut(piece):
+                for part in self.units.cut(piece):
                     held.append(part)
                     owner.append(k)
                     chars += len(part)
@@ -221,110 +217,28 @@ class ChunkEncoder:
         every = np.concatenate(out) if out else np.zeros(0, self.dtype)
         return np.insert(every, np.cumsum(counts - 1), self.end_id), counts
 
-    def _cut(self, text: str) -> Iterator[str]:
-        """A long text in parts that end at a space or line."""
-        at = 0
-        while len(text) - at > self.CHARS:
-            end = max(text.rfind(" ", at + 1, at + self.CHARS), text.rfind("\n", at + 1, at + self.CHARS))
-            if end < 0:
-                found = [x for x in (text.find(" ", at + self.CHARS), text.find("\n", at + self.CHARS)) if x >= 0]
-                end = min(found, default=len(text))
-            yield text[at:end]
-            at = end
-        if at < len(text):
-            yield text[at:]
-
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each text has), without end ids."""
-        if self.used > self.POOL or self.units > self.SLOTS // 2:
-            self._forget()
-        whole = "\n".join(texts) + "\n"
-        try:
-            plain = np.frombuffer(whole.encode("latin-1"), np.uint8)
-        except UnicodeEncodeError:
-            points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
-            plain = np.where(points < 256, points, 0).astype(np.uint8)  # zero: never on its own
-        text, kinds = np.zeros(len(plain) + 16, np.uint8), self.kinds[plain]
-        text[:-16] = self.lower[plain]
-        if (odd := np.flatnonzero(kinds == WHOLE)).size:
-            spaces = np.flatnonzero(kinds == 0)
-            at = np.unique(np.searchsorted(spaces, odd))
-            change = np.zeros(len(kinds) + 1, np.int8)
-            change[np.where(at > 0, spaces[at - 1] + 1, 0)] += 1
-            change[spaces[at]] -= 1
-            kinds[np.cumsum(change[:-1], dtype=np.int8) > 0] = WHOLE
-        bounds = np.concatenate(([0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1, [len(kinds)]))
-        own = kinds[bounds[:-1]]
-        start, size, own = (x[own > 0] for x in (bounds[:-1], np.diff(bounds), own))
-        entry = self._entries(whole, text, start, size, own)
-        n, first = self.count[entry], self.first[entry]
-        after = np.cumsum(n)
-        ids = self.pool[np.repeat(first - after + n, n) + np.arange(after[-1] if len(after) else 0)]
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        upto = np.concatenate(([0], after))[np.searchsorted(start, ends)]
-        return ids, np.diff(upto, prepend=0)
-
-    def _entries(self, whole: str, text: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The number of each unit among those kept."""
-        out = np.full(len(start), -1, np.int64)
-        short = np.flatnonzero((size <= 16) & (own != WHOLE))
-        words = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), (len(text) - 7,), (1,))
-        s, n = start[short], size[short]
-        low, high = words[s] & MASKS[np.minimum(n, 8)], words[s + 8] & MASKS[np.maximum(n, 8) - 8]
-        out[short], new = self._found(low, high)
-        if len(new):
-            order = np.lexsort((low[new], high[new]))
-            a, b = low[new][order], high[new][order]
-            some = new[order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))]]
-            raw = [text[a : a + b].tobytes().decode("latin-1") for a, b in zip(s[some].tolist(), n[some].tolist(), strict=True)]
-            self._insert(low[some], high[some], self._learn(raw))
-            out[short[new]] = self._found(low[new], high[new])[0]
-        rest = np.flatnonzero(out < 0)
-        if len(rest):
-            raw = [whole[a : a + b] for a, b in zip(start[rest].tolist(), size[rest].tolist(), strict=True)]
-            todo = list({w for w in raw if w not in self.known})
-            made = dict(zip(todo, self._learn(todo).tolist(), strict=True))
-            self.known.update((w, k) for w, k in made.items() if len(w) <= self.LONGEST)
-            out[rest] = [made[w] if w in made else self.known[w] for w in raw]
-        return out
-
-    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        mixed = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(self.SLOTS - 1)).astype(np.int64)
-
-    def _found(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, places of those that are not kept): probing slot after slot, all units at once."""
-        slot, out = self._slots(low, high), np.full(len(low), -1, np.int64)
-        todo, new = np.arange(len(low)), []
-        while len(todo):
-            at = slot[todo]
-            entry = self.entry[at]
-            hit = (self.low[at] == low[todo]) & (self.high[at] == high[todo]) & (entry >= 0)
-            out[todo[hit]] = entry[hit]
-            new.append(todo[entry < 0])
-            todo = todo[~hit & (entry >= 0)]
-            slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
-        return out, np.concatenate(new) if new else todo
-
-    def _insert(self, low: np.ndarray, high: np.ndarray, entries: np.ndarray) -> None:
-        for a, b, slot, k in zip(low, high, self._slots(low, high).tolist(), entries.tolist(), strict=True):
-            while self.entry[slot] >= 0:
-                slot = (slot + 1) & (self.SLOTS - 1)
-            self.low[slot], self.high[slot], self.entry[slot] = a, b, k
-
-    def _learn(self, units: list[str]) -> np.ndarray:
-        """The numbers of new units, whose ids are put into the pool.
+        if self.used > self.POOL:
+            self.units.forget()
+        unit, many = self.units.numbers(texts)
+        n, first = self.count[unit], self.first[unit]
+        after = np.concatenate(([0], np.cumsum(n)))
+        ids = self.pool[np.repeat(first - after[:-1], n) + np.arange(after[-1])]
+        return ids, np.diff(after[np.cumsum(many)], prepend=0)
+
+    def _learn(self, units: list[str]) -> None:
+        """Puts the ids of new units into the pool.
 
         Many units go to the model as one text, which is cut again at the id of a character that none of them holds.
         """
-        plain, ids, n = [], [], np.zeros(len(units), np.int64)
-        odd = []
+        plain, odd, ids, n = [], [], [], np.zeros(len(units), np.int64)
         for k, u in enumerate(units):
-            (plain if self.cut is not None and len(u) <= self.LONGEST and self.BETWEEN not in u else odd).append(k)
+            (plain if self.between is not None and len(u) <= self.LONGEST and self.BETWEEN not in u else odd).append(k)
         for at in range(0, len(plain), self.AT_ONCE):
             part = plain[at : at + self.AT_ONCE]
             some = np.array(self._ids(f" {self.BETWEEN} ".join([units[k] for k in part])), self.dtype)
-            cuts = np.flatnonzero(some == self.cut)
+            cuts = np.flatnonzero(some == self.between)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep words apart at spaces")
             n[part] = np.diff(np.concatenate(([-1], cuts, [len(some)]))) - 1
@@ -332,17 +246,14 @@ class ChunkEncoder:
         for k in odd:
             ids.append(np.array(self._ids(units[k]), self.dtype))
             n[k] = len(ids[-1])
-        every, order = np.concatenate(ids) if ids else np.zeros(0, self.dtype), np.array(plain + odd, np.int64)
-        while self.units + len(units) > len(self.first):
-            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
-        if self.used + len(every) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(every)), self.dtype)))
-        numbers = np.arange(self.units, self.units + len(units))
+        every, order = np.concatenate(ids), np.array(plain + odd, np.int64)
+        self.first, self.count = grown(self.first, self.n + len(units)), grown(self.count, self.n + len(units))
+        self.pool = grown(self.pool, self.used + len(every))
+        numbers = np.arange(self.n, self.n + len(units))
         self.count[numbers] = n
         self.first[numbers[order]] = self.used + np.cumsum(n[order]) - n[order]
         self.pool[self.used : self.used + len(every)] = every
-        self.units, self.used = self.units + len(units), self.used + len(every)
-        return numbers
+        self.n, self.used = self.n + len(units), self.used + len(every)
 
 
 def encode_documents(docs: DataFrame, encoder: Callable[[], ChunkEncoder], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
