@@ -183,9 +183,10 @@ class Page:
                 add("<")
                 at = k + 1
                 continue
-            end = -1 if ">" in gone else tag_end(m.end()) if m else ahead(">", k)
-            if end < 0 and m and ">" not in gone:
-                end = ahead(">", m.end())
+            end = ahead(">", m.end() if m else k)
+            if m and end >= 0 and ('"' in (inner_text := source[m.end() : end]) or "'" in inner_text):
+                closed = tag_end(m.end())  # where it finds none, quotes are characters like others
+                end = closed if closed >= 0 else end
             if end < 0:  # no tag ends any more
                 add(source[k:])
                 break

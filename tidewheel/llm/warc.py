@@ -36,7 +36,7 @@ from .common import MOST_TASKS, fresh_path, open_store, range_bounds, shard_of,
 
 FILE_BYTES = 64 << 20
 LEAST = 0
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 LOWEST = -(1 << 63)
 LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import range_bounds, shard_of, slices, stage, table, worker_model
 
-SAMPLES, SEED, KNOWN, ROWS, BUCKET_BYTES = 64, 7, 250_000, 128, 16 << 20
+SAMPLES, SEED, KNOWN, ROWS, BUCKET_BYTES = 64, 7, 250_000, 128, 8 << 20
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 LOWEST = -(1 << 63)
 
