@@ -198,6 +198,24 @@ def test_byte_bpe_equals_tiktoken(spark, messy):
     assert Counter((r[0], bytes(r[1])) for r in both.collect()) == Counter((r["doc_id"], (r["text"] or "").encode()) for r in messy.select("doc_id", "text").collect())
 
 
+def test_matches_are_found_as_the_pattern_has_them(monkeypatch):
+    """White space, apostrophes and characters beyond Latin-1 in every order; parts, forgetting, another pattern."""
+    model, random_ = bpe.BytePairs(BYTES, PATTERN), random.Random(14)
+    assert bpe.SPLIT == PATTERN
+    lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=model.ranks, special_tokens={})
+    bits = [*"abcdeT  \n\t'\x1c\x1f\x85\xa0\r\x0b\x00 éßΣ日😀12٣²½,.!", "\u3000", "\u2028", " \u2003", "\u200b", " don't", "\n\n", "'ll", "''s", " 's", "a b "]
+    for turn in range(6):
+        monkeypatch.setattr(model.units, "CHARS", (1 << 20, 30)[turn % 2])
+        monkeypatch.setattr(bpe, "POOL", (1 << 22, 100)[turn // 2 % 2])
+        texts = ["".join(random_.choices(bits, k=random_.randint(0, 60))) for _ in range(400)] + ["", None]
+        assert [g.tolist() for g in model.encode(texts)] == [lib.encode_ordinary(t or "") for t in texts]
+    pattern = r"\S+|\s+"
+    other, lib = bpe.BytePairs(BYTES, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=model.ranks, special_tokens={})
+    texts = ["one  two\nthree's", "", "日 b"]
+    assert [g.tolist() for g in other.encode(texts)] == [lib.encode_ordinary(t) for t in texts]
+    assert model.encode([]) == []
+
+
 # ---------------------------------------------------------------- 4
 
 

@@ -4,8 +4,9 @@ A rank file gives the rank of each token; tokens are their ranks. Texts are cut
 pattern, and each distinct match (word) is encoded on its own: if it is a token, as that; else its
 bytes are rows (word, position, token) of a recursive query, in which each step joins neighbours with
 the merge table, contracts every word's leftmost pair of least rank and ends for a word when no pair
-of it is in the table. The merge table holds every way to cut a token into two tokens. Words recur,
-so up to ``KNOWN`` of them are kept by each worker.
+of it is in the table. The merge table holds every way to cut a token into two tokens. Words recur: each
+worker keeps their ids, up to a bound, and finds the matches of the common pattern ``SPLIT`` and their
+ids by arrays (``units``).
 
 A recursive query keeps the rows of all steps, which grow with the square of a word's length, so
 words are dealt to queries by that measure, ``WORD_ROWS`` rows at most. A word that alone has more (of
@@ -24,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,8 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, worker_model
+from .units import WHOLE, Units, batches_of, characters, grown
 
-KNOWN, WORD_ROWS, DOC_IDS, DOCS = 1_000_000, 3_000_000, 500_000, 512
+WORD_ROWS, POOL, DOC_IDS, DOCS = 3_000_000, 1 << 22, 500_000, 512
+# The pattern whose matches are found by arrays, and white space beyond Latin-1.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WIDE_SPACES = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+#: Kinds of a character.
+LETTERS, NUMBERS, SIGNS, SPACES = 1, 2, 3, 4
+BETWEEN_WORDS = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 ENCODE = """
 WITH RECURSIVE steps(word, pos, tok, step) AS (
@@ -81,7 +90,14 @@ class BytePairs:
         self._query("CREATE TABLE merges AS SELECT * FROM given", rows)
         rows = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
         self._query("CREATE TABLE vocabulary AS SELECT * FROM given", rows)
-        self.known: dict[str, bytes] = {}
+        latin = [chr(c) for c in range(256)]
+        classes = ((LETTERS, r"\p{L}"), (NUMBERS, r"\p{N}"), (SPACES, r"\s"))
+        kinds = np.array([next((k for k, p in classes if regex.match(p, c)), SIGNS) for c in latin], np.uint8)
+        kinds[[0, ord("'")]] = WHOLE
+        if pattern != SPLIT:  # another pattern: texts are units as a whole
+            kinds[:] = WHOLE
+        self.kinds = kinds
+        self.units = Units(kinds, self._learn, self._forget)
 
     def _query(self, sql: str, rows: pa.Table, name: str = "given"):
         self.db.register(name, rows)
@@ -121,40 +137,100 @@ class BytePairs:
                     heapq.heappush(heap, (more, left, toks[left], toks[right]))
         return [t for t in toks if t >= 0]
 
-    def _learn(self, new: set[str]) -> None:
-        part, rows = [], 0
-        for word in new:
+    def _word_ids(self, words: set[str]) -> dict[str, np.ndarray]:
+        """The ids of distinct matches of the pattern."""
+        made, part, rows = {}, [], 0
+
+        def contract() -> None:
+            for (word, _), ids in zip(part, self.contract([raw for _, raw in part]), strict=True):
+                made[word] = np.array(ids, np.int32)
+            part.clear()
+
+        for word in words:
             raw = word.encode()
             if raw in self.ranks:
-                self.known[word] = np.array([self.ranks[raw]], "<i4").tobytes()
+                made[word] = np.array([self.ranks[raw]], np.int32)
             elif (own := len(raw) * (len(raw) + 1) // 2) > WORD_ROWS:
-                self.known[word] = np.array(self.contract_long(raw), "<i4").tobytes()
+                made[word] = np.array(self.contract_long(raw), np.int32)
             else:
                 if rows + own > WORD_ROWS:
-                    self._keep(part)
-                    part, rows = [], 0
+                    contract()
+                    rows = 0
                 part.append((word, raw))
                 rows += own
-        self._keep(part)
-
-    def _keep(self, part: list[tuple[str, bytes]]) -> None:
-        for (word, _), ids in zip(part, self.contract([raw for _, raw in part]), strict=True):
-            self.known[word] = np.array(ids, "<i4").tobytes()
+        contract()
+        return made
+
+    def _learn(self, units: list[str]) -> None:
+        """Puts the ids of new units, which are one match or, where they were not cut, several, into the pool."""
+        split = [self.words(u) for u in units]
+        made = self._word_ids(set(chain.from_iterable(split)))
+        rows = [made[words[0]] if len(words) == 1 else np.concatenate([made[w] for w in words]) for words in split]
+        n = np.array([len(r) for r in rows], np.int64)
+        every = np.concatenate(rows)
+        self.first, self.count = grown(self.first, self.n + len(n)), grown(self.count, self.n + len(n))
+        self.pool = grown(self.pool, self.used + len(every))
+        self.first[self.n : self.n + len(n)], self.count[self.n : self.n + len(n)] = self.used + np.cumsum(n) - n, n
+        self.pool[self.used : self.used + len(every)] = every
+        self.n, self.used = self.n + len(n), self.used + len(every)
+
+    def _forget(self) -> None:
+        self.first, self.count, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.pool, self.used = np.zeros(1 << 14, np.int32), 0
+
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the units of all texts, how many each has): matches of ``SPLIT``, found by arrays.
+
+        A run of letters, of numbers or of other signs takes a space before it along; of white space before
+        something else the last character stands alone. Chunks with an apostrophe or a character beyond
+        Latin-1 are units as a whole, and so are texts with other white space.
+        """
+        whole = "\n".join(texts) + "\n"
+        plain, points = characters(whole)
+        kinds = self.kinds[plain]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        kinds[ends - 1] = 0
+        if (odd := np.flatnonzero(kinds == WHOLE)).size:
+            breaks = np.flatnonzero((kinds == 0) | (kinds == SPACES))
+            at = np.unique(np.searchsorted(breaks, odd))
+            change = np.zeros(len(kinds) + 1, np.int8)
+            change[np.where(at > 0, breaks[at - 1] + 1, 0)] += 1
+            change[breaks[at]] -= 1
+            kinds[np.cumsum(change[:-1], dtype=np.int8) > 0] = WHOLE
+        if points is not None:
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(points, WIDE_SPACES)), "right")):
+                kinds[(ends[k - 1] if k else 0) : ends[k] - 1] = WHOLE
+        starts = np.concatenate(([True], kinds[1:] != kinds[:-1]))
+        last = np.flatnonzero((kinds[:-1] == SPACES) & (kinds[1:] != SPACES) & (kinds[1:] != 0))
+        starts[last] = True
+        starts[last[plain[last] == 32] + 1] = False
+        bounds = np.append(np.flatnonzero(starts), len(kinds))
+        own = kinds[bounds[1:] - 1]
+        start, size, own = (x[own > 0] for x in (bounds[:-1], np.diff(bounds), own))
+        return self.units.look_up(whole, plain, start, size, own), np.diff(np.searchsorted(start, ends), prepend=0)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [self.words(t or "") for t in texts]
-        every = set(chain.from_iterable(split))
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = every
-        self._learn(new)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4") for words in split]
-        for word in new:
-            if len(word) > 64:
-                del self.known[word]
-        return out
+        parts, owner, many = [], [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            at = 0
+            while text and at < len(text):  # a long text is cut before a space between plain letters
+                m = BETWEEN_WORDS.search(text, at + self.units.CHARS)
+                end = m.start() if m else len(text)
+                parts.append(text[at:end])
+                owner.append(k)
+                at = end
+        out = []
+        for a, b in batches_of(parts, self.units.CHARS):
+            if self.used > POOL:
+                self.units.forget()
+            unit, units = self._units(parts[a:b])
+            n, first = self.count[unit], self.first[unit]
+            after = np.concatenate(([0], np.cumsum(n)))
+            out.append(self.pool[np.repeat(first - after[:-1], n) + np.arange(after[-1])].astype("<i4"))
+            np.add.at(many, owner[a:b], np.diff(after[np.cumsum(units)], prepend=0))
+        every = np.concatenate(out) if out else np.zeros(0, "<i4")
+        return np.split(every, np.cumsum(many)[:-1]) if len(texts) else []
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids."""

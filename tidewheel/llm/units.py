@@ -48,16 +48,9 @@ class Units:
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the numbers of all units in order, how many each text has)."""
-        if self.size > self.slots // 2:
-            self.forget()
         whole = "\n".join(texts) + "\n"
-        try:
-            plain = np.frombuffer(whole.encode("latin-1"), np.uint8)
-        except UnicodeEncodeError:
-            points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
-            plain = np.where(points < 256, points, 0).astype(np.uint8)  # zero is of kind WHOLE
-        text, kinds = np.zeros(len(plain) + 16, np.uint8), self.kinds[plain]
-        text[:-16] = plain if self.lower is None else self.lower[plain]
+        plain, _ = characters(whole)
+        kinds = self.kinds[plain]
         if (odd := np.flatnonzero(kinds == WHOLE)).size:
             spaces = np.flatnonzero(kinds == 0)
             at = np.unique(np.searchsorted(spaces, odd))
@@ -69,9 +62,14 @@ class Units:
         own = kinds[bounds[:-1]]
         start, size, own = (x[own > 0] for x in (bounds[:-1], np.diff(bounds), own))
         ends = np.cumsum([len(t) + 1 for t in texts])
-        return self._numbers(whole, text, start, size, own), np.diff(np.searchsorted(start, ends), prepend=0)
+        return self.look_up(whole, plain, start, size, own), np.diff(np.searchsorted(start, ends), prepend=0)
 
-    def _numbers(self, whole: str, text: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def look_up(self, whole: str, plain: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The numbers of the units of a text that start at some places and have some sizes and kinds; ``plain``: as ``characters`` has it."""
+        if self.size > self.slots // 2:
+            self.forget()
+        text = np.zeros(len(plain) + 16, np.uint8)
+        text[:-16] = plain if self.lower is None else self.lower[plain]
         out = np.full(len(start), -1, np.int64)
         short = np.flatnonzero((size <= 16) & (own != WHOLE))
         words = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), (len(text) - 7,), (1,))
@@ -126,6 +124,15 @@ class Units:
             self.low[slot], self.high[slot], self.entry[slot] = a, b, k
 
 
+def characters(text: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """(its Latin-1 characters, zero for others; its code points if there are others)."""
+    try:
+        return np.frombuffer(text.encode("latin-1"), np.uint8), None
+    except UnicodeEncodeError:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.where(points < 256, points, 0).astype(np.uint8), points
+
+
 def grown(array: np.ndarray, size: int) -> np.ndarray:
     """``array``, or a copy of twice its length until it has room for ``size``."""
     while size > len(array):
