@@ -675,15 +675,29 @@ def test_fingerprints_with_the_next_document(messy, none):
     assert [r["near_next"] for r in one] == [1.0]
 
 
-def test_sampler_forgets_and_draws_the_same(monkeypatch):
-    monkeypatch.setattr(weighted_minhash, "KNOWN", 40)
+def plain_signs(text):
+    """The least of each sample over a text's terms, term by term."""
+    terms = Counter(text.lower().split()) or {"": 1}
+    keys = np.array([xxhash.xxh64_intdigest(w.encode(), weighted_minhash.SEED) for w in terms], np.uint64)
+    values, signs = weighted_minhash.draw(keys, np.array([(1 + math.log(n)) * max(1, len(w)) for w, n in terms.items()]))
+    return signs[values.argmin(0), np.arange(weighted_minhash.SAMPLES)].tolist()
+
+
+def test_sampler_against_plain_terms(monkeypatch):
+    """Words of every kind, slots that are shared, texts in parts and words that are forgotten."""
+    random_ = random.Random(19)
+    bits = ["the", "The", "END.", "x" * 30, "日本", "ÉTÉ", "Σας", "\u212a", "\x00", "a\u3000b", "\x85", "İ", "naïve"] + [f"word{k}" for k in range(40)]
+    texts = ["".join(random_.choice(bits) + random_.choice(" \n\t\xa0 ") for _ in range(random_.randint(0, 80))) for _ in range(150)] + ["", " "]
+    want = [plain_signs(t) for t in texts]
+    assert weighted_minhash.Sampler().fingerprints(texts).tolist() == want
+    monkeypatch.setattr(weighted_minhash, "ROWS_KEPT", 8)
+    monkeypatch.setattr(weighted_minhash.Sampler, "CHUNK", 7)
     sampler = weighted_minhash.Sampler()
-    texts = [f"a word{k} word{k} and b" for k in range(30)]
-    first = sampler.fingerprints(texts)
-    sampler.fingerprints([f"other{k}" for k in range(30)])
-    assert (sampler.fingerprints(texts) == first).all()
-    many = np.arange(70_000) % len(sampler.known)
-    assert (sampler._large(many) == many[sampler.values[many].argmin(0)]).all()
+    monkeypatch.setattr(sampler.units, "CHARS", 100)
+    for _ in range(2):
+        assert sampler.fingerprints(texts).tolist() == want
+    sampler.units.forget()
+    assert sampler.fingerprints(texts[::-1]).tolist() == want[::-1]
 
 
 # ---------------------------------------------------------------- 8

@@ -7,8 +7,7 @@ t = floor(ln(weight) / r + b) its value is ln c - r (t - b) - r, and the sample
 least value. Two texts agree in a sample with the probability of their generalised Jaccard similarity,
 the sum of the smaller over that of the larger weights. A fingerprint keeps 16 bits a sample, in hex.
 
-A term's draws do not depend on the text, so the values of a (word, count) are kept by each worker,
-up to ``KNOWN`` of them. A text without words has the fingerprint of one empty term. Null text counts
+A term's draws do not depend on the text, so each worker keeps those of many terms. A text without words has the fingerprint of one empty term. Null text counts
 as empty; equal texts have equal fingerprints.
 
 The documents' order is that of descending id (null ids last), then of a hash of the text. Rows are dealt
@@ -23,7 +22,7 @@ whole. Other columns are ignored, whatever their names; an empty table gives an
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import range_bounds, shard_of, slices, stage, table, worker_model
+from .units import WHOLE, Units, batches_of, grown
 
-SAMPLES, SEED, KNOWN, ROWS, BUCKET_BYTES = 64, 7, 250_000, 128, 8 << 20
+SAMPLES, SEED, ROWS_KEPT, ROWS, BUCKET_BYTES = 64, 7, 1 << 17, 128, 8 << 20
+# White space beyond Latin-1.
+WIDE_SPACE = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 LOWEST = -(1 << 63)
 
@@ -80,50 +82,85 @@ def draw(keys: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple
 _TABLES: list[np.ndarray] = []
 
 
+def _mixed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    x = keys ^ (counts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Sampler:
+    """Fingerprints of many texts at once.
+
+    Words are numbered by arrays (``units``); a term is a word's 64-bit hash and how often it occurs. A
+    term's samples are one row of 64-bit numbers, the value in order-preserving bits above the sign, so the
+    least of a text's rows, column by column, is its fingerprint. Rows are kept in ``ROWS_KEPT`` slots, each
+    for the last term that fell there.
+    """
+
+    CHUNK = 1 << 15
+
     def __init__(self):
-        self.known: dict = {}
-        self.values, self.signs = np.empty((1024, SAMPLES), np.float32), np.empty((1024, SAMPLES), np.uint16)
-
-    def _learn(self, new: list[str | tuple[str, int]]) -> None:
-        """Terms are words, or (word, times) where they occur more than once."""
-        need = len(self.known) + len(new)
-        while need > len(self.values):
-            self.values, self.signs = (np.concatenate((x, np.empty_like(x))) for x in (self.values, self.signs))
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            pairs = [(x, 1) if isinstance(x, str) else x for x in part]
-            keys = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w, _ in pairs], np.uint64)
-            weights = (1 + np.log([n for _, n in pairs])) * np.maximum(1, [len(w) for w, _ in pairs])
-            first = len(self.known)
-            self.values[first : first + len(part)], self.signs[first : first + len(part)] = draw(keys, weights)
-            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+        latin = [chr(c) for c in range(256)]
+        kinds = np.array([0 if c.isspace() else 1 for c in latin], np.uint8)
+        kinds[0] = WHOLE
+        lower = np.array([ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else ord(c) for c in latin], np.uint8)
+        self.units = Units(kinds, self._learn, self._forget, lower, 1 << 20)
+        self.tags, self.rows = np.zeros(ROWS_KEPT, np.uint64), np.zeros((ROWS_KEPT, SAMPLES), np.uint64)
+        self.filled = np.zeros(ROWS_KEPT, bool)
+
+    def _forget(self) -> None:
+        self.keys, self.letters, self.n = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), 0
+
+    def _learn(self, words: list[str]) -> None:
+        words, size = [w.lower() for w in words], self.n + len(words)
+        self.keys, self.letters = grown(self.keys, size), grown(self.letters, size)
+        self.keys[self.n : size] = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in words], np.uint64)
+        self.letters[self.n : size] = [len(w) for w in words]
+        self.n = size
 
     def fingerprints(self, texts: list[str]) -> np.ndarray:
         """(texts, samples) signs."""
-        terms, every = [], set()
-        for t in texts:
-            some = [w if n == 1 else (w, n) for w, n in Counter(t.lower().split()).items()] or [""]
-            terms.append(some)
-            every.update(some)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = every
-        self._learn(list(new))
-        out, across = np.empty((len(texts), SAMPLES), np.uint16), np.arange(SAMPLES)
-        for k, some in enumerate(terms):
-            at = np.array(list(map(self.known.__getitem__, some)))
-            best = at[self.values[at].argmin(0)] if len(at) < 1 << 16 else self._large(at)
-            out[k] = self.signs[best, across]
+        out = np.empty((len(texts), SAMPLES), np.uint16)
+        texts = [t if t.isascii() else WIDE_SPACE.sub(" ", t) for t in texts]
+        for a, b in batches_of(texts, self.units.CHARS):
+            out[a:b] = self._least(*self._terms(texts[a:b]), b - a)
         return out
 
-    def _large(self, at: np.ndarray) -> np.ndarray:
-        """As above for very many terms, in parts."""
-        parts = [p[self.values[p].argmin(0)] for p in np.array_split(at, -(-len(at) // (1 << 16)))]
-        best = np.stack(parts)
-        across = np.arange(SAMPLES)
-        return best[self.values[best, across].argmin(0), across]
+    def _terms(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(text, key, letters, count) of each distinct term of each text, in order of texts; a text without words has the empty one."""
+        unit, many = self.units.numbers(texts)
+        doc, key, letters = np.repeat(np.arange(len(texts)), many), self.keys[unit], self.letters[unit]
+        if len(none := np.flatnonzero(many == 0)):
+            empty = np.full(len(none), xxhash.xxh64_intdigest(b"", SEED), np.uint64)
+            doc, key, letters = np.append(doc, none), np.append(key, empty), np.append(letters, np.zeros(len(none), np.int64))
+        order = np.lexsort((key, doc))
+        doc, key, letters = doc[order], key[order], letters[order]
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
+        return doc[first], key[first], letters[first], np.diff(np.append(first, len(doc)))
+
+    def _least(self, doc: np.ndarray, key: np.ndarray, letters: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
+        out = np.full((texts, SAMPLES), np.iinfo(np.uint64).max, np.uint64)
+        tag = _mixed(key, count)
+        for at in range(0, len(doc), self.CHUNK):
+            part = slice(at, at + self.CHUNK)
+            rows, own = self._rows(tag[part], key[part], letters[part], count[part]), doc[part]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            out[own[first]] = np.minimum(out[own[first]], np.minimum.reduceat(rows, first, axis=0))
+        return (out & np.uint64(0xFFFF)).astype(np.uint16)
+
+    def _rows(self, tag: np.ndarray, key: np.ndarray, letters: np.ndarray, count: np.ndarray) -> np.ndarray:
+        slot = (tag >> np.uint64(20)).astype(np.int64) % ROWS_KEPT
+        new = np.flatnonzero(~self.filled[slot] | (self.tags[slot] != tag))
+        out = self.rows[slot]
+        if len(new):
+            _, some, back = np.unique(tag[new], return_index=True, return_inverse=True)
+            some = new[some]
+            values, signs = draw(key[some], (1 + np.log(count[some])) * np.maximum(1, letters[some]))
+            bits = values.view(np.uint32)
+            bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
+            made = bits.astype(np.uint64) << np.uint64(16) | signs
+            out[new] = made[back]
+            self.rows[slot[some]], self.tags[slot[some]], self.filled[slot[some]] = made, tag[some], True
+        return out
 
 
 def sampler() -> Sampler:
