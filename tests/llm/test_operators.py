@@ -620,6 +620,33 @@ def test_links_of_dense_groups(spark, monkeypatch, block):
     assert all((r["a"] % (1 << 64) ^ r["b"] % (1 << 64)).bit_count() <= 4 for r in links.collect())
 
 
+def test_crowds_of_near_copies_cost_their_size(spark, monkeypatch):
+    """A centre, copies around it in every distance, and strangers, all under one key: links whole, rows few."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    random_ = random.Random(3)
+    keep = (1 << 13) - 1 | ((1 << 13) - 1) << 13 | ((1 << 13) - 1) << 26 | ((1 << 13) - 1) << 39  # the first four segments stay
+    centre = random_.getrandbits(64)
+    prints = {centre ^ sum(1 << b for b in random_.sample(range(52, 64), random_.randint(0, 5))) for _ in range(900)}
+    prints |= {centre ^ (random_.getrandbits(64) & ~keep) for _ in range(40)}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in prints]
+    df = spark.createDataFrame(signed, "fp long")
+    links = simhash.near_links(df)
+    found = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components.components(links).collect()}
+    want = linked(prints)
+    groups = lambda roots: sorted(sorted(f for f in prints if roots.get(f, f) == r) for r in {roots.get(f, f) for f in prints})
+    assert groups(found) == groups(want)
+    same = df.select(F.lit(7).cast("long").alias("key"), "fp")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= simhash.LIMIT
+    dealt, stars = simhash._in_blocks(same, ["fp"], "fp", near)
+    n = len(prints)
+    rest = n - 1 - stars.count()
+    assert rest < n / 2
+    assert dealt.count() <= (n + 16) * (rest + 16) / 16 * 2
+    alone = spark.createDataFrame([(centre % (1 << 60) ^ b,) for b in range(64)], "fp long").select(F.lit(7).cast("long").alias("key"), "fp")
+    dealt, stars = simhash._in_blocks(alone, ["fp"], "fp", F.lit(True))
+    assert (dealt.count(), stars.count()) == (0, 63)
+
+
 def test_components(spark):
     random_ = random.Random(2)
     edges = [(random_.randint(0, 300), random_.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5), (2000, 2000)]
@@ -1087,8 +1114,10 @@ def test_near_copies_of_one_id_leave_one_row(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
 
 
-def test_near_copies_are_found_and_no_others(spark, messy):
+@pytest.mark.parametrize("block", [2048, 6])
+def test_near_copies_are_found_and_no_others(spark, messy, monkeypatch, block):
     """All pairs by brute force: what goes has a near copy that stays, and nearly all that should go goes."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
     docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     random_ = random.Random(11)

@@ -13,9 +13,10 @@ tested before a link is made.
 
 Equal fingerprints are one class, handled once. A key that more than ``BLOCK`` classes share is made
 longer by a part of the chain's third segment, of which one of three is equal, and if need be of the
-fourth, one of four; what is crowded still is dealt out in pairs of blocks, so no task holds more than
-two blocks. Within a unit a spanning forest of the links is made rather than all of them, which leaves
-the components whole.
+fourth, one of four. Where a key is crowded still, its rows near its central one are linked to that and
+are compared with the others alone, block by block, so a crowd of near copies costs its size and no
+task holds more than two blocks. Within a unit a spanning forest of the links is made rather than all
+of them, which leaves the components whole.
 
 ``drop_near_duplicates`` is the pipeline's stage, with a measure of its own: 128 bits over shingles of
 five words without the punctuation around them, linked at ``WIDE_LIMIT`` or fewer differing bits, where
@@ -36,12 +37,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, release, slices, small, split_join, stage, table
@@ -207,17 +209,40 @@ def _linked_groups(dealt: DataFrame, link: Callable, name: str) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(keys: DataFrame, member: str) -> DataFrame:
-    """``keys`` with ``unit``: rows of a key that more than ``BLOCK`` share are dealt out in pairs of blocks, by a hash of ``member``."""
-    wide = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
-    wide = stage(wide.select("key", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")), "wide_keys")
+def _central(crowded: DataFrame, wide: DataFrame, words: list[str], member: str) -> DataFrame:
+    """(key, p, n) of each crowded key, staged: the row nearest to the bits that most of its rows have, and their number."""
+    bits = [(w, b) for w in words for b in range(64)]
+    ones = crowded.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned(w, b).bitwiseAND(1)).alias(f"{w}{b}") for w, b in bits])
+    middle = [reduce(Column.bitwiseOR, [F.when(2 * F.col(f"{w}{b}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)]).alias(f"middle_{w}") for w in words]
+    rows = split_join(crowded, stage(ones.select("key", "n", *middle), "middles"), ["key"])
+    far = reduce(Column.__add__, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"middle_{w}"))) for w in words])
+    return stage(rows.groupBy("key").agg(F.min_by(F.struct(*crowded.columns), F.struct(far, member)).alias("p"), F.count("*").alias("n")), "centres")
+
+
+def _in_blocks(keys: DataFrame, words: list[str], member: str, near: Column) -> tuple[DataFrame, DataFrame | None]:
+    """(``keys`` with ``unit``, links): a key that more than ``BLOCK`` rows share is not compared whole.
+
+    Its rows that are ``near`` its central one, ``p``, are linked to that, and need no comparison among
+    themselves; the others are dealt out in blocks, each with each block of all rows. So a crowd of near
+    copies costs its size, and what a task holds is two blocks.
+    """
     plain = keys.withColumn("unit", F.lit(0).cast("long"))
+    wide = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "wide_keys")
     if wide.isEmpty():
-        return plain
-    rows = split_join(keys, wide, ["key"]).withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.withColumn("unit", F.least("own", "other") * (1 << 31) + F.greatest("own", "other") + 1).select(*plain.columns)
-    return split_join(keys, wide, ["key"], "left_anti").withColumn("unit", F.lit(0).cast("long")).select(*plain.columns).union(rows)
+        return plain, None
+    crowded = stage(split_join(keys, wide, ["key"], "left_semi"), "crowded")
+    judged = stage(split_join(crowded, _central(crowded, wide, words, member), ["key"]).withColumn("near", near), "judged")
+    links = judged.filter("near").select(F.col("p")[member].alias("a"), F.col(member).alias("b")).filter("a <> b").distinct()
+    rest = judged.filter("NOT near").select(*crowded.columns)
+    blocks = judged.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("r")).filter("r > 0")
+    blocks = stage(blocks.select("key", "n", "r", F.ceil(F.col("n") / BLOCK).alias("every"), F.ceil(F.col("r") / BLOCK).alias("others")), "blocks")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("with")
+    one = split_join(crowded, blocks, ["key"]).select("*", upto("others"))
+    one = one.withColumn("unit", F.col("with") * (1 << 31) + F.pmod(F.xxhash64(member), F.col("every")) + 1)
+    two = split_join(rest, blocks.withColumn("n", F.col("r")), ["key"]).select("*", upto("every"))
+    two = two.withColumn("unit", F.pmod(F.xxhash64(member, F.lit(1)), F.col("others")) * (1 << 31) + F.col("with") + 1)
+    calm = split_join(keys, wide, ["key"], "left_anti").withColumn("unit", F.lit(0).cast("long"))
+    return reduce(DataFrame.union, [x.select(*plain.columns) for x in (calm, one, two)]), links
 
 
 def _dealt(keys: DataFrame, *columns: str) -> DataFrame:
@@ -238,7 +263,10 @@ def near_links(classes: DataFrame) -> DataFrame:
         start, fp = ((key >> 33) & 7).astype(np.int64), fp.view(np.uint64)
         return lambda i, j: _chain(start[i], fp[i], fp[j])
 
-    return _linked_groups(_dealt(_in_blocks(keys, "fp"), "fp"), link, "fp")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= LIMIT
+    keys, stars = _in_blocks(keys, ["fp"], "fp", near)
+    found = _linked_groups(_dealt(keys, "fp"), link, "fp")
+    return found if stars is None else found.union(stars)
 
 
 def _tables(classes: int) -> tuple[int, int]:
@@ -272,7 +300,11 @@ def wide_links(classes: DataFrame, n: int) -> DataFrame:
         return linked
 
     keys = classes.select("id", "hi", "lo", "shingles").mapInArrow(keyed, "key long, id long, hi long, lo long, shingles int")
-    return _linked_groups(_dealt(_in_blocks(stage(keys, "wide_tables"), "id"), "id", "hi", "lo", "shingles"), link, "id")
+    most = F.when(F.least("shingles", "p.shingles") < FEWEST, 0).otherwise(WIDE_LIMIT)
+    near = F.bit_count(F.col("hi").bitwiseXOR(F.col("p.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("p.lo"))) <= most
+    keys, stars = _in_blocks(stage(keys, "wide_tables"), ["hi", "lo"], "id", near)
+    found = _linked_groups(_dealt(keys, "id", "hi", "lo", "shingles"), link, "id")
+    return found if stars is None else found.union(stars)
 
 
 def _rooted(classes: DataFrame, node: str, stars: DataFrame) -> DataFrame:
