@@ -155,8 +155,12 @@ class Schedule:
         days = days.filter(self.matches_day(first))
         minutes = days.select(F.explode(F.sequence(first, last, F.expr("interval 1 minute"))).alias("m"), last.alias("z"), "a", "b")
         minutes = minutes.filter((F.col("m") < F.col("z")) & (F.col("m") >= F.date_trunc("minute", "a")) & (F.col("m") < F.col("b")) & self.matches(F.col("m")))
-        number = F.unix_micros("m") / 60_000_000
-        runs = minutes.select("m", "a", "b", (number - F.row_number().over(W.orderBy("m"))).alias("run"))
+        # a run begins and ends where the minute beside does not match: two rows a run are put in order, not its minutes
+        minute = F.expr("interval 1 minute")
+        begins = ~self.matches(F.col("m") - minute) | (F.col("m") - minute < F.date_trunc("minute", "a"))
+        ends = ~self.matches(F.col("m") + minute) | (F.col("m") + minute >= F.col("b"))
+        edges = minutes.select("m", "a", "b", begins.alias("begins"), ends.alias("ends")).filter("begins OR ends")
+        runs = edges.withColumn("run", F.sum(F.col("begins").cast("int")).over(W.orderBy("m")))
         found = runs.groupBy("run").agg(F.greatest(F.min("m"), F.first("a")).alias("start"), F.least(F.max("m") + F.expr("interval 1 minute"), F.first("b")).alias("end"))
         return found.select("start", "end").orderBy("start")
 
