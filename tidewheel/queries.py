@@ -1029,6 +1029,66 @@ def json_report_fields(spark, d):
     return Parser(plugins).report(report).run(spark).result()
 
 
+@query("""SELECT ts + INTERVAL '1 hour' AS ts, round(abs(0 - value) * 2 + hour(ts + INTERVAL '1 hour'), 6) AS value FROM events
+WHERE event_type = 'error' AND value > 5 AND (value < 50 OR value = 60) AND hour(ts + INTERVAL '1 hour') NOT BETWEEN 2 AND 3""")
+def json_series_filters(spark, d):
+    """Time shift, metadata, logic, schedule exceptions and expressions of a JSON query, in one chain."""
+    ref, const = {"type": "ref"}, (lambda v: {"type": "constant", "dataType": "decimal", "required": True, "fieldValue": v})
+    compare = lambda op, v: {"type": "condition", "operatorType": op, "operand1": ref, "operand2": const(v)}
+    logic = lambda op, a, b: {"type": "logicalExpression", "logicalOperatorType": op, "operand1": a, "operand2": b}
+    number = lambda a, op, b: {"type": "numericExpression", "op1": a, "op": op, "op2": b}
+    hour = {"type": "cast", "targetType": "decimal", "source": {"type": "timestampExtract", "source": {"type": "rowTimestamp"}, "component": "hour", "zoneId": "UTC"}}
+    positive = {"type": "unaryNumericOperator", "op": "abs", "operand": number(const(0), "-", ref)}
+    value = number(number({"type": "nvl", "source": {"type": "nil", "dataType": "decimal"}, "altField": positive}, "*", const(2)), "+", hour)
+    slot = lambda a, b: {"fromHourOfDay": a, "fromMinuteOfHour": 0, "toHourOfDay": b, "toMinuteOfHour": 0}
+    command = {
+        "from": "2000-01-01T00:00:00+00:00", "to": "2100-01-01T00:00:00+00:00",
+        "datasource": {"type": "filtered", "datasource": {"type": "events", "eventType": "error"}, "filters": [
+            {"type": "timeShift", "offsetSeconds": 3600},
+            {"type": "overrideFieldMetadata", "updatedUrn": "errors", "updatedUnit": "times"},
+            {"type": "condition", "booleanField": logic("and", compare("greater_than", 5), logic("or", compare("less_than", 50), compare("equals", 60)))},
+            {"type": "schedule", "schedule": {"conditions": [{"timeSlots": [slot(4, 2)]}], "excludeConditions": [{"timeSlots": [slot(2, 4)]}]}},
+            {"type": "fieldValue", "fieldMeta": {"uri": "made"}, "fieldValue": value},
+        ]},
+    }
+    return execute_query(spark, command, _plugins(d)).result()
+
+
+@query(f"SELECT ts, round(purchase + coalesce(error, -1), 6) AS value FROM {_sums('purchase')} LEFT JOIN {_sums('error')} USING (ts)")
+def json_report_join(spark, d):
+    """Aligned series joined to a report, a computed field in another's place, others dropped, and one taken as a series."""
+    hourly_ = lambda k: {"type": "filtered", "datasource": {"type": "events", "eventType": k}, "filters": [{"type": "aligner", "alignerPeriod": {"type": "custom", "zoneId": "UTC", "durationInMillis": 3_600_000}, "bucketReduction": "sum"}]}
+    ref = lambda u: {"type": "ref", "urn": u}
+    join = {"type": "join", "joinType": "left", "multiDatasource": {"type": "list", "datasources": [{"type": "fromDatasource", "datasource": hourly_(k)} for k in ("purchase", "error", "view")]}}
+    known = {"type": "nvl", "source": ref("error"), "altField": {"type": "constant", "dataType": "decimal", "required": True, "fieldValue": -1}}
+    report = {"type": "filtered", "reportDatasource": join, "filters": [
+        {"type": "dropFields", "fieldUrns": ["view"]},
+        {"type": "appendField", "fieldMeta": {"uri": "both"}, "fieldValue": {"type": "numericExpression", "op1": ref("purchase"), "op": "+", "op2": known}},
+        {"type": "overrideFieldMetadata", "fieldUrn": "both", "updatedUnit": "eur"},
+        {"type": "singleField", "fieldMeta": {"uri": "one"}, "fieldValue": ref("both")},
+    ]}
+    command = {"from": "2000-01-01T00:00:00+00:00", "to": "2100-01-01T00:00:00+00:00", "datasource": {"type": "fromReport", "reportDatasource": report, "fieldUrn": "one"}}
+    return execute_query(spark, command, _plugins(d)).result()
+
+
+@query("""SELECT round(max(value) - avg(value), 6) AS above, NULL::TIMESTAMP AS above__ts, round(-min(value), 6) AS depth, NULL::TIMESTAMP AS depth__ts FROM events WHERE event_type = 'error'""")
+def json_aggregation_tree(spark, d):
+    """Expressions of a composite of two aggregations."""
+    ref = lambda u: {"type": "ref", "urn": u}
+    one = lambda r, u: {"reductionType": r, "fieldMeta": {"uri": u}}
+    source = {"type": "events", "eventType": "error"}
+    parts = [
+        {"type": "fromDatasource", "datasource": source, "fields": [one("max", "top"), one("avg", "mean")]},
+        {"type": "fromReport", "reportDatasource": {"type": "fromDatasource", "datasource": source}, "fields": [{**one("min", "low"), "sourceFieldUrn": "error"}]},
+    ]
+    fields = [
+        {"fieldMeta": {"uri": "above"}, "value": {"type": "numericExpression", "op1": ref("top"), "op": "-", "op2": ref("mean")}},
+        {"fieldMeta": {"uri": "depth"}, "value": {"type": "unaryNumericOperator", "op": "negate", "operand": ref("low")}},
+    ]
+    command = {"from": "2000-01-01T00:00:00+00:00", "to": "2100-01-01T00:00:00+00:00", "aggregation": {"type": "expression", "source": {"type": "composite", "aggregations": parts}, "fields": fields}}
+    return execute_aggregation(spark, command, _plugins(d)).result()
+
+
 INVALID = {
     "unknown node": {"type": "nothing"},
     "no type": {"fieldMeta": {}},
