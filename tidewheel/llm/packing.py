@@ -135,12 +135,11 @@ def token_pieces(docs: DataFrame, encoder: Callable[[], ChunkEncoder], largest:
         model = _encoder(encoder)
         for batch in slices(batches, 512):
             ids, counts = model.encode_all(batch.column(1).to_pylist())
-            whole, ends = ids.astype("<u4"), np.cumsum(counts).tolist()
-            rows = []
+            ends, rows = np.cumsum(counts).tolist(), []
             for key, a, b in zip(batch.column(0).to_pylist(), [0, *ends[:-1]], ends, strict=True):
                 for piece, at in enumerate(range(a, b, largest)):
-                    raw = whole[at : min(at + largest, b)].tobytes()
-                    rows.append((key, piece, xxhash.xxh64_intdigest(raw) - (1 << 63), len(raw) // 4, raw))
+                    raw = ids[at : min(at + largest, b)].tobytes()
+                    rows.append((key, piece, xxhash.xxh64_intdigest(raw) - (1 << 63), len(raw) // model.width, raw))
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=["doc_id", "piece", "tie", "n", "ids"])
 
@@ -195,7 +194,8 @@ def pack_pieces(pieces: DataFrame, lengths: tuple[int, ...] = LENGTHS, group_tok
         piece = np.array([r[3] for r in flat], np.int64)
         parts = pa.StructArray.from_arrays([pa.array([r[2] for r in flat], pa.int64()), pa.array(piece), pa.array(piece * largest), pa.array(start), pa.array(n)], names=[c.split()[0] for c in PARTS.split(", ")])
         lists = lambda values, size: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), values)
-        ids = pa.array(np.frombuffer(b"".join(r[5] for r in flat), "<i4"))
+        width = len(flat[0][5]) // flat[0][4]
+        ids = pa.array(np.frombuffer(b"".join(r[5] for r in flat), f"<u{width}").astype(np.int32))
         cols = [pa.array((group << 32) + np.arange(len(bins))), pa.array([b for b, _ in bins], pa.int64()), pa.array(tokens), lists(parts, many), lists(ids, tokens)]
         return pa.RecordBatch.from_arrays(cols, names=["bin_id", "bin_length", "n_tokens", "parts", "ids"])
 
