@@ -327,7 +327,7 @@ def single_field(spark, d):
     return R.FilteredReport(report, (R.SingleField(E.Numeric(E.Ref("value"), "*", E.Constant(2, "decimal")), NewField("twice")),)).run(spark).result()
 
 
-@query("SELECT ts, value * 3 AS value FROM events")
+@query("SELECT ts, round(value * 3, 6) AS value FROM events")
 def field_value_to_series(spark, d):
     tripled = S.FieldValueFilter(E.Numeric(E.Ref(), "*", E.Constant(3, "decimal")), NewField("tripled", unit="x"))
     return R.ToDatasource(R.FromDatasource(S.FilteredSeries(events(d), (tripled, S.OverrideMeta(urn="v")))), "v").run(spark).result()
@@ -828,7 +828,7 @@ def map_drop_null(spark, d):
     return L.mapped(table(spark, d, "events"), F.when(F.col("value") > 10, F.col("value")).alias("value"), F.col("event_id"), keep_null=False)
 
 
-@query("SELECT event_id, value * 3 AS value FROM events")
+@query("SELECT event_id, round(value * 3, 6) AS value FROM events")
 def map_batches(spark, d):
     def triple(batches):
         for b in batches:
