@@ -1150,7 +1150,7 @@ def test_tables_hold_the_chance_to_meet():
     for n in (0, 1, 5000, 10**6, 10**9):
         bits, tables = simhash._tables(n)
         assert 1 - (1 - (1 - simhash.FLIP) ** bits) ** tables >= simhash.MEET
-        assert 2**bits >= min(n, 2**32)
+        assert 256 * 2**bits >= min(n, 2**40)
 
 
 @pytest.mark.parametrize("make", [exact_dedup.exact_duplicates, simhash.near_duplicates, exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, lambda d: bpe.round_trip(d, BYTES, PATTERN)])

@@ -22,9 +22,9 @@ of them, which leaves the components whole.
 five words without the punctuation around them, linked at ``WIDE_LIMIT`` or fewer differing bits, where
 texts of a Jaccard similarity of 0.8 are 1.5 standard deviations inside (texts of fewer than ``FEWEST``
 shingles, which no other text of 0.8 can be unless equal: at none). So wide a limit leaves no segment
-equal, so candidates meet by keys of bits drawn at random, as long as the logarithm of the number of
-classes, in as many tables as give a pair of similarity 0.8 a chance of ``MEET`` to meet; those that
-meet must begin a chain of two segments within its budgets before the whole distance counts. Similar
+equal, so candidates meet by keys of bits drawn at random, whose number grows as the logarithm of the
+number of classes, in as many tables as give a pair of similarity 0.8 a chance of ``MEET`` to meet (29
+for 4 million classes, 110 for a thousand million); those that meet must begin a chain of two segments within its budgets before the whole distance counts. Similar
 texts may be missed, then, with a probability; tests hold the recall against all pairs.
 
 A row's fingerprint is of its whole text, however long. Null text counts as empty. Rows with equal ids
@@ -55,8 +55,8 @@ WIDE_SHINGLE, WIDE_LIMIT, FEWEST, FLIP, MEET = 5, 25, 9, 0.1514, 0.95
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Segments as (lowest bit, width), of 13, 13, 13, 13 and 12 bits.
 RING = [(13 * k, 13) for k in range(4)] + [(52, 12)]
-#: Groups up to this size are compared by shifts of the whole batch, larger ones one by one.
-SMALL = 12
+#: Groups up to this size are compared by shifts of the whole batch, up to ``MIDDLE`` pair by pair at once, larger ones row by row.
+SMALL, WIDE_SMALL, MIDDLE = 12, 32, 512
 
 
 def _shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -148,35 +148,44 @@ _MASKS = np.array([((1 << w) - 1) << low for low, w in RING], np.uint64)
 Linked = Callable[[np.ndarray | int, np.ndarray | int], np.ndarray]
 
 
-def _links_of(key: np.ndarray, unit: np.ndarray, linked: Linked) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _links_of(key: np.ndarray, unit: np.ndarray, linked: Linked, small: int = SMALL) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links, as places, within the groups (equal key and unit, adjacent) of a sorted batch: enough to connect what links."""
     edge = np.flatnonzero((key[1:] != key[:-1]) | (unit[1:] != unit[:-1])) + 1
     first = np.concatenate(([0], edge))
     size = np.diff(np.concatenate((first, [len(key)])))
     own, group = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
     left, right = [], []
-    for shift in range(1, min(SMALL, int(size.max()))):
-        i = np.flatnonzero((group[shift:] == group[:-shift]) & (own[shift:] <= SMALL))
+    for shift in range(1, min(small, int(size.max()))):
+        i = np.flatnonzero((group[shift:] == group[:-shift]) & (own[shift:] <= small))
         i = i[linked(i, i + shift)]
         left.append(i)
         right.append(i + shift)
-    for g in np.flatnonzero(size > SMALL):
-        todo = np.arange(first[g], first[g] + size[g])
+    for g in np.flatnonzero(size > small):
+        at, n = first[g], size[g]
+        every = None
+        if n <= MIDDLE:  # all pairs at once, then a walk over those that link
+            i, j = np.triu_indices(n, 1)
+            hit = linked(at + i, at + j)
+            if not hit.any():
+                continue
+            every = np.zeros((n, n), bool)
+            every[i[hit], j[hit]] = every[j[hit], i[hit]] = True
+        todo = np.arange(n) if every is None else np.flatnonzero(every.any(0))
         while len(todo):
             front, todo = [todo[0]], todo[1:]
             while front and len(todo):
                 one = front.pop()
-                hit = linked(todo, one)
+                hit = linked(at + todo, at + one) if every is None else every[one, todo]
                 if hit.any():
                     near = todo[hit]
-                    left.append(np.full(len(near), one))
-                    right.append(near)
+                    left.append(np.full(len(near), at + one))
+                    right.append(at + near)
                     front.extend(near)
                     todo = todo[~hit]
     return left, right
 
 
-def _linked_groups(dealt: DataFrame, link: Callable, name: str) -> DataFrame:
+def _linked_groups(dealt: DataFrame, link: Callable, name: str, small: int = SMALL) -> DataFrame:
     """Links (a, b) of the column ``name`` in the groups of (key, unit, ...), which are dealt out whole and sorted.
 
     ``link``: the columns behind key and unit, and key, to a test of places.
@@ -200,7 +209,7 @@ def _linked_groups(dealt: DataFrame, link: Callable, name: str) -> DataFrame:
             yield from _sent([np.concatenate(x) for x in zip(*held, strict=True)])
 
     def _sent(cols):
-        left, right = _links_of(cols[0], cols[1], link(*cols))
+        left, right = _links_of(cols[0], cols[1], link(*cols), small)
         if left:
             a, b = (cols[place][np.concatenate(x).astype(np.int64)] for x in (left, right))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -270,8 +279,8 @@ def near_links(classes: DataFrame) -> DataFrame:
 
 
 def _tables(classes: int) -> tuple[int, int]:
-    """(bits of a key, tables) for so many classes."""
-    bits = max(12, min(32, (max(classes, 1) - 1).bit_length()))
+    """(bits of a key, tables) for so many classes: by chance some 256 classes share a key at most, which few tables allow."""
+    bits = max(14, min(32, (max(classes, 1) - 1).bit_length() - 8))
     return bits, math.ceil(math.log(1 - MEET) / math.log(1 - (1 - FLIP) ** bits))
 
 
@@ -303,7 +312,7 @@ def wide_links(classes: DataFrame, n: int) -> DataFrame:
     most = F.when(F.least("shingles", "p.shingles") < FEWEST, 0).otherwise(WIDE_LIMIT)
     near = F.bit_count(F.col("hi").bitwiseXOR(F.col("p.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("p.lo"))) <= most
     keys, stars = _in_blocks(stage(keys, "wide_tables"), ["hi", "lo"], "id", near)
-    found = _linked_groups(_dealt(keys, "id", "hi", "lo", "shingles"), link, "id")
+    found = _linked_groups(_dealt(keys, "id", "hi", "lo", "shingles"), link, "id", WIDE_SMALL)
     return found if stars is None else found.union(stars)
 
 
