@@ -243,6 +243,8 @@ def test_html_text(spark):
         (15, "http://g.example/", "<form id=all><div class=banner><h1>Title</h1><p>A page inside a form.</p><button>Go</button></div></form>", "Title\nA page inside a form."),
         (16, "http://i.example/", "<p>a&am<b>p;</b> &lt;tag&gt; &#x41;&notin; 1 < 2 & 3<4</p>", "a&amp; <tag> A∉ 1 < 2 & 3<4"),
         (17, "http://i.example/", "<table><tr><td class=ad>no<td>yes<tr><td>more</table>", "yes\nmore"),
+        (18, "http://j.example/", "<div id=header><p>Our site, for every day of the year and more</p></div><div class=c><p>The text of the page, which says what it has to say.</p></div>", "The text of the page, which says what it has to say."),
+        (19, "http://k.example/", "<div class='page-header'><h1>Title of it</h1></div><article><div class=header><p>By someone</p></div><p>The text.</p></article>", "By someone\nThe text."),
         (11, "http://e.example/", "<body><p class=x hidden>gone</p><p>kept &nbsp; text</p><ul><li>item one<li>item two</ul></body>", "kept text\nitem one\nitem two"),
     ]
     df = spark.createDataFrame([c[:3] for c in cases], "page_id long, url string, html string").withColumn("path", F.lit("x"))
@@ -370,7 +372,7 @@ def plain_page(source):
                 skip = "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "").lower()) is not None
                 say, about = (True, False) if tag == "form" else (False, False)
                 if not say and tag not in html_text.WHOLE_PAGE:
-                    say, about = html_text.told(" ".join(attrs.get(k, "") for k in ("class", "id", "role")))
+                    say, about = html_text.told(" ".join(attrs.get(k, "") for k in ("class", "id", "role")), within)
                 skip = skip or (say and not block)
                 if say and not skip:
                     inner = (*softs, {"comments": about, "holds": False})
@@ -437,7 +439,7 @@ def test_pages_against_the_slow_form(spark):
     assert got == plain_texts(rows)
     random_ = random.Random(21)
     tags = ["div", "p", "b", "a", "li", "ul", "td", "tr", "table", "article", "header", "nav", "h1", "form", "span", "section"]
-    names = ["", "", "", " class=ad", " class='main x9'", " class=sidebar", " id=comments", " class='no-ads'", " hidden", " class=related-work", " style='display: none'", " role=banner", " data-x='>'"]
+    names = ["", "", "", " class=ad", " class='main x9'", " class=sidebar", " id=comments", " class='no-ads'", " hidden", " class=related-work", " style='display: none'", " role=banner", " data-x='>'", " id=header", " class='site-header top'"]
 
     def made():
         out = []

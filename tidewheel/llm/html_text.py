@@ -72,13 +72,14 @@ BOX_WORDS = {
     "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "column", "container", "content", "form", "group", "header", "holder", "icons", "inner", "item", "items",
     "left", "link", "links", "list", "main", "message", "module", "outer", "panel", "posts", "right", "row", "section", "site", "slot", "text", "title", "top", "unit", "wrap", "wrapper", "zone",
 }
+HEADER_WORDS = {"header", "site", "page", "top", "main", "global"}
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 HOST = r"^(?i:[a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
-def told(names: str) -> tuple[bool, bool]:
-    """(whether names of class, id or role say that an element is no text, whether they say comments)."""
+def told(names: str, inside: bool = False) -> tuple[bool, bool]:
+    """(whether names of class, id or role say that an element is no text, whether they say comments); ``inside``: of an article, whose header is text."""
     for name in names.split():
         parts = [p.lower() for p in PART.findall(name)]
         if not parts or not DENIALS.isdisjoint(parts):
@@ -87,6 +88,8 @@ def told(names: str) -> tuple[bool, bool]:
             return True, parts[-1] in COMMENT_WORDS
         if parts[0] in OUT_WORDS and BOX_WORDS.issuperset(parts[1:]):
             return True, parts[0] in COMMENT_WORDS
+        if parts[-1] == "header" and not inside and HEADER_WORDS.issuperset(parts):
+            return True, False
     return False, False
 
 
@@ -242,7 +245,7 @@ class Page:
                     names = given.get("class", "").lower()
                     skip = "hidden" in given or "none" in given.get("style", "").lower().partition("display")[2].replace(" ", "")[:5]
                     if not say and tag not in WHOLE_PAGE:
-                        say, about = told(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}")
+                        say, about = told(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}", opened["article"] + opened["main"] > 0)
                 if say and tag not in BLOCKS:  # part of a run of text
                     skip = True
                 if say and not skip:
