@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import table, worker_model
 from .units import WHOLE, Units, batches_of, characters, grown
 
-WORD_ROWS, POOL, DOC_IDS, DOCS = 3_000_000, 1 << 22, 500_000, 512
+WORD_ROWS, SLOTS, POOL, DOC_IDS, DOCS = 3_000_000, 1 << 22, 1 << 23, 500_000, 512
 # The pattern whose matches are found by arrays, and white space beyond Latin-1.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WIDE_SPACES = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
@@ -97,7 +97,7 @@ class BytePairs:
         if pattern != SPLIT:  # another pattern: texts are units as a whole
             kinds[:] = WHOLE
         self.kinds = kinds
-        self.units = Units(kinds, self._learn, self._forget)
+        self.units = Units(kinds, self._learn, self._forget, slots=SLOTS)
 
     def _query(self, sql: str, rows: pa.Table, name: str = "given"):
         self.db.register(name, rows)
