@@ -606,6 +606,7 @@ def test_simhash(messy):
 def test_links_of_dense_groups(spark, monkeypatch, block):
     """Near copies of a few centres, close to the limit, in groups above and below the sizes of blocks."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "STEP", block)
     random_ = random.Random(block)
     prints = set()
     for size in (60, 20, 3, 1, 1):

@@ -57,6 +57,8 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RING = [(13 * k, 13) for k in range(4)] + [(52, 12)]
 #: Groups up to this size are compared by shifts of the whole batch, up to ``MIDDLE`` pair by pair at once, larger ones row by row.
 SMALL, WIDE_SMALL, MIDDLE = 12, 32, 512
+#: Rows that are compared in one step at least.
+STEP = 1 << 15
 
 
 def _shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -199,6 +201,8 @@ def _linked_groups(dealt: DataFrame, link: Callable, name: str, small: int = SMA
             if not len(cols[0]):
                 continue
             held.append(cols)
+            if sum(len(x[0]) for x in held) < STEP:
+                continue
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
             if len(last):  # all but the last group are whole
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -214,7 +218,6 @@ def _linked_groups(dealt: DataFrame, link: Callable, name: str, small: int = SMA
             a, b = (cols[place][np.concatenate(x).astype(np.int64)] for x in (left, right))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    # several narrow rows a batch: groups are short, and a batch is one step of arrays
     return dealt.mapInArrow(run, "a long, b long")
 
 
