@@ -81,7 +81,7 @@ class Profiler:
         used = np.flatnonzero(seen)
         place = np.zeros(LETTERS**3, np.int32)
         place[used] = np.arange(len(used))
-        cells = np.bincount(place[codes] + row * len(used), minlength=rows * len(used)).astype(np.float32).reshape(rows, len(used)) if rows * len(used) <= 1 << 24 else None
+        cells = np.bincount(place[codes] + row * len(used), minlength=rows * len(used)).astype(np.float32).reshape(rows, len(used)) if rows * len(used) <= 1 << 23 else None
         out = np.zeros((rows, self.size), np.float32)
         for k in range(0, len(used), BLOCK):
             part = used[k : k + BLOCK]

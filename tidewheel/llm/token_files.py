@@ -145,7 +145,7 @@ class ChunkEncoder:
     first and are their ids, as the library has it.
     """
 
-    SLOTS, POOL, LONGEST, AT_ONCE, CHARS = 1 << 21, 1 << 22, 48, 2048, 1 << 20
+    SLOTS, POOL, LONGEST, AT_ONCE, CHARS = 1 << 20, 1 << 22, 48, 2048, 1 << 20
     BETWEEN = "\x01"
 
     def __init__(self, path: str, end_id: int):
