@@ -44,15 +44,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: Bytes of a staged table's row group, and of a batch that goes to a Python worker, with its most rows.
+#: Bytes of a Parquet file's row group, and of a batch that goes to a Python worker, with its most rows.
 ROW_GROUP, BATCH_BYTES, BATCH_ROWS = 16 << 20, 16 << 20, 2048
 
 
 def bounded(spark: SparkSession) -> None:
-    """Batches of bounded bytes for Python workers, unless the session says otherwise."""
-    for key, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
-        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+    """Row groups and batches for Python workers of bounded bytes, unless the session says otherwise."""
+    arrow = "spark.sql.execution.arrow"
+    for key, value in ((f"{arrow}.maxBytesPerBatch", BATCH_BYTES), (f"{arrow}.maxRecordsPerBatch", BATCH_ROWS), ("parquet.block.size", ROW_GROUP)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
 
 
 def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
@@ -60,8 +61,7 @@ def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     bounded(spark)
-    # a task holds two row groups at most while it writes: one that is filled, one that is sent
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=codec)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewheel_path = path
     return out
