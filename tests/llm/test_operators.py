@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -1174,3 +1175,34 @@ def test_heavy_keys_are_joined_apart(spark, monkeypatch):
     plain = lambda how: Counter(tuple(r) for r in rows.join(groups.drop("n"), "key", how).collect())
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert Counter(tuple(r) for r in common.split_join(rows, groups, ["key"], how).collect()) == plain(how), how
+
+
+def test_quality_learns_from_long_texts_in_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SHARDS", 1)
+    monkeypatch.setitem(spark.sparkContext.environment, "WORKERS", "of this test alone")
+
+    def texts(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                words = np.random.default_rng(i).permutation(20_000)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([" ".join([f"w{w}" for w in words.tolist()])])], names=["doc_id", "text"])
+
+    def most(batches):
+        import resource
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10])], names=["mb"])
+
+    docs = spark.range(0, 600, 1, 8).withColumnRenamed("id", "doc_id").mapInArrow(texts, "doc_id long, text string")
+    weights = quality.train(docs, spark.range(600).selectExpr("id AS doc_id", "int(id % 2) AS quality"))
+    assert np.count_nonzero(weights) > 50_000
+    assert spark.range(0, 64, 1, 16).mapInArrow(most, "mb long").agg(F.max("mb")).first()[0] < 500
+
+
+def test_quality_sums_long_texts_part_by_part(monkeypatch):
+    text = " ".join(random.Random(3).choice(["one", "Two", "three,", "4", "x" * 60]) for _ in range(900))
+    f = quality.Featuriser()
+    whole = f.summed(text)
+    monkeypatch.setattr(type(f.units), "CHARS", 500)
+    parts = f.summed(text)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1], rtol=1e-4)

@@ -9,7 +9,9 @@ characters stand for themselves; and whether a word repeats the one or two befor
 into ``2 ** BITS`` weights; a feature's value is its share of the features of its kind. The weights
 are trained with follow-the-regularised-leader updates, one document at a time, on at most about
 ``LEARN_DOCS`` labelled rows dealt by a hash of the id into ``SHARDS`` models whose weights are
-averaged; a score is the sparse dot product through the logistic function.
+averaged; a score is the sparse dot product through the logistic function. A model's rows lie in a
+temporary file of its task and are read from there in each pass, so texts of any length are learned from in
+the memory of one.
 
 Texts that are null or have no word score by the intercept alone. A very long text is scored whole, part
 by part. With no labelled row every score is 0.5, and an empty table gives no rows. Repeated rows are
@@ -19,8 +21,10 @@ is labelled several times teaches each label.
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stage, table, worker_model
+from .common import slices, table, worker_model
 from .language import part_of
 from .units import WHOLE, Units, batches_of, grown
 
@@ -36,6 +40,8 @@ BITS, LEARN_DOCS, SHARDS, PASSES, THRESHOLD = 18, 12_000, 4, 4, 0.3
 ALPHA, BETA, L1, L2 = 0.6, 0.5, 1e-4, 1e-5
 MASK = np.uint64((1 << BITS) - 1)
 LONG, PIECE = 24, 4
+#: Features that are sent at once, but for those of one text.
+MANY = 1 << 21
 
 
 def _shape(word: str) -> str:
@@ -114,6 +120,22 @@ class Featuriser:
         values = np.concatenate([np.full(len(k), 1 / max(len(k), 1), np.float32) for k in kinds])
         return places, values
 
+    def summed(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct places, values); a very long text is summed part by part."""
+        if len(text or "") <= self.units.CHARS:
+            places, values = self.features(text)
+            own, where = np.unique(places, return_inverse=True)
+            return own, np.bincount(where, values, len(own))
+        sums, counts, carried = np.zeros((len(SPANS), 1 << BITS)), np.zeros(len(SPANS)), np.zeros(0, np.uint64)
+        for part in self.units.cut(text):
+            both = np.concatenate((carried, self._hashes([part])[0]))
+            for k, kind in enumerate(_kinds(both, len(carried))):
+                sums[k] += np.bincount((_mix(kind) & MASK).astype(np.int64), minlength=1 << BITS)
+                counts[k] += len(kind)
+            carried = both[-2:]
+        own = np.flatnonzero(sums.any(0))
+        return own, (sums[:, own] / np.maximum(counts, 1)[:, None]).sum(0)
+
     def products(self, texts: list[str | None], weights: np.ndarray) -> np.ndarray:
         """The dot product of each text's features and the weights, the intercept added."""
         texts = [t or "" for t in texts]
@@ -201,27 +223,35 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LEARN_DOCS) -> np.nda
 
     def ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at, x = [], []
-            for text in batch.column(3).to_pylist():
-                places, values = featuriser().features(text)
-                own, where = np.unique(places, return_inverse=True)
+            first, at, x = 0, [], []
+            for k, text in enumerate(batch.column(3).to_pylist(), 1):
+                own, values = featuriser().summed(text)
                 at.append(own.astype(np.int32))
-                x.append(np.bincount(where, values, len(own)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["shard", "turn", "y", "at", "x"])
-
-    def fit(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by("turn")
-        rows = [(np.append(a.values.to_numpy(), 1 << BITS), np.append(x.values.to_numpy(), 1.0), y) for a, x, y in zip(shard["at"], shard["x"], shard["y"].to_pylist(), strict=True)]
-        model = Ftrl(1 << BITS)
-        for _ in range(PASSES):
-            for row in rows:
-                model.update(*row)
-        w = model.weights()
-        at = np.flatnonzero(w)
-        return pa.table({"docs": pa.array([len(rows)], pa.int64()), "at": pa.array([at], pa.list_(pa.int64())), "w": pa.array([w[at]], pa.list_(pa.float64()))})
-
-    some = stage(some.mapInArrow(ready, "shard long, turn long, y int, at array<int>, x array<float>"), "quality")
-    found = some.groupBy("shard").applyInArrow(fit, "docs long, at array<long>, w array<double>").collect()
+                x.append(values.astype(np.float32))
+                if k == batch.num_rows or sum(map(len, at)) > MANY:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, k - first).columns[:3], pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["shard", "turn", "y", "at", "x"])
+                    first, at, x = k, [], []
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r[0].as_py(), r[1].as_py(), r[2].values, r[3].values) for b in batches for r in zip(b["shard"], b["y"], b["at"], b["x"], strict=True))
+        for _, shard in groupby(rows, lambda r: r[0]):
+            with tempfile.TemporaryFile() as file:
+                taught = []
+                for _, y, at, x in shard:
+                    file.write(at.to_numpy().tobytes() + x.to_numpy().tobytes())
+                    taught.append((len(at), y))
+                model = Ftrl(1 << BITS)
+                for _ in range(PASSES):
+                    file.seek(0)
+                    for n, y in taught:
+                        at, x = np.frombuffer(file.read(4 * n), np.int32), np.frombuffer(file.read(4 * n), np.float32)
+                        model.update(np.append(at, 1 << BITS), np.append(x, 1.0), y)
+            w = model.weights()
+            at = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array([len(taught)], pa.int64()), pa.array([at], pa.list_(pa.int64())), pa.array([w[at]], pa.list_(pa.float64()))], names=["docs", "at", "w"])
+
+    some = some.mapInArrow(ready, "shard long, turn long, y int, at array<int>, x array<float>")
+    found = some.repartition("shard").sortWithinPartitions("shard", "turn").mapInArrow(fit, "docs long, at array<long>, w array<double>").collect()
     out, total = np.zeros((1 << BITS) + 1), sum(r["docs"] for r in found)
     for r in found:
         out[np.array(r["at"], np.int64)] += np.array(r["w"]) * r["docs"] / total
