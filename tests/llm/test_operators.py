@@ -1206,3 +1206,33 @@ def test_quality_sums_long_texts_part_by_part(monkeypatch):
     monkeypatch.setattr(type(f.units), "CHARS", 500)
     parts = f.summed(text)
     assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1], rtol=1e-4)
+
+
+@pytest.mark.parametrize("block", [1 << 18, 150])
+def test_no_wide_link_is_missed(spark, monkeypatch, block):
+    """Pairs at the very limit, and one bit beyond it."""
+    monkeypatch.setattr(simhash, "WIDE_BLOCK", block, raising=False)
+    draw = np.random.default_rng(7)
+    bits = draw.integers(0, 2, (600, 128), np.uint8)
+    for k in range(300):
+        bits[300 + k] = bits[k]
+        bits[300 + k, draw.permutation(128)[: 25 + (k % 3 == 0)]] ^= 1
+    words = np.packbits(bits, axis=1, bitorder="little").view("<i8").tolist()
+    classes = spark.createDataFrame([(k, hi, lo, 8 if k % 7 == 0 else 9) for k, (hi, lo) in enumerate(words)], "id long, hi long, lo long, shingles int")
+    found = {(min(r), max(r)) for r in simhash.wide_links(classes, 600).distinct().collect()}
+    assert found == {(k, 300 + k) for k in range(300) if k % 3 and k % 7 and (300 + k) % 7}
+
+
+def test_wide_ring_leaves_no_pair_out():
+    assert [a for a, _ in simhash.WIDE_RING] == [sum(w for _, w in simhash.WIDE_RING[:k]) for k in range(7)]
+    assert sum(w for _, w in simhash.WIDE_RING) == 128
+    assert sum(m + 1 for m in simhash.WIDE_MOST) == simhash.WIDE_LIMIT + 1
+
+
+def test_near_stage_drops_all_that_should_go(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    prints = {r["doc_id"]: plain_wide(r["text"]) for r in docs.collect()}
+    roots, least = wide_linked(prints.values()), {}
+    for i, p in prints.items():
+        least[roots[p]] = min(i, least.get(roots[p], i))
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == set(least.values())

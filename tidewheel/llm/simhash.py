@@ -21,11 +21,14 @@ of them, which leaves the components whole.
 ``drop_near_duplicates`` is the pipeline's stage, with a measure of its own: 128 bits over shingles of
 five words without the punctuation around them, linked at ``WIDE_LIMIT`` or fewer differing bits, where
 texts of a Jaccard similarity of 0.8 are 1.5 standard deviations inside (texts of fewer than ``FEWEST``
-shingles, which no other text of 0.8 can be unless equal: at none). So wide a limit leaves no segment
-equal, so candidates meet by keys of bits drawn at random, whose number grows as the logarithm of the
-number of classes, in as many tables as give a pair of similarity 0.8 a chance of ``MEET`` to meet (29
-for 4 million classes, 110 for a thousand million); those that meet must begin a chain of two segments within its budgets before the whole distance counts. Similar
-texts may be missed, then, with a probability; tests hold the recall against all pairs.
+shingles, which no other text of 0.8 can be unless equal: at none). So wide a limit leaves no
+segment equal. The ring then has seven segments, each with a number of bits of its own in which it may
+differ (``WIDE_MOST``); these numbers and one for each segment add up to ``WIDE_LIMIT`` + 1, so some
+start exists from which the first l segments together differ, for every l, in at most their numbers and l - 1
+bits. Rows meet where the first segment differs in so few bits, by looking up every such value; of those that
+meet the chain of three segments is tested, then the whole. No pair is missed. Rows are dealt in blocks,
+each with each and a unit for each start, so a task holds two blocks; what is compared grows with the
+square of the distinct fingerprints, of whose pairs about 1 in 50 have a first segment so near.
 
 A row's fingerprint is of its whole text, however long. Null text counts as empty. Rows with equal ids
 keep a row each; null ids are allowed (a component of null ids alone has a null id). Where copies are
@@ -38,7 +41,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, release, slices, small, split_join, stage, table
+from .common import MOST_TASKS, fresh, slices, small, split_join, stage, table
 from .components import components
 
 SHINGLE, SEED, LIMIT, SEGMENTS, BLOCK = 4, 42, 4, 5, 2048
@@ -59,6 +62,11 @@ RING = [(13 * k, 13) for k in range(4)] + [(52, 12)]
 SMALL, WIDE_SMALL, MIDDLE = 12, 32, 512
 #: Rows that are compared in one step at least.
 STEP = 1 << 15
+#: Of the pipeline's 128 bits: segments as (lowest bit, width), and the bits in which the first segment of a chain differs at most.
+WIDE_RING = [(0, 18), (18, 18), (36, 18), (54, 19), (73, 18), (91, 18), (109, 19)]
+WIDE_MOST = [3, 3, 3, 2, 3, 3, 2]
+#: Segments of a chain that are tested at once, 64 bits at most; classes that a unit takes from each of two blocks, and pairs at once.
+WIDE_CHAIN, WIDE_BLOCK, PAIRS = 3, 1 << 18, 1 << 19
 
 
 def _shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -145,6 +153,8 @@ def _chain(starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _MASKS = np.array([((1 << w) - 1) << low for low, w in RING], np.uint64)
+#: By width and number: the values of so many bits at most that are not zero.
+_MOST_BITS = {(w, m): [sum(1 << b for b in on) for k in range(1, m + 1) for on in combinations(range(w), k)] for (_, w), m in zip(WIDE_RING, WIDE_MOST, strict=True)}
 
 
 Linked = Callable[[np.ndarray | int, np.ndarray | int], np.ndarray]
@@ -282,41 +292,156 @@ def near_links(classes: DataFrame) -> DataFrame:
 
 
 def _tables(classes: int) -> tuple[int, int]:
-    """(bits of a key, tables) for so many classes: by chance some 256 classes share a key at most, which few tables allow."""
+    """(bits of a key, tables) for so many classes: by chance some 256 classes share a key at most, which few tables allow.
+
+    Of keys drawn at random, by which no stage looks for candidates any more; a test holds it.
+    """
     bits = max(14, min(32, (max(classes, 1) - 1).bit_length() - 8))
     return bits, math.ceil(math.log(1 - MEET) / math.log(1 - (1 - FLIP) ** bits))
 
 
+def _rotated(first: np.ndarray, second: np.ndarray, at: int) -> np.ndarray:
+    """The 64 bits from ``at`` on of the ring of 128 that two words make."""
+    if at >= 64:
+        first, second, at = second, first, at - 64
+    return first >> np.uint64(at) | second << np.uint64(64 - at) if at else first
+
+
+class _Joined:
+    """Which rows are joined, as a label a row; rows of one label need no comparison."""
+
+    def __init__(self, n: int):
+        self.label, self.left, self.right = np.arange(n), [], []
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.label[i], self.label[j]
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1)[a != b], axis=0)
+        if not len(pairs):
+            return
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in root:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        for x, y in pairs.tolist():
+            x, y = sorted((find(x), find(y)))
+            if x != y:
+                root[y] = x
+                self.left.append(x)
+                self.right.append(y)
+        to = np.arange(len(self.label))
+        to[list(root)] = [find(x) for x in list(root)]
+        self.label = to[self.label]
+
+
+def _ring_links(start: int, other: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as places, that connect what lies within the wide limit by a chain from segment ``start``.
+
+    ``other``: the side of each row; of two sides, pairs within one are left to other units.
+    """
+    low, width = WIDE_RING[start]
+    hi, lo = hi.view(np.uint64), lo.view(np.uint64)
+    chain = [(start + k) % len(WIDE_RING) for k in range(WIDE_CHAIN)]
+    bits, most = sum(WIDE_RING[k][1] for k in chain), sum(WIDE_MOST[k] + 1 for k in chain) - 1
+    head = _rotated(hi, lo, low) & np.uint64((1 << bits) - 1)
+    own = (head & np.uint64((1 << width) - 1)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    head, own, hi, lo, other = head[order], own[order], hi[order], lo[order], other[order]
+    both, made = bool((other != other[0]).any()), _Joined(len(own))
+
+    def linked(i, j):
+        return np.bitwise_count(hi[i] ^ hi[j]).astype(np.int64) + np.bitwise_count(lo[i] ^ lo[j]) <= WIDE_LIMIT
+
+    found = _links_of(own, np.zeros(len(own), np.int64), linked, WIDE_SMALL)  # rows whose segment is equal
+    if found[0]:
+        made.join(*(np.concatenate(x).astype(np.int64) for x in found))
+    value, first, size = np.unique(own, return_index=True, return_counts=True)
+    slot = np.full(1 << width, -1, np.int64)
+    slot[value] = np.arange(len(value))
+    least, largest = np.minimum.reduceat(made.label, first), np.maximum.reduceat(made.label, first)
+    one = np.where(least == largest, least, -1)
+    for mask in _MOST_BITS[width, WIDE_MOST[start]]:
+        to = value ^ mask
+        l = np.flatnonzero(to > value)
+        r = slot[to[l]]
+        l, r = l[r >= 0], r[r >= 0]
+        some = (one[l] != one[r]) | (one[l] < 0)  # else all of both are joined: a crowd of near copies costs its size
+        l, r = l[some], r[some]
+        ends = np.cumsum(size[l] * size[r])
+        at = 0
+        while at < len(l):
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+            a, b = l[at:end], r[at:end]
+            for i, j in _pairs(first[a], size[a], first[b], size[b]):
+                hit = np.bitwise_count(head[i] ^ head[j]) <= most
+                if both:
+                    hit &= other[i] != other[j]
+                i, j = i[hit], j[hit]
+                hit = made.label[i] != made.label[j]
+                i, j = i[hit], j[hit]
+                hit = linked(i, j)
+                made.join(i[hit], j[hit])
+            at = end
+    return order[np.array(made.left, np.int64)], order[np.array(made.right, np.int64)]
+
+
+def _pairs(first: np.ndarray, size: np.ndarray, first_: np.ndarray, size_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of the rows of two groups each; of large groups, some rows of one at a time."""
+    if len(first) == 1 and size[0] * size_[0] > PAIRS:
+        step = max(1, PAIRS // int(size_[0]))
+        for at in range(0, int(size[0]), step):
+            n = min(step, int(size[0]) - at)
+            yield np.repeat(first[0] + at + np.arange(n), size_[0]), np.tile(first_[0] + np.arange(size_[0]), n)
+        return
+    single = (size == 1) & (size_ == 1)
+    yield first[single], first_[single]
+    first, size, first_, size_ = (x[~single] for x in (first, size, first_, size_))
+    count = size * size_
+    group = np.repeat(np.arange(len(count)), count)
+    k = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
+    yield first[group] + k // size_[group], first_[group] + k % size_[group]
+
+
 def wide_links(classes: DataFrame, n: int) -> DataFrame:
-    """``classes``: ``n`` rows (id, hi, lo, shingles). Links (a, b) of ids that lie within the wide limit and meet."""
-    bits, tables = _tables(n)
-    random = np.random.default_rng(SEED)
-    drawn = [np.sort(random.permutation(128)[:bits]) for _ in range(tables)]
-    weights = 1 << np.arange(bits, dtype=np.int64)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            whole = np.unpackbits(np.stack((own[1], own[2]), 1).view(np.uint8), axis=1, bitorder="little")
-            key = np.concatenate([whole[:, cols].astype(np.int64) @ weights + (t << 32) for t, cols in enumerate(drawn)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.tile(c, tables)) for c in own]], names=["key", "id", "hi", "lo", "shingles"])
-
-    def link(key, unit, id_, hi, lo, shingles) -> Linked:
-        hi, lo = hi.view(np.uint64), lo.view(np.uint64)
-
-        def linked(i, j):
-            first, second = (np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in (hi, lo))
-            most = np.where(np.minimum(shingles[i], shingles[j]) < FEWEST, 0, WIDE_LIMIT)
-            return (2 * np.minimum(first, second) <= most) & (first + second <= most)
-
-        return linked
-
-    keys = classes.select("id", "hi", "lo", "shingles").mapInArrow(keyed, "key long, id long, hi long, lo long, shingles int")
-    most = F.when(F.least("shingles", "p.shingles") < FEWEST, 0).otherwise(WIDE_LIMIT)
-    near = F.bit_count(F.col("hi").bitwiseXOR(F.col("p.hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("p.lo"))) <= most
-    keys, stars = _in_blocks(stage(keys, "wide_tables"), ["hi", "lo"], "id", near)
-    found = _linked_groups(_dealt(keys, "id", "hi", "lo", "shingles"), link, "id", WIDE_SMALL)
-    return found if stars is None else found.union(stars)
+    """``classes``: ``n`` distinct rows (id, hi, lo, shingles). Links (a, b) of ids that connect all within the wide limit.
+
+    A unit is two blocks of classes, or one with itself, and a segment to start from.
+    """
+    blocks = max(1, -(-n // WIDE_BLOCK), min(4, n >> 13))
+    starts = len(WIDE_RING)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            edge = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), len(cols[0])]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if a == b:
+                    continue
+                if held and held[-1][0][0] != cols[0][a]:
+                    yield found([np.concatenate(x) for x in zip(*held, strict=True)])
+                    held = []
+                held.append([c[a:b] for c in cols])
+        if held:
+            yield found([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+        unit, block, ids, hi, lo = cols
+        left, right = _ring_links(int(unit[0] % starts), block, hi, lo)
+        return pa.RecordBatch.from_arrays([pa.array(ids[left], pa.int64()), pa.array(ids[right], pa.int64())], names=["a", "b"])
+
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))
+    # texts of fewer shingles link to equal ones alone, which are one class
+    rows = classes.filter(F.col("shingles") >= FEWEST).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "hi", "lo")
+    rows = rows.select("*", F.explode(upto(blocks)).alias("with"))
+    pair = F.least("block", "with") * blocks + F.greatest("block", "with")
+    rows = rows.select("block", "id", "hi", "lo", pair.alias("pair")).select("*", F.explode(upto(starts)).alias("start"))
+    dealt = rows.select((F.col("pair") * starts + F.col("start")).alias("unit"), "block", "id", "hi", "lo")
+    dealt = dealt.repartition(min(MOST_TASKS, 2 * blocks * (blocks + 1) * starts), "unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _rooted(classes: DataFrame, node: str, stars: DataFrame) -> DataFrame:
