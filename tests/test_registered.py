@@ -111,3 +111,17 @@ def test_windows_take_every_event(spark, db, name, size, step):
 def test_time_shift_takes_every_event(spark, db):
     want = [(ts + timedelta(days=1), v) for ts, v in db.execute("SELECT ts, value FROM events ORDER BY ts").fetchall()]
     assert [(r["ts"], r["value"]) for r in engine.QUERIES["time_shift"](spark, SF).orderBy("ts").collect()] == want
+
+
+@pytest.mark.parametrize("name", ["json_rate"])
+def test_rates_over_no_time(spark, tmp_path, name):
+    """Events that share their times, one of them with no value: the SQL divides by no time, which is infinite or no number."""
+    times = (0, 0, 0, 5, 5, 24 * 60, 24 * 60, 24 * 60 + 1)
+    rows = [(datetime(2024, 1, 1) + timedelta(minutes=m), k, float(v)) for k, (m, v) in enumerate(zip(times, (1, 2, 0, 3, 4, 1, 9, 0), strict=True))]
+    spark.createDataFrame(rows, "ts timestamp_ntz, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = [(t, str(abs(v)) if v != v else v) for t, v in c.execute(engine.ORACLES[name]).fetchall()]
+    got = [(r["ts"], str(r["value"]) if r["value"] != r["value"] else r["value"]) for r in engine.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {v for _, v in got} >= {math.inf, "nan", 0.0}

@@ -411,18 +411,29 @@ class DeltaFilter(SeriesFilter):
 
 @dataclass(frozen=True)
 class RateFilter(SeriesFilter):
-    """Differences by time, for each ``per_seconds`` seconds."""
+    """Differences by time, for each ``per_seconds`` seconds.
+
+    ``no_time``: what a rate between two readings of one time is: "error", or "infinite", as division of
+    doubles has it: an infinity of the difference's sign, NaN for no difference.
+    """
 
     unit: str = ""
     per_seconds: int = 1
     counter: Counter = Counter()
+    no_time: str = "error"
 
     def apply(self, series: Series) -> Series:
         _counted(series, "a rate")
+        if self.no_time not in ("error", "infinite"):
+            raise QueryError(f"a rate over no time is error or infinite, not {self.no_time!r}")
         if series.meta.metric_kind == "rate":
             raise QueryError("a rate of a rate")
         seconds = F.col("us") / 1e6
-        rate = F.when(F.col("us") == 0, F.raise_error(F.lit("a rate over no time")).cast("double")).otherwise(F.col("delta").cast("double") / F.nullif(seconds, F.lit(0.0)) * F.lit(float(self.per_seconds or 1)))
+        if self.no_time == "infinite":
+            none = F.when(F.col("delta") == 0, F.lit(float("nan"))).otherwise(F.signum("delta") * F.lit(float("inf")))
+        else:
+            none = F.raise_error(F.lit("a rate over no time")).cast("double")
+        rate = F.when(F.col("us") == 0, none).otherwise(F.col("delta").cast("double") / F.nullif(seconds, F.lit(0.0)) * F.lit(float(self.per_seconds or 1)))
         df = self.counter.steps(series).select("ts", rate.alias("value"), "seq")
         meta = replace(series.meta, data_type="decimal", required=True, kind="rate", unit=self.unit, sample_period=None)
         return series.but(df, meta)

@@ -145,7 +145,7 @@ class Parser:
             "fieldValue": lambda n: S.FieldValueFilter(self.value(_need(n, "fieldValue")), new_field(_need(n, "fieldMeta"))),
             "overrideFieldMetadata": lambda n: S.OverrideMeta(**self._overrides(n)),
             "delta": lambda n: S.DeltaFilter(counter(n)),
-            "rate": lambda n: S.RateFilter(n.get("overrideUnit") or "", n.get("perSeconds") or 1, counter(n)),
+            "rate": lambda n: S.RateFilter(n.get("overrideUnit") or "", n.get("perSeconds") or 1, counter(n), n.get("overNoTime") or "error"),
             "schedule": lambda n: S.ScheduleFilter(schedule(_need(n, "schedule"))),
             "timeShift": lambda n: S.TimeShift(_need(n, "offsetSeconds")),
         })

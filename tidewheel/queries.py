@@ -1004,7 +1004,7 @@ def json_reduction_schedule(spark, d):
 def json_rate(spark, d):
     plugins = Plugins()
     plugins.register("datasource", "counter", lambda parser, node: counter(d))
-    command = {"from": "2000-01-01T00:00:00+00:00", "to": "2100-01-01T00:00:00+00:00", "datasource": {"type": "filtered", "datasource": {"type": "counter"}, "filters": [{"type": "rate", "overrideUnit": "per minute", "perSeconds": 60, "nonNegative": True, "emitOnReset": True}]}}
+    command = {"from": "2000-01-01T00:00:00+00:00", "to": "2100-01-01T00:00:00+00:00", "datasource": {"type": "filtered", "datasource": {"type": "counter"}, "filters": [{"type": "rate", "overrideUnit": "per minute", "perSeconds": 60, "nonNegative": True, "emitOnReset": True, "overNoTime": "infinite"}]}}
     return execute_query(spark, command, plugins).result()
 
 
