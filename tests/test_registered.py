@@ -113,7 +113,7 @@ def test_time_shift_takes_every_event(spark, db):
     assert [(r["ts"], r["value"]) for r in engine.QUERIES["time_shift"](spark, SF).orderBy("ts").collect()] == want
 
 
-@pytest.mark.parametrize("name", ["json_rate"])
+@pytest.mark.parametrize("name", ["rate_per_hour", "json_rate"])
 def test_rates_over_no_time(spark, tmp_path, name):
     """Events that share their times, one of them with no value: the SQL divides by no time, which is infinite or no number."""
     times = (0, 0, 0, 5, 5, 24 * 60, 24 * 60, 24 * 60 + 1)

@@ -232,7 +232,7 @@ def delta_counter_negative_gap(spark, d):
 
 @query(f"WITH {COUNTER.format(mod='')} SELECT ts, round((CASE WHEN total < was THEN 0 ELSE total - was END)::DOUBLE / ((epoch_us(ts) - epoch_us(before)) / 1e6) * 3600, 6) AS value FROM l WHERE was IS NOT NULL")
 def rate_per_hour(spark, d):
-    return S.FilteredSeries(counter(d), (S.RateFilter("per hour", 3600, S.Counter(non_negative=True)),)).run(spark).result()
+    return S.FilteredSeries(counter(d), (S.RateFilter("per hour", 3600, S.Counter(non_negative=True), "infinite"),)).run(spark).result()
 
 
 @query("SELECT ts + INTERVAL '1 day' AS ts, value FROM events")
