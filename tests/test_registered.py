@@ -125,3 +125,20 @@ def test_rates_over_no_time(spark, tmp_path, name):
     got = [(r["ts"], str(r["value"]) if r["value"] != r["value"] else r["value"]) for r in engine.QUERIES[name](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {v for _, v in got} >= {math.inf, "nan", 0.0}
+
+
+def test_small_pieces_are_written_together():
+    """A call to the JVM for each line took most of the time of the queries that write a file and read it again."""
+    from unittest.mock import MagicMock
+
+    spark = MagicMock()
+    spark.conf.get.return_value = "file:/nowhere"
+    out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path.return_value.getFileSystem.return_value.create.return_value
+    rows = [f"line {k} ß\n" for k in range(300_000)]
+    engine._written(spark, "lines", lambda write: [write(r) for r in rows])
+    assert b"".join(bytes(c.args[0]) for c in out.write.call_args_list).decode() == "".join(rows)
+    assert 1 < out.write.call_count < 20 and max(len(c.args[0]) for c in out.write.call_args_list) < 2 << 20
+    assert out.close.call_count == 1
+    out.write.reset_mock()
+    engine._written(spark, "lines", lambda write: None)
+    assert out.write.call_count == 0

@@ -753,14 +753,35 @@ def function_rows(spark, d):
     return readers.from_function(spark, lambda part: ((part * 1000 + k, f"part {part}") for k in range(250)), "n long, t string", 4)
 
 
+#: Characters that go to the JVM at once; a call costs as much as writing some thousands.
+PIECE = 1 << 20
+
+
 def _written(spark: SparkSession, name: str, chunks) -> str:
-    """A text file below the shared folder, written piece by piece by Spark's file system."""
+    """A text file below the shared folder, written by Spark's file system, small pieces together."""
     path = f"{shared_root(spark)}/tidewheel-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    held, size = [], 0
+
+    def flush() -> None:
+        nonlocal size
+        if held:
+            out.write(bytearray("".join(held).encode()))
+            held.clear()
+            size = 0
+
+    def put(text: str) -> None:
+        nonlocal size
+        held.append(text)
+        size += len(text)
+        if size >= PIECE:
+            flush()
+
     try:
-        chunks(lambda text: out.write(bytearray(text.encode())))
+        chunks(put)
+        flush()
     finally:
         out.close()
     return path
